@@ -137,11 +137,11 @@ def row_sums(distance: np.ndarray, weight_a, weight_b, itself: bool) -> tuple:
 
 @F.pandas_udf(PAIR_SUMS)
 def _great_circle_sums(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
-    out = []
-    for r in range(len(a)):
-        p, q = a.iloc[r], b.iloc[r]
-        dist = great_circle_tile(p["lat"], p["lon"], q["lat"], q["lon"])
-        out.append(row_sums(dist, p["weight"], q["weight"], bool(itself.iloc[r])))
+    sides = zip(a["lat"], a["lon"], a["weight"], b["lat"], b["lon"], b["weight"], itself)
+    out = [
+        row_sums(great_circle_tile(lat1, lon1, lat2, lon2), w1, w2, bool(same))
+        for lat1, lon1, w1, lat2, lon2, w2, same in sides
+    ]
     return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
 
 

@@ -68,12 +68,11 @@ def gower_distance(wide: DataFrame, item: str, traits: Sequence[str], tile_rows:
     @F.pandas_udf(PAIR_SUMS)
     def sums(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
         out = []
-        for r in range(len(a)):
-            p, q, same = a.iloc[r], b.iloc[r], bool(itself.iloc[r])
-            dist = gower_tile([p[t] for t in traits], [q[t] for t in traits])
+        for p, q, same in zip(zip(*[a[t] for t in traits]), zip(*[b[t] for t in traits]), itself):
+            dist = gower_tile(p, q)
             if same:
                 np.fill_diagonal(dist, np.nan)
-            out.append(row_sums(dist, np.ones(dist.shape[0]), np.ones(dist.shape[1]), same))
+            out.append(row_sums(dist, np.ones(dist.shape[0]), np.ones(dist.shape[1]), bool(same)))
         return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
 
     reduced = gather_sums(pairs, [], item, sums("a", "b", F.col("i") == F.col("j")))
@@ -158,12 +157,12 @@ def permutation_correlations(
     @F.pandas_udf(StructType([StructField(m, DoubleType()) for m in moments]))
     def reduce_tile(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
         out = []
-        for r in range(len(a)):
-            p, q = a.iloc[r], b.iloc[r]
-            x = gower_tile([p[t] for t in traits], [q[t] for t in traits])
-            y = patristic_tile(p["path"], p["depths"], q["path"], q["depths"])
+        columns = [*traits, "path", "depths"]
+        for p, q, same in zip(zip(*[a[c] for c in columns]), zip(*[b[c] for c in columns]), itself):
+            x = gower_tile(p[:-2], q[:-2])
+            y = patristic_tile(p[-2], p[-1], q[-2], q[-1])
             use = ~(np.isnan(x) | np.isnan(y))
-            if itself.iloc[r]:
+            if same:
                 use &= np.triu(np.ones_like(use), 1)
             x, y = x[use], y[use]
             out.append((float(x.size), x.sum(), y.sum(), x @ x, y @ y, x @ y))
