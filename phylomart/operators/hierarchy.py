@@ -1,6 +1,6 @@
 """Taxonomies and trees as adjacency tables (tree_id, node_id, parent_id, branch_length, label).
 
-Walks are loops of joins with a reliable checkpoint per round. Upward questions (depth, path, common
+Walks are loops of joins with a written table per round. Upward questions (depth, path, common
 ancestor) double the reach of a pointer every round, so a tree of depth d needs log2(d) rounds;
 leaves, the bulk of every tree, take no part in the doubling. Downward expansion goes level by level
 from the asked nodes only.
@@ -231,23 +231,22 @@ def induced_subtree(branches: DataFrame, tips: DataFrame) -> DataFrame:
     """
     shape = ["tree_id", "node_id", "parent_id", "branch_length", "label"]
     tree = branches.select(*shape)
-    wanted = tips.select("tree_id", "node_id").distinct()
-    paths = cut_lineage(interior_paths(tree))
-    leaves = tree.join(wanted, ["tree_id", "node_id"], "left_semi")
+    wanted = cut_lineage(tips.select("tree_id", "node_id").distinct())
+    paths = interior_paths(tree)
+    leaves = cut_lineage(
+        node_paths(tree.join(wanted, ["tree_id", "node_id"], "left_semi"), paths).select(
+            "tree_id", "node_id", "parent_id", F.element_at("path", 1).alias("_root"), F.size("path").alias("_level")
+        )
+    )
     above = (
         leaves.select("tree_id", F.col("parent_id").alias("node_id"))
-        .unionByName(wanted)
         .distinct()
         .join(paths, ["tree_id", "node_id"])
-        .select("tree_id", F.explode("path").alias("node_id"))
-        .distinct()
-    )
-    closure = above.unionByName(wanted).distinct()
-    nodes = cut_lineage(
-        node_paths(tree.join(closure, ["tree_id", "node_id"], "left_semi"), paths).select(
-            *shape, F.element_at("path", 1).alias("_root"), F.size("path").alias("_level")
-        )
+        .select("tree_id", F.posexplode("path").alias("_at", "node_id"), F.element_at("path", 1).alias("_root"))
+        .select("tree_id", "node_id", "_root", (F.col("_at") + 1).alias("_level"))
     )
+    closure = above.unionByName(leaves.drop("parent_id")).distinct()
+    nodes = cut_lineage(tree.join(closure, ["tree_id", "node_id"]).select(*shape, "_root", "_level"))
     # the common ancestor is the shallowest node that branches inside the closure or is a tip itself
     forks = nodes.filter("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
         F.count("*").alias("_n")

@@ -66,7 +66,7 @@ def _points(occ: DataFrame, group: str, lat: str, lon: str) -> DataFrame:
 
 def _mean_distances(occ: DataFrame, group: str, lat: str, lon: str, tile_rows: int) -> DataFrame:
     """(group, point, lat, lon, weight, partners, total_km, mean_km) per distinct place."""
-    points = _points(occ, group, lat, lon)
+    points = cut_lineage(_points(occ, group, lat, lon))
     sums = great_circle_sums(points, [group], tile_rows)
     joined = points.join(sums, [group, "point"])
     partners = F.col("n") - 1
@@ -113,7 +113,7 @@ def filter_outliers(
     """
     if math.isinf(thresh):
         return occ
-    means = _mean_distances(occ, group, lat, lon, tile_rows)
+    means = cut_lineage(_mean_distances(occ, group, lat, lon, tile_rows))
     n, w, m = F.sum("weight"), F.col("weight"), F.col("mean_km")
     centre = means.groupBy(group).agg(n.alias("_n"), (F.sum(w * m) / n).alias("_centre"))
     placed = means.join(centre, group).withColumn("_off", m - F.col("_centre"))

@@ -27,6 +27,7 @@ def tile_pairs(
 ) -> DataFrame:
     """One row per unordered pair of tiles (a tile with itself included).
 
+    ``df`` is read more than once, so it should start from a checkpoint or a table.
     Columns: the group, ``i`` <= ``j``, and structs of arrays ``a`` (tile i) and ``b`` (tile j)
     holding ``id_col`` and ``features``. Row ids must be unique within the group; they decide the
     tile by hash, so tile sizes stay near ``tile_rows``.
@@ -36,17 +37,22 @@ def tile_pairs(
     rows = df.select(*group, *columns)
     if group:
         counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles"))
+        most = counts.agg(F.max("_tiles")).first()[0] or 1
+    else:
+        most = max(1, -(-rows.count() // tile_rows))
+    packed = F.struct(*[F.col(f"_rows.{c}").alias(c) for c in columns])
+    # collect_list is bounded here: a tile holds about tile_rows rows whatever the group's size
+    gathered = F.collect_list(F.struct(*columns)).alias("_rows")
+    if most == 1:
+        tiles = rows.groupBy(*group).agg(gathered)
+        zero = F.lit(0).cast("int")
+        return tiles.select(*group, zero.alias("i"), zero.alias("j"), packed.alias("a"), packed.alias("b"))
+    if group:
         sized = rows.alias("r").join(counts.alias("c"), null_safe("r", "c", group)).select("r.*", "_tiles")
     else:
-        sized = rows.withColumn("_tiles", F.lit(max(1, -(-rows.count() // tile_rows))))
+        sized = rows.withColumn("_tiles", F.lit(most))
     dealt = sized.withColumn("_tile", F.pmod(F.xxhash64(id_col), F.col("_tiles")).cast("int"))
-    # collect_list is bounded here: a tile holds about tile_rows rows whatever the group's size
-    tiles = dealt.groupBy(*group, "_tile", "_tiles").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
-    packed = F.struct(*[F.col(f"_rows.{c}").alias(c) for c in columns])
-    alone = tiles.filter("_tiles = 1").select(
-        *group, F.lit(0).alias("i"), F.lit(0).alias("j"), packed.alias("a"), packed.alias("b")
-    )
-    many = tiles.filter("_tiles > 1").select(*group, "_tile", "_tiles", packed.alias("_pack"))
+    many = dealt.groupBy(*group, "_tile", "_tiles").agg(gathered).select(*group, "_tile", "_tiles", packed.alias("_pack"))
     left = many.select(
         *group,
         F.col("_tile").alias("i"),
@@ -59,12 +65,11 @@ def tile_pairs(
         F.col("_tile").alias("j"),
         F.col("_pack").alias("b"),
     )
-    met = (
+    return (
         left.alias("l")
         .join(right.alias("m"), null_safe("l", "m", [*group, "i", "j"]))
         .select(*[F.col(f"l.{c}").alias(c) for c in [*group, "i", "j"]], "a", "b")
     )
-    return alone.unionByName(met)
 
 
 def _matrix(columns: Sequence[np.ndarray]) -> np.ndarray:

@@ -62,7 +62,7 @@ def gower_distance(wide: DataFrame, item: str, traits: Sequence[str], tile_rows:
     matrix itself exists only tile by tile.
     """
     traits = list(traits)
-    scaled = scaled_traits(wide, item, traits)
+    scaled = cut_lineage(scaled_traits(wide, item, traits))
     pairs = tile_pairs(scaled, [], item, traits, tile_rows)
 
     @F.pandas_udf(PAIR_SUMS)
@@ -76,7 +76,7 @@ def gower_distance(wide: DataFrame, item: str, traits: Sequence[str], tile_rows:
         return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
 
     reduced = gather_sums(pairs, [], item, sums("a", "b", F.col("i") == F.col("j")))
-    n_items = wide.count()
+    n_items = scaled.count()
     return reduced.select(
         item,
         F.col("n").cast("long").alias("defined_pairs"),
@@ -151,7 +151,7 @@ def permutation_correlations(
     labels = permuted_labels(both, item, permutations, seed)
     scaled = scaled_traits(both, item, traits)
     rows = labels.join(scaled, item).join(tips.select(F.col(item).alias("other"), "path", "depths"), "other")
-    pairs = tile_pairs(rows.drop("other"), ["perm"], item, [*traits, "path", "depths"], tile_rows)
+    pairs = tile_pairs(cut_lineage(rows.drop("other")), ["perm"], item, [*traits, "path", "depths"], tile_rows)
     moments = ["n", "x", "y", "xx", "yy", "xy"]
 
     @F.pandas_udf(StructType([StructField(m, DoubleType()) for m in moments]))

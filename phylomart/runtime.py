@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -51,9 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and later plans start from it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The result survives lost executors, later plans start from it with pruning and pushdown, and its
+    file sizes let the planner choose joins by measured size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/phylomart/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def measured(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
@@ -70,8 +77,8 @@ def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
 def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
     """Number all rows 1..n in ``order_by`` order without a single-partition window.
 
-    Rows are range-partitioned and sorted; the row's partition and its place in it are frozen by a
-    checkpoint, so the later per-partition offsets always belong to the same split. ``order_by``
+    Rows are range-partitioned and sorted; the row's partition and its place in it are frozen in a
+    written table, so the later per-partition offsets always belong to the same split. ``order_by``
     should end in a unique column: range partitioning cannot split equal keys.
     """
     slot = "_slot"
