@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import with_views
-from phylomart.runtime import shared_dir
+from phylomart.runtime import configure, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, with its oracle where SQL can express it."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -131,7 +131,41 @@ def _(spark, sf):
     return tree_shape(t.resolve_polytomies(both_trees(spark, sf)))
 
 
-@query("e10_independent_contrasts")
+CONTRAST_LEVELS = 24  # a node with k children adds log2(k) levels: room for a million customers per nation
+
+
+def contrasts_sql() -> str:
+    """Contrasts by unrolled levels, deepest first, on the collapsed and evenly resolved phylogeny."""
+    head = f"""with recursive flat as (select 12 as tree_id, cast(0 as bigint) as node_id, cast(null as bigint) as parent_id, cast(null as double) as len
+  union all select 12, r.node_id, 0, r.branch_length + s.branch_length from fx_phylogeny r join fx_phylogeny s on r.parent_id = s.node_id where r.node_id between 1 and 9
+  union all select 12, node_id, parent_id, branch_length from fx_phylogeny where node_id >= 100),
+ranked as (select *, row_number() over (partition by parent_id order by node_id) - 1 as r, count(*) over (partition by parent_id) as k from flat where parent_id is not null),
+spots as (select parent_id as top, node_id, len, case when k > 2 then k + r else 2 + r end as spot from ranked
+  union all select parent_id, -node_id - 1, 0.0, r + 2 from ranked where k > 2 and r < k - 2),
+tree as materialized (select s.node_id, case when s.spot // 2 = 1 then s.top else m.node_id end as parent_id, s.len
+  from spots s left join spots m on m.top = s.top and m.spot = s.spot // 2 and m.node_id < 0 union all select 0, null, 0.0),
+down as (select node_id, parent_id, len, 0 as level from tree where parent_id is null union all select t.node_id, t.parent_id, t.len, d.level + 1 from tree t join down d on t.parent_id = d.node_id),
+placed as materialized (select * from down),
+tips as materialized (select p.node_id, p.parent_id, p.level, x.trait, x.value as x, p.len as v from placed p join
+  (select item, 't1' as trait, t1 as value from fx_tip_traits union all select item, 't2', t2 from fx_tip_traits) x on x.item = p.node_id where x.value is not null),
+at_{CONTRAST_LEVELS} as materialized (select node_id, parent_id, trait, x, v, 0 as two, cast(null as double) as contrast from tips where level = {CONTRAST_LEVELS})"""
+    steps = []
+    for level in range(CONTRAST_LEVELS - 1, -1, -1):
+        steps.append(
+            f"""at_{level} as materialized (select node_id, parent_id, trait, x, v, 0 as two, cast(null as double) as contrast from tips where level = {level}
+  union all select p.node_id, p.parent_id, c.trait, case when n = 1 then x1 when v1 + v2 = 0 then (x1 + x2) / 2 else (x1 * v2 + x2 * v1) / (v1 + v2) end,
+    p.len + case when n = 1 then v1 when v1 + v2 = 0 then 0 else v1 * v2 / (v1 + v2) end, case when n = 2 then 1 else 0 end, case when n = 2 and v1 + v2 > 0 then x1 - x2 end
+  from (select parent_id, trait, count(*) as n, arg_min(x, node_id) as x1, arg_max(x, node_id) as x2, arg_min(v, node_id) as v1, arg_max(v, node_id) as v2 from at_{level + 1} group by parent_id, trait) c
+  join placed p on p.node_id = c.parent_id)"""
+        )
+    rows = " union all ".join(f"select * from at_{level}" for level in range(CONTRAST_LEVELS))
+    return (
+        ",\n".join([head, *steps])
+        + f"\nselect cast(12 as bigint) as tree_id, node_id, trait, round(contrast, 6) as contrast, round(x, 6) as ancestor from ({rows}) a where two = 1"
+    )
+
+
+@query("e10_independent_contrasts", contrasts_sql())
 def _(spark, sf):
     tips = view(spark, sf, "fx_phylogeny").select("tree_id", "node_id")
     wide = view(spark, sf, "fx_tip_traits").join(tips, F.col("item") == F.col("node_id"))

@@ -24,7 +24,7 @@ def collect_values(
 
     Positions instead of list cells: a pair that holds a third of all lines stays distributed.
     """
-    return ordinal_within(triples, [taxon, char], [line], "position")
+    return ordinal_within(triples, [taxon, char], [line], "position", stored=True)
 
 
 def keep_groups_by_first_value(

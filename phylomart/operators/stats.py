@@ -97,7 +97,7 @@ def permuted_labels(items: DataFrame, item: str, permutations: int, seed: int =
     The item in place r takes the label of the item whose md5 draw has rank r. Ranks come from one
     distributed numbering of all permutations at once.
     """
-    base = cut_lineage(with_position(items.select(item), [item], "_place"))
+    base = cut_lineage(with_position(items.select(item), [item], "_place", stored=True))
     n = base.count()
     perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
     drawn = base.select(F.col(item).alias("other"), perms) if permutations else None
@@ -105,7 +105,7 @@ def permuted_labels(items: DataFrame, item: str, permutations: int, seed: int =
     if drawn is None:
         return identity
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("other").cast("string")))
-    ranked = with_position(drawn.withColumn("_draw", key), ["perm", "_draw", "other"], "_rank")
+    ranked = with_position(drawn.withColumn("_draw", key), ["perm", "_draw", "other"], "_rank", stored=True)
     placed = ranked.withColumn("_place", F.col("_rank") - (F.col("perm") - 1) * n).select("perm", "_place", "other")
     return identity.unionByName(placed.join(base, "_place").select("perm", item, "other"))
 

@@ -19,17 +19,27 @@ def get_session(master: str | None = None, app: str = "phylomart", **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
-    settings.update(conf)
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
+
+
+# A join on a species, label or prefix may meet a key with a third of all rows. AQE splits such a
+# partition; without the last setting it would not when a following aggregation reuses the join's
+# partitioning.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Turn on the adaptive settings the plans rely on, in a session made elsewhere too."""
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,16 +84,19 @@ def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, pairs)
 
 
-def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position", stored: bool = False) -> DataFrame:
     """Number all rows 1..n in ``order_by`` order without a single-partition window.
 
     Rows are range-partitioned and sorted; the row's partition and its place in it are frozen in a
     written table, so the later per-partition offsets always belong to the same split. ``order_by``
-    should end in a unique column: range partitioning cannot split equal keys.
+    should end in a unique column: range partitioning cannot split equal keys. Range partitioning
+    reads its input twice, to sample and to shuffle, so ``df`` is written first unless it is already
+    ``stored``, that is a plain read of a table.
     """
     slot = "_slot"
+    source = df if stored else cut_lineage(df)
     frozen = cut_lineage(
-        df.repartitionByRange(*order_by)
+        source.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn(slot, F.monotonically_increasing_id())
     )
@@ -101,9 +114,11 @@ def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position"
     )
 
 
-def ordinal_within(df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "position") -> DataFrame:
+def ordinal_within(
+    df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "position", stored: bool = False
+) -> DataFrame:
     """Number rows 1..k inside each group; a group larger than one task is spread over several."""
-    placed = with_position(df, [*group, *order_by], "_pos")
+    placed = with_position(df, [*group, *order_by], "_pos", stored)
     firsts = placed.groupBy(*group).agg(F.min("_pos").alias("_first"))
     joined = placed.alias("p").join(firsts.alias("f"), null_safe("p", "f", group))
     return joined.select("p.*", (F.col("_pos") - F.col("_first") + 1).alias(name)).drop("_pos")
