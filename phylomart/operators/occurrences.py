@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phylomart.functions.geo import point_in_rings, ring_bounds
 from phylomart.operators.pairwise import TILE_ROWS, great_circle_sums
-from phylomart.runtime import cut_lineage
+from phylomart.runtime import cut_lineage, measured
 
 
 def distinct_labels(df: DataFrame, col: str = "label") -> DataFrame:
@@ -37,18 +37,32 @@ def min_records_gate(df: DataFrame, group: str = "taxon_name", n: int = 10) -> D
     return df.join(enough.select(group), group, "left_semi")
 
 
-def sample_n(df: DataFrame, group: str = "taxon_name", n: int = 1000, seed: int = 0, id_col: str = "occurrence_id", salts: int = 32) -> DataFrame:
+def sample_n(df: DataFrame, group: str = "taxon_name", n: int = 1000, seed: int = 0, id_col: str = "occurrence_id") -> DataFrame:
     """At most ``n`` rows of each group, uniform without replacement and repeatable.
 
-    Rows are ordered by a seeded md5 of their id. The n lowest of every salted slice contain the n
-    lowest of the group, so a hot group is cut down in parallel before it meets in one window.
+    Rows are ordered by a seeded md5 of their id and the n lowest of a group stay. Group sizes are
+    counted first (one narrow pass); with them each row sees, before any shuffle, whether its draw
+    is low enough to matter: the cut-off lets ten standard deviations more than n rows through, so
+    little more than the sample itself is shuffled, whatever a group's size. Should a group come out
+    short all the same, the job fails instead of returning a smaller sample.
     """
+    sizes = cut_lineage(df.groupBy(group).agg(F.count("*").alias("_size")))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    rows = df.withColumn("_draw", draw).withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-    slice_rank = F.row_number().over(Window.partitionBy(group, "_salt").orderBy("_draw", id_col))
-    cut = rows.withColumn("_rank", slice_rank).filter(F.col("_rank") <= n).drop("_rank")
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("_draw", id_col))
-    return cut.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_salt", "_draw")
+    # 52 leading bits of the draw as a number in [0, 1)
+    unit = F.conv(F.substring("_draw", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    share = F.lit(n + 10 * math.sqrt(n) + 100) / F.col("_size")
+    low = (
+        df.join(measured(sizes, sizes.count()), group)
+        .withColumn("_draw", draw)
+        .filter((F.col("_size") <= n) | (unit < share))
+    )
+    whole = Window.partitionBy(group)
+    ranked = low.withColumn("_rank", F.row_number().over(whole.orderBy("_draw", id_col))).withColumn(
+        "_low", F.count("*").over(whole)
+    )
+    enough = F.col("_low") >= F.least(F.col("_size"), F.lit(n))
+    keep = F.when(enough, F.col("_rank") <= n).otherwise(F.raise_error(F.lit("sample cut-off too low")))
+    return ranked.filter(keep).drop("_rank", "_low", "_size", "_draw").select(*df.columns)
 
 
 def latitude_summary(df: DataFrame, group: str = "taxon_name", lat: str = "decimal_latitude") -> DataFrame:

@@ -48,6 +48,20 @@ STORED_COLUMNS = (
 )
 
 
+# What the extraction reads of an occurrence.
+EXTRACTED_COLUMNS = (
+    "taxon_name",
+    "occurrence_id",
+    "gbif_id",
+    "basis_of_record",
+    "event_date",
+    "decimal_latitude",
+    "decimal_longitude",
+    "latitude_text",
+    "longitude_text",
+)
+
+
 class OccurrenceBuild(NamedTuple):
     occurrences: DataFrame  # rows to append
     variants: DataFrame  # new variants
@@ -106,7 +120,8 @@ def species_occurrences(species: DataFrame, tables: Mapping[str, DataFrame], tre
         own = with_subspecies(wanted, tables["branches"], variants, tree_id)
     else:
         own = variants.join(wanted.select("taxon_id"), "taxon_id", "left_semi").select("taxon_id", "taxonvariant_id", "taxonvariant_name")
-    owned = own.join(wanted, "taxon_id").select("taxon_name", "taxonvariant_id", "taxonvariant_name")
+    # small beside the records, and used for counting, sampling and range names
+    owned = cut_lineage(own.join(wanted, "taxon_id").select("taxon_name", "taxonvariant_id", "taxonvariant_name"))
     records = tables["occurrences"].join(owned.select("taxon_name", "taxonvariant_id"), "taxonvariant_id")
     return records, owned.select("taxon_name", F.col("taxonvariant_name").alias("name"))
 
@@ -141,6 +156,7 @@ def extract_occurrences(
         .distinct()
     )
     records, names = species_occurrences(species, tables, tree_id, subspecies)
+    records = records.select(*EXTRACTED_COLUMNS)
     if sample:
         records = sample_n(records, "taxon_name", sample, seed)
     records = filter_basis(records, basis)
