@@ -98,5 +98,5 @@ intersect select v.taxon_id from fx_taxonvariants v join fx_states s on s.taxonv
 def _(spark, sf):
     tables = mart(spark, sf)
     variants = tables["taxonvariants"].select("taxonvariant_id", "taxon_id")
-    used = [variants.join(tables[n].select("taxonvariant_id"), "taxonvariant_id", "left_semi").select("taxon_id") for n in ("occurrences", "states")]
+    used = [variants.join(tables[n].select("taxonvariant_id").distinct(), "taxonvariant_id", "left_semi").select("taxon_id") for n in ("occurrences", "states")]
     return used[0].intersect(used[1])

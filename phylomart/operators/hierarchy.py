@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylomart.functions.text import rank_label
-from phylomart.runtime import cut_lineage, measured
+from phylomart.runtime import cut_lineage, lookup_side, measured
 
 MAX_LEVELS = 1000
 MAX_DOUBLINGS = 16
@@ -344,8 +344,10 @@ def ranks_to_adjacency(
     long = base.filter(F.size("steps") > 0).select("line", "id", F.explode(prefixes).alias("_p")).select(
         "line", "id", "_p.depth", "_p.prefix"
     )
-    first = long.groupBy("prefix").agg(F.min(F.struct("line", "id")).alias("_f")).select(
-        "prefix", F.col("_f.line").alias("_first_line"), F.col("_f.id").alias("_first_id")
+    first = lookup_side(
+        long.groupBy("prefix").agg(F.min(F.struct("line", "id")).alias("_f")).select(
+            "prefix", F.col("_f.line").alias("_first_line"), F.col("_f.id").alias("_first_id")
+        )
     )
     parents = (
         long.select("line", "depth", "prefix")

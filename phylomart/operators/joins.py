@@ -2,7 +2,8 @@
 
 Joins are plain equi-joins. The fact side (occurrences, states, branches) is always the streamed
 left side, the right side has one row per key wherever the rule allows, so AQE can broadcast the
-right side when it measures it small and split a skewed left partition when it is not.
+right side when it measures it small and split a skewed left partition when it is not. The right side
+of a semi- or anti-join is made distinct first, for a skewed right side cannot be split.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylomart.runtime import null_safe
+from phylomart.runtime import lookup_side, null_safe
 from phylomart.schemas import FOREIGN_KEYS
 
 Tables = Mapping[str, DataFrame]
@@ -37,7 +38,7 @@ def taxon_nodes(names: DataFrame, tables: Tables, tree_id: int, first_only: bool
 
 def taxa_with_occurrences_in_tree(tables: Tables, tree_id: int, level: str = "SPECIES") -> DataFrame:
     """Distinct (taxon, latitude, longitude) of taxa whose same variant occurs and sits in the tree."""
-    in_tree = tables["branches"].filter(F.col("tree_id") == tree_id).select("taxonvariant_id")
+    in_tree = tables["branches"].filter(F.col("tree_id") == tree_id).select("taxonvariant_id").distinct()
     taxa = tables["taxa"].filter(F.col("taxon_level") == level).select("taxon_id", "taxon_name")
     variants = (
         tables["taxonvariants"]
@@ -107,7 +108,7 @@ def map_local_ids(states: DataFrame, characters: DataFrame) -> DataFrame:
 
 def setdiff_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of ``a`` whose key is absent from ``b``."""
-    return a.join(b.select(key), key, "left_anti")
+    return a.join(lookup_side(b.select(key).distinct()), key, "left_anti")
 
 
 def taxa_in_all(tables: Tables, datasets: Sequence[str]) -> DataFrame:
@@ -115,8 +116,10 @@ def taxa_in_all(tables: Tables, datasets: Sequence[str]) -> DataFrame:
     variants = tables["taxonvariants"].select("taxonvariant_id", "taxon_id")
     found = tables["taxa"]
     for name in datasets:
-        used = variants.join(tables[name].select("taxonvariant_id"), "taxonvariant_id", "left_semi")
-        found = found.join(used.select("taxon_id"), "taxon_id", "left_semi")
+        # distinct before the shuffle: a hot variant is one row per task, not a hot right side
+        present = tables[name].select("taxonvariant_id").distinct()
+        used = variants.join(present, "taxonvariant_id", "left_semi").select("taxon_id").distinct()
+        found = found.join(used, "taxon_id", "left_semi")
     return found
 
 
@@ -146,7 +149,7 @@ def insert_if_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
 def backfill_fk(occ: DataFrame, label_map: DataFrame) -> DataFrame:
     """Set taxonvariant_id on every row whose label is in ``label_map`` (label, taxonvariant_id)."""
     mapped = label_map.select("label", F.col("taxonvariant_id").alias("_new"))
-    joined = occ.join(mapped, "label", "left")
+    joined = occ.join(lookup_side(mapped), "label", "left")
     kept = [c for c in occ.columns if c != "taxonvariant_id"]
     old = F.col("taxonvariant_id") if "taxonvariant_id" in occ.columns else F.lit(None).cast("long")
     return joined.select(*kept, F.coalesce("_new", old).alias("taxonvariant_id"))

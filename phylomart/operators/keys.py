@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylomart.runtime import ordinal_within, with_position
+from phylomart.runtime import lookup_side, ordinal_within, with_position
 
 
 def assign_keys(new: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
@@ -32,7 +32,8 @@ def keep_groups_by_first_value(
 ) -> DataFrame:
     """Keep taxa whose first value (lowest line) of ``char`` equals ``value``."""
     first = triples.filter(F.col(charname) == char).groupBy(taxon).agg(F.min_by(state, line).alias("_first"))
-    return triples.join(first.filter(F.col("_first") == value).select(taxon), taxon, "left_semi")
+    kept = lookup_side(first.filter(F.col("_first") == value).select(taxon))
+    return triples.join(kept, taxon, "left_semi")
 
 
 def first_seen_ids(

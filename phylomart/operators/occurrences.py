@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phylomart.functions.geo import point_in_rings, ring_bounds
 from phylomart.operators.pairwise import TILE_ROWS, great_circle_sums
-from phylomart.runtime import cut_lineage, measured
+from phylomart.runtime import cut_lineage, lookup_side, measured
 
 
 def distinct_labels(df: DataFrame, col: str = "label") -> DataFrame:
@@ -34,7 +34,7 @@ def distinct_coordinates(
 def min_records_gate(df: DataFrame, group: str = "taxon_name", n: int = 10) -> DataFrame:
     """Keep groups of at least ``n`` rows: pre-aggregated counts, then a semi-join."""
     enough = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") >= n)
-    return df.join(enough.select(group), group, "left_semi")
+    return df.join(lookup_side(enough.select(group)), group, "left_semi")
 
 
 def sample_n(df: DataFrame, group: str = "taxon_name", n: int = 1000, seed: int = 0, id_col: str = "occurrence_id") -> DataFrame:
@@ -130,11 +130,11 @@ def filter_outliers(
     means = cut_lineage(_mean_distances(occ, group, lat, lon, tile_rows))
     n, w, m = F.sum("weight"), F.col("weight"), F.col("mean_km")
     centre = means.groupBy(group).agg(n.alias("_n"), (F.sum(w * m) / n).alias("_centre"))
-    placed = means.join(centre, group).withColumn("_off", m - F.col("_centre"))
+    placed = means.join(lookup_side(centre), group).withColumn("_off", m - F.col("_centre"))
     spread = placed.groupBy(group).agg(
         F.sqrt(F.try_divide(F.sum(w * F.col("_off") * F.col("_off")), F.max("_n") - 1)).alias("_sd")
     )
-    inside = placed.join(spread, group).filter(
+    inside = placed.join(lookup_side(spread), group).filter(
         m.isNull() | (F.abs("_off") <= F.col("_sd") * F.lit(float(thresh)) + F.lit(1e-9))
     )
     kept = inside.select(group, F.col("lat").alias(lat), F.col("lon").alias(lon))
@@ -173,7 +173,8 @@ def filter_by_range(
     # used twice below, and the ray cast is the costly step
     inside = cut_lineage(places.join(shapes.alias("_s"), hit, "left_semi"))
     # species filtered for good: enough records inside; the others keep every record
-    filtered = inside.groupBy(group).agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_kept).select(group)
+    counts = inside.groupBy(group).agg(F.sum("n").alias("_n"))
+    filtered = lookup_side(counts.filter(F.col("_n") >= min_kept).select(group))
     within = inside.join(filtered, group, "left_semi").select(group, F.col("lat").alias(lat), F.col("lon").alias(lon))
     kept = occ.join(within, [group, lat, lon], "left_semi")
     return kept.unionByName(occ.join(filtered, group, "left_anti"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from phylomart.functions.geo import EARTH_RADIUS_KM
-from phylomart.runtime import null_safe
+from phylomart.runtime import lookup_side, null_safe
 
 TILE_ROWS = 1024
 
@@ -36,7 +36,7 @@ def tile_pairs(
     columns = [id_col, *features]
     rows = df.select(*group, *columns)
     if group:
-        counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles"))
+        counts = lookup_side(rows.groupBy(*group).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles")))
         most = counts.agg(F.max("_tiles")).first()[0] or 1
     else:
         most = max(1, -(-rows.count() // tile_rows))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylomart.operators.hierarchy import collapse_unary, interior_paths, node_paths, root_to_tip
-from phylomart.runtime import cut_lineage, ordinal_within
+from phylomart.runtime import cut_lineage, lookup_side, ordinal_within
 
 
 def resolve_polytomies(branches: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def resolve_polytomies(branches: DataFrame) -> DataFrame:
     """
     shape = ["tree_id", "node_id", "parent_id", "branch_length", "label"]
     tree = branches.select(*shape)
-    wide = tree.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(F.count("*").alias("_k")).filter("_k > 2")
+    sizes = tree.filter("parent_id is not null").groupBy("tree_id", "parent_id").agg(F.count("*").alias("_k"))
+    wide = lookup_side(sizes.filter("_k > 2"))
     many = tree.join(wide, ["tree_id", "parent_id"])
     ranked = cut_lineage(ordinal_within(many, ["tree_id", "parent_id"], ["node_id"], "_rank").withColumn("_rank", F.col("_rank") - 1))
     places = ranked.select(*shape, (F.col("_k") + F.col("_rank")).alias("_place")).unionByName(
@@ -155,8 +156,8 @@ def mean_patristic_distance(branches: DataFrame, tips: DataFrame) -> DataFrame:
     totals = leaves.groupBy("tree_id", "root").agg(F.count("*").alias("n"), F.sum("depth").alias("sum_depth"))
     total = F.col("n") * F.col("depth") + F.col("sum_depth") - 2 * (F.coalesce("saved", F.lit(0.0)) + F.col("branch_length"))
     return (
-        leaves.join(saved, ["tree_id", "parent_id"], "left")
-        .join(totals, ["tree_id", "root"])
+        leaves.join(lookup_side(saved), ["tree_id", "parent_id"], "left")
+        .join(lookup_side(totals), ["tree_id", "root"])
         .select(
             "tree_id",
             "node_id",

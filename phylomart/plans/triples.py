@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phylomart.operators.cleaning import binomials_only, label_with_units
 from phylomart.operators.graph import graph_literals, graph_objects, page_by_name
 from phylomart.operators.hierarchy import descendants
+from phylomart.runtime import lookup_side
 
 
 def triples_for_taxa(pages: DataFrame, parents: DataFrame, traits: DataFrame, names: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def triples_for_taxa(pages: DataFrame, parents: DataFrame, traits: DataFrame, na
     species = binomials_only(
         below.withColumnRenamed("descendant", "page_id").join(pages.select("page_id", "canonical"), "page_id"), "canonical"
     ).select("page_id", F.col("canonical").alias("taxon"))
+    species = lookup_side(species)
     literals = label_with_units(graph_literals(traits), name="label").select(
         "page_id", F.col("label").alias("predicate"), F.col("measurement").cast("string").alias("value")
     )

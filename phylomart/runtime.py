@@ -78,6 +78,16 @@ def measured(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def lookup_side(df: DataFrame) -> DataFrame:
+    """A per-key aggregate about to be joined back to rows whose keys may be skewed.
+
+    AQE splits a skewed partition only where both sides of the join are plain shuffles. An aggregate
+    by the join key is already partitioned by it and would suppress the split, so it is written
+    first; one row per key, and its measured size decides on a broadcast.
+    """
+    return cut_lineage(df)
+
+
 def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
     """Join condition ``left.c <=> right.c`` over all ``columns`` of two aliased frames."""
     pairs = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
@@ -119,6 +129,6 @@ def ordinal_within(
 ) -> DataFrame:
     """Number rows 1..k inside each group; a group larger than one task is spread over several."""
     placed = with_position(df, [*group, *order_by], "_pos", stored)
-    firsts = placed.groupBy(*group).agg(F.min("_pos").alias("_first"))
+    firsts = lookup_side(placed.groupBy(*group).agg(F.min("_pos").alias("_first")))
     joined = placed.alias("p").join(firsts.alias("f"), null_safe("p", "f", group))
     return joined.select("p.*", (F.col("_pos") - F.col("_first") + 1).alias(name)).drop("_pos")
