@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import mart, view
-from catalog.registry import query, r6
+from catalog.registry import query
 from phylomart.operators import joins as j
+from phylomart.operators.hierarchy import ranks_to_adjacency
 from phylomart.operators.keys import assign_keys, match_count
-from phylomart.operators.names import accept_fuzzy, fuzzy_match, lookup_name, resolve_backbone, resolve_names
+from phylomart.operators.names import accept_fuzzy, lookup_name, resolve_backbone, resolve_names
 from phylomart.plans.taxonomy import build_backbone, build_taxonomy, extract_synonyms
 
 
@@ -179,8 +180,6 @@ places as (select r.line, r.id, case when r.species <> '' then concat(r.genus, '
 
 @query("e5_ranks_to_adjacency", f"with {PLACES} select line, id, label, parent_id from places")
 def _(spark, sf):
-    from phylomart.operators.hierarchy import ranks_to_adjacency
-
     return ranks_to_adjacency(view(spark, sf, "fx_taxonomy_rows"), RANKS)
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import mart, view
-from catalog.registry import query, r6
+from catalog.registry import query
 from phylomart.operators.cleaning import keep_observed, to_numeric
 from phylomart.operators.joins import map_local_ids, trait_lookup
 from phylomart.operators.keys import collect_values, first_seen_ids, keep_groups_by_first_value
 from phylomart.operators.stats import model_frame
 from phylomart.operators.traits import accepted_branch, character_matrix, filter_characters, melt_traits, trait_set
 from phylomart.plans.traits import build_triples_traits, load_traits
+from phylomart.runtime import with_position
 
 KINDS = {"t1_size": "continuous", "t2_price": "continuous", "t3_disc": "discrete"}
 
@@ -67,8 +68,6 @@ from fx_states s union all select row_number() over (order by binomial) * 10 + 9
 def _(spark, sf):
     states = view(spark, sf, "fx_states").select("state_id", "character_value")
     wide = view(spark, sf, "fx_traits_wide")
-    from phylomart.runtime import with_position
-
     prices = with_position(wide, ["binomial"], "n").select((F.col("n") * 10 + 9).alias("state_id"), F.col("t2_price").alias("character_value"))
     both = states.unionByName(prices).select("state_id", F.col("character_value").alias("as_double"), F.col("character_value").alias("as_integer"))
     return to_numeric(to_numeric(both, ["as_double"]), ["as_integer"], integer=True)

@@ -65,10 +65,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result survives lost executors, later plans start from it with pruning and pushdown, and its
-    file sizes let the planner choose joins by measured size.
+    file sizes let the planner choose joins by measured size. Tables lie in a folder named by the
+    application, which may be removed when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/phylomart/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/phylomart/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
