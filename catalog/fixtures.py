@@ -82,24 +82,26 @@ select gbif_id as occurrence_id, gbif_id, occurrence_type, basis_of_record, even
 from fx_occ_raw r left join fx_taxonvariants v on v.taxonvariant_name = case when r.label like 'Old %' then substring(r.label, 5) else r.label end
 where decimal_latitude not in ('', '0') and decimal_longitude not in ('', '0') and event_date <> '' and has_geospatial_issues = 'false'
   and basis_of_record <> 'UNKNOWN'""",
+    # every part with a customer, by the remainder of its number
+    "fx_part": """
+select p.*, c.c_custkey, c.c_name, c.c_mktsegment from part p join (select max(c_custkey) as top, min(c_custkey) as low from customer) n on true
+join customer c on c.c_custkey = n.low + p.p_partkey % (n.top - n.low + 1)""",
     "fx_traits_wide": """
 select c_name as binomial, case when p_partkey % 9 = 0 then '-999.00' else cast(p_size as string) end as t1_size,
   case when p_partkey % 10 = 0 then '' when p_partkey % 11 = 0 then 'n/a' else cast(cast(round(p_retailprice * 100) as bigint) as string) end as t2_price,
   case when p_partkey % 4 = 0 then concat(cast(p_size as string), ';', cast(p_partkey % 5 as string)) else '-999' end as t3_refs
-from part join customer on p_partkey = c_custkey""",
+from fx_part""",
     "fx_characters": """
-select distinct case t when 1 then cast(71 as bigint) when 2 then cast(72 as bigint) when 3 then cast(73 as bigint) else cast(91 as bigint) end as character_id,
-  case t when 4 then 1 else t end as char_id,
-  case t when 1 then 't1_size' when 2 then 't2_price' when 3 then 't3_disc' else 'other' end as label, case t when 4 then 'elsewhere' else 'parts' end as data_source
-from (select 1 + r_regionkey as t from region) r where t <= 4""",
+select cast(character_id as bigint) as character_id, char_id, label, data_source
+from (values (71, 1, 't1_size', 'parts'), (72, 2, 't2_price', 'parts'), (73, 3, 't3_disc', 'parts'), (91, 1, 'other', 'elsewhere')) c(character_id, char_id, label, data_source)""",
     # attached to the alias where there is one; two sizes where the part is small, the later one counts
     "fx_states": """
 select p_partkey * 10 + 1 as state_id, c_name as label, cast(71 as bigint) as character_id, cast(p_size as string) as character_value,
-  2 * (1000 + c_custkey) + case when c_mktsegment = 'BUILDING' then 1 else 0 end as taxonvariant_id from part join customer on p_partkey = c_custkey
-union all select p_partkey * 10 + 2, c_name, cast(71 as bigint), cast(p_size + 100 as string), 2 * (1000 + c_custkey) from part join customer on p_partkey = c_custkey where p_size < 10
-union all select p_partkey * 10 + 3, c_name, cast(72 as bigint), cast(p_retailprice as string), 2 * (1000 + c_custkey) from part join customer on p_partkey = c_custkey where p_brand <> 'Brand#2'
-union all select p_partkey * 10 + 4, c_name, cast(73 as bigint), concat(cast(p_size as string), '.75'), 2 * (1000 + c_custkey) from part join customer on p_partkey = c_custkey where p_type <> 'SMALL'
-union all select p_partkey * 10 + 5, c_name, cast(91 as bigint), 'x', 2 * (1000 + c_custkey) from part join customer on p_partkey = c_custkey""",
+  2 * (1000 + c_custkey) + case when c_mktsegment = 'BUILDING' then 1 else 0 end as taxonvariant_id from fx_part
+union all select p_partkey * 10 + 2, c_name, cast(71 as bigint), cast(p_size + 100 as string), 2 * (1000 + c_custkey) from fx_part where p_size < 10
+union all select p_partkey * 10 + 3, c_name, cast(72 as bigint), cast(p_retailprice as string), 2 * (1000 + c_custkey) from fx_part where p_brand <> 'Brand#2'
+union all select p_partkey * 10 + 4, c_name, cast(73 as bigint), concat(cast(p_size as string), '.75'), 2 * (1000 + c_custkey) from fx_part where p_type <> 'SMALL'
+union all select p_partkey * 10 + 5, c_name, cast(91 as bigint), 'x', 2 * (1000 + c_custkey) from fx_part""",
     "fx_ranges": """
 select c_name as binomial, 'Extant (resident)' as legend, cast(-120.005 as double) as x0, cast(-60.005 as double) as y0, cast(10.005 as double) as x1, cast(70.005 as double) as y1,
   cast(-50.005 as double) as hx0, cast(-20.005 as double) as hy0, cast(-30.005 as double) as hx1, cast(5.005 as double) as hy1 from customer where c_mktsegment <> 'FURNITURE'
@@ -107,6 +109,20 @@ union all select concat('Alias ', c_name), case when c_acctbal < 0 then 'Reintro
   cast(null as double), cast(null as double), cast(null as double), cast(null as double) from customer where c_mktsegment = 'BUILDING'
 union all select c_name, case when c_acctbal < 0 then 'Reintroduced' else 'Extant (resident)' end, cast(20.005 as double), cast(-40.005 as double), cast(90.005 as double), cast(30.005 as double),
   cast(null as double), cast(null as double), cast(null as double), cast(null as double) from customer where c_mktsegment = 'MACHINERY'""",
+    # names whose accepted names are synonyms in their turn, five deep, above the old names
+    "fx_chain_names": """
+select 1000000000 + 1000 * c_custkey + d as tsn, concat(case d when 1 then 'Older ' when 2 then 'Third ' when 3 then 'Fourth ' when 4 then 'Fifth ' else 'First ' end, c_name) as completename
+from customer join (values (1), (2), (3), (4), (5)) x(d) on true where c_mktsegment = 'MACHINERY'""",
+    "fx_chain_links": """
+select 1000000000 + 1000 * c_custkey + d as tsn, case when d = 1 then 900000000 + c_custkey else 1000000000 + 1000 * c_custkey + d - 1 end as tsn_accepted
+from customer join (values (1), (2), (3), (4), (5)) x(d) on true where c_mktsegment = 'MACHINERY'""",
+    # answers of an outside name service: three a label, good and bad, some with an unknown id
+    "fx_candidates": """
+select concat('Cand ', c_name) as label, case when c_acctbal < 0 then 1400001000 + c_custkey else 500001000 + c_custkey end as local_id,
+  cast(case when c_mktsegment = 'BUILDING' then 0.6 else 0.75 end as double) as score, case when c_mktsegment = 'MACHINERY' then 'Exact string match' else 'Fuzzy match by canonical form' end as match_value,
+  case when c_mktsegment = 'FURNITURE' then 2 else 1 end as edit_distance from customer
+union all select concat('Cand ', c_name), 500000001 + c_custkey % 5, cast(case when c_mktsegment in ('AUTOMOBILE', 'HOUSEHOLD') then 0.7 else 0.9 end as double), 'Exact match by canonical form', 0 from customer
+union all select concat('Cand ', c_name), 500000001 + (c_custkey + 1) % 5, cast(case when c_mktsegment = 'HOUSEHOLD' then 0.5 else 0.9 end as double), 'Exact match by canonical form', 0 from customer""",
     "fx_messy_names": """
 select c_custkey as line, case when c_custkey % 4 = 0 then c_name when c_custkey % 4 = 1 then concat(substring(c_name, 1, 4), substring(c_name, 6))
   when c_custkey % 4 = 2 then concat('K', substring(c_name, 2)) else concat('zz', c_name, 'zz') end as label from customer""",
@@ -123,18 +139,34 @@ from customer join nation on c_nationkey = n_nationkey join region on n_regionke
 select node_id as page_id, case when lvl = 'SPECIES' then concat('Genus ', label) else label end as canonical from fx_taxonomy""",
     "fx_page_edges": """
 select node_id as child_page, parent_id as parent_page from fx_taxonomy""",
+    # a trait graph as nodes and edges: some traits have two units, some no predicate
+    "fx_terms": """
+select cast(1000000000 + min(event_id) as bigint) as term_id, event_type as name from events group by event_type
+union all select distinct cast(2000000000 + event_id % 2 as bigint), case when event_id % 2 = 0 then 'g' else 'kg' end from events
+union all select distinct cast(3000000000 + event_id % 4 as bigint), concat('obj', cast(event_id % 4 as string)) from events""",
+    "fx_traits": """
+select event_id as trait_id, 1000 + user_id as page_id, value as measurement from events""",
+    "fx_trait_predicates": """
+select e.event_id as trait_id, t.term_id from events e join fx_terms t on t.name = e.event_type where e.value >= 1""",
+    "fx_trait_units": """
+select event_id as trait_id, cast(2000000000 as bigint) as term_id from events where event_id % 2 = 0
+union all select event_id, cast(2000000001 as bigint) from events where event_id % 6 = 0""",
+    "fx_trait_objects": """
+select event_id as trait_id, cast(3000000000 + event_id % 4 as bigint) as term_id from events where event_id % 2 = 1""",
     "fx_trait_edges": """
-select event_id as trait_id, 1000 + user_id as page_id, event_type as predicate, case when event_id % 2 = 0 then 'g' else null end as units,
-  case when event_id % 2 = 1 then concat('obj', cast(event_id % 4 as string)) else null end as object_term, value as measurement from events""",
+select n.trait_id, n.page_id, p.name as predicate, u.name as units, o.name as object_term, n.measurement from fx_traits n
+join (select trait_id, name from fx_trait_predicates e join fx_terms t on t.term_id = e.term_id) p on p.trait_id = n.trait_id
+left join (select trait_id, name from fx_trait_units e join fx_terms t on t.term_id = e.term_id) u on u.trait_id = n.trait_id
+left join (select trait_id, name from fx_trait_objects e join fx_terms t on t.term_id = e.term_id) o on o.trait_id = n.trait_id""",
     # parts of Brand#1 and Brand#2 share no trait; all others share at least one with every part
     "fx_gower": """
 select p_partkey as item, case when p_brand = 'Brand#2' then null else cast(p_size as double) end as t1,
   case when p_brand = 'Brand#1' then null else p_retailprice end as t2,
   case when p_brand in ('Brand#1', 'Brand#2') or p_size < 10 then null else cast(p_partkey % 17 as double) end as t3 from part""",
-    # customers with two traits of the part of the same number
+    # customers with two traits over all their parts
     "fx_tip_traits": """
-select 1000 + c_custkey as item, case when p_size < 5 then null else cast(p_size as double) end as t1, p_retailprice as t2
-from part join customer on p_partkey = c_custkey""",
+select 1000 + c_custkey as item, cast(max(case when p_size < 5 then null else p_size end) as double) as t1, max(p_retailprice) as t2
+from fx_part group by c_custkey""",
 }
 
 _NAME = re.compile(r"\bfx_[a-z_]+\b")
@@ -174,7 +206,12 @@ def _register(spark: SparkSession, sf_dir: str, sql: str) -> None:
     """Register the driver tables a statement names."""
     for table in BASE_TABLES:
         if re.search(rf"\b{table}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            base(spark, sf_dir, table).createOrReplaceTempView(table)
+
+
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import view
+from catalog.fixtures import base, view
 from catalog.registry import query, r6
-from phylomart.operators.graph import graph_literals, graph_objects, page_by_name
+from phylomart.operators.graph import graph_literals, graph_objects, page_by_name, trait_edges
 from phylomart.operators.hierarchy import descendants
 from phylomart.plans.triples import triples_for_taxa
 
@@ -16,20 +16,24 @@ BELOW = f"""walk as (select r.page_id as root, e.child_page as descendant from (
   union select w.root, e.child_page from walk w join fx_page_edges e on e.parent_page = w.descendant)"""
 
 
+def edges(spark, sf):
+    return trait_edges(*[view(spark, sf, f"fx_{n}") for n in ("traits", "trait_predicates", "trait_units", "trait_objects", "terms")])
+
+
 @query("c15_graph_literals", "select page_id, predicate, units, measurement from fx_trait_edges where units is not null")
 def _(spark, sf):
-    return graph_literals(view(spark, sf, "fx_trait_edges"))
+    return graph_literals(edges(spark, sf))
 
 
 @query("c16_graph_objects", "select distinct page_id, predicate, object_term from fx_trait_edges where object_term is not null")
 def _(spark, sf):
-    return graph_objects(view(spark, sf, "fx_trait_edges"))
+    return graph_objects(edges(spark, sf))
 
 
 @query("c17_page_by_name", "select page_id, canonical from fx_pages where canonical in (select r_name from region union all select n_name from nation)")
 def _(spark, sf):
     pages = view(spark, sf, "fx_pages")
-    names = spark.table("region").select(F.col("r_name").alias("canonical")).unionByName(spark.table("nation").select(F.col("n_name").alias("canonical")))
+    names = base(spark, sf, "region").select(F.col("r_name").alias("canonical")).unionByName(base(spark, sf, "nation").select(F.col("n_name").alias("canonical")))
     return page_by_name(pages, names)
 
 
@@ -46,7 +50,7 @@ select s.taxon, concat(e.predicate, ' (', e.units, ')') as predicate, round(e.me
 union all select distinct s.taxon, concat(e.predicate, ' ', e.object_term), cast(null as double) from fx_trait_edges e join species s on s.page_id = e.page_id where e.object_term is not null""")
 def _(spark, sf):
     names = view(spark, sf, "fx_taxonomy").filter("lvl = 'ORDER'").select(F.col("label").alias("canonical"))
-    rows = triples_for_taxa(view(spark, sf, "fx_pages"), view(spark, sf, "fx_page_edges"), view(spark, sf, "fx_trait_edges"), names)
+    rows = triples_for_taxa(view(spark, sf, "fx_pages"), view(spark, sf, "fx_page_edges"), edges(spark, sf), names)
     number = F.col("value").try_cast("double")
     term = F.when(number.isNull(), F.concat("predicate", F.lit(" "), "value")).otherwise(F.col("predicate"))
     return rows.select("taxon", term.alias("predicate"), r6(number).alias("value"))

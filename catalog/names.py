@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import mart, view
+from catalog.fixtures import base, mart, view
 from catalog.registry import query
 from phylomart.operators import joins as j
 from phylomart.operators.hierarchy import ranks_to_adjacency
 from phylomart.operators.keys import assign_keys, match_count
-from phylomart.operators.names import accept_fuzzy, lookup_name, resolve_backbone, resolve_names
+from phylomart.operators.names import accept_fuzzy, attach_candidates, lookup_name, lookup_rejects, resolve_backbone, resolve_names
 from phylomart.plans.taxonomy import build_backbone, build_taxonomy, extract_synonyms
 
 
@@ -80,7 +80,14 @@ def _(spark, sf):
 
 def name_labels(spark, sf):
     names = view(spark, sf, "fx_longnames").select(F.col("completename").alias("label"))
-    return view(spark, sf, "fx_messy_names").select("label").unionByName(names)
+    return view(spark, sf, "fx_messy_names").select("label").unionByName(names).unionByName(view(spark, sf, "fx_chain_names").select(F.col("completename").alias("label")))
+
+
+def resolved(spark, sf):
+    t = mart(spark, sf)
+    names = t["longnames"].unionByName(view(spark, sf, "fx_chain_names"))
+    links = t["synonym_links"].unionByName(view(spark, sf, "fx_chain_links"))
+    return resolve_names(name_labels(spark, sf), t["taxonvariants"], t["taxa"], names, links)
 
 
 # levenshtein over all pairs: the plain definition, against the keyed join of the operator
@@ -88,10 +95,14 @@ FUZZY = """fuzzy as (select label, taxon_id, distance from (select q.label, x.ta
     row_number() over (partition by q.label order by levenshtein(q.label, x.taxon_name), x.taxon_id) as rn
   from {asked} q join fx_taxa x on abs(length(q.label) - length(x.taxon_name)) <= 1 and levenshtein(q.label, x.taxon_name) <= 1) c where rn = 1)"""
 
-RESOLVED = f"""with asked as (select label from fx_messy_names union select completename from fx_longnames),
+RESOLVED = f"""with recursive all_names as (select tsn, completename from fx_longnames union all select tsn, completename from fx_chain_names),
+all_links as (select tsn, tsn_accepted from fx_synonym_links union all select tsn, tsn_accepted from fx_chain_links),
+asked as (select label from fx_messy_names union select completename from all_names),
 local_names as (select a.label, min(v.taxonvariant_id) as vid from asked a join fx_taxonvariants v on v.taxonvariant_name = a.label group by a.label having count(*) = 1),
-linked as (select a.label, v.taxon_id, v.taxonvariant_level as level from asked a join fx_longnames n on n.completename = a.label join fx_synonym_links k on k.tsn = n.tsn
-  join fx_longnames c on c.tsn = k.tsn_accepted join fx_taxonvariants v on v.taxonvariant_name = c.completename where a.label not in (select label from local_names)),
+steps as (select a.label, c.completename as accepted from asked a join all_names n on n.completename = a.label join all_links k on k.tsn = n.tsn
+  join all_names c on c.tsn = k.tsn_accepted where a.label not in (select label from local_names)),
+linked as (select s.label, v.taxon_id, v.taxonvariant_level as level from steps s join fx_taxonvariants v on v.taxonvariant_name = s.accepted
+  union all select s.label, l.taxon_id, l.level from linked l join steps s on s.accepted = l.label),
 rest as (select label from asked where label not in (select label from local_names) and label not in (select label from linked)),
 {FUZZY.format(asked='rest')},
 made as (select label, taxon_id, 'link' as rule from linked union all select label, taxon_id, 'fuzzy' from fuzzy),
@@ -102,15 +113,27 @@ keyed as (select *, row_number() over (order by label) + (select max(taxonvarian
 select a.label, coalesce(l.vid, k.taxonvariant_id) as taxonvariant_id, case when l.vid is not null then 'local' else k.rule end as rule
 from asked a left join local_names l on l.label = a.label left join keyed k on k.label = a.label""")
 def _(spark, sf):
-    t = mart(spark, sf)
-    return resolve_names(name_labels(spark, sf), t["taxonvariants"], t["taxa"], t["longnames"], t["synonym_links"]).label_map
+    return resolved(spark, sf).label_map
 
 
 @query("c9_resolve_names_variants", RESOLVED + """
 select k.taxonvariant_id, k.label as taxonvariant_name, x.taxon_level as taxonvariant_level, 'synonym' as taxonvariant_status, k.taxon_id from keyed k join fx_taxa x on x.taxon_id = k.taxon_id""")
 def _(spark, sf):
-    t = mart(spark, sf)
-    return resolve_names(name_labels(spark, sf), t["taxonvariants"], t["taxa"], t["longnames"], t["synonym_links"]).variants
+    return resolved(spark, sf).variants
+
+
+@query("c10_attach_candidates", """with good as (select * from fx_candidates where score >= 0.75 and edit_distance <= 1 and regexp_matches(match_value, '(Fuzzy|Exact) match by canonical form')),
+best as (select *, row_number() over (partition by label order by score desc, edit_distance, local_id) as rn from good)
+select b.label as taxonvariant_name, x.taxon_level as taxonvariant_level, 'synonym' as taxonvariant_status, x.taxon_id, b.edit_distance, b.score
+from best b join fx_taxa x on x.gbif_taxon_key = b.local_id where rn = 1""")
+def _(spark, sf):
+    return attach_candidates(view(spark, sf, "fx_candidates"), view(spark, sf, "fx_taxa"), "gbif_taxon_key")
+
+
+@query("c1_rejects", "select gbif_id, taxon_key from fx_occ_raw where taxon_key not in (select tsn from fx_longnames where completename not like '%9')")
+def _(spark, sf):
+    known = view(spark, sf, "fx_longnames").filter("completename not like '%9'")
+    return lookup_rejects(view(spark, sf, "fx_occ_raw").select("gbif_id", "taxon_key"), known).select("gbif_id", "taxon_key")
 
 
 @query("c10_accept_fuzzy", f"""with asked as (select distinct label from fx_messy_names), {FUZZY.format(asked='asked')}
@@ -145,7 +168,7 @@ def _(spark, sf):
 @query("d13_assign_keys", """select row_number() over (order by s_name, s_suppkey) + (select max(taxon_id) from fx_taxa) as taxon_id, s_name as taxon_name from supplier""")
 def _(spark, sf):
     taxa = view(spark, sf, "fx_taxa")
-    new = spark.table("supplier").select(F.col("s_name").alias("taxon_name"), "s_suppkey")
+    new = base(spark, sf, "supplier").select(F.col("s_name").alias("taxon_name"), "s_suppkey")
     return assign_keys(new, taxa, "taxon_id", ["taxon_name", "s_suppkey"]).select("taxon_id", "taxon_name")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import mart, view
+from catalog.fixtures import base, mart, view
 from catalog.registry import query, r6
 from catalog.traits import KINDS
 from phylomart.operators import hierarchy as h
@@ -57,7 +57,7 @@ def both_trees(spark, sf):
 
 
 def debtors(spark, sf):
-    tips = view(spark, sf, "fx_phylogeny") and spark.table("customer").filter("c_acctbal < 0")
+    tips = base(spark, sf, "customer").filter("c_acctbal < 0")
     return tips.select(F.explode(F.array(F.lit(11), F.lit(12)).cast("array<bigint>")).alias("tree_id"), (F.col("c_custkey") + 1000).alias("node_id"))
 
 
@@ -98,7 +98,7 @@ def _(spark, sf):
 @query("e6_drop_tips", f"with recursive {INDUCED}, {collapsed('induced', 'slim')} select tree_id, node_id, parent_id, round(branch_length, 6) as branch_length from slim where tree_id = 12")
 def _(spark, sf):
     tree = view(spark, sf, "fx_phylogeny")
-    solvent = spark.table("customer").filter("not c_acctbal < 0").select(F.lit(12).cast("bigint").alias("tree_id"), (F.col("c_custkey") + 1000).alias("node_id"))
+    solvent = base(spark, sf, "customer").filter("not c_acctbal < 0").select(F.lit(12).cast("bigint").alias("tree_id"), (F.col("c_custkey") + 1000).alias("node_id"))
     return tree_shape(h.drop_tips(tree, solvent))
 
 
@@ -112,7 +112,7 @@ where parent_id is null or parent_id not in (select node_id from fx_taxonomy)"""
 def _(spark, sf):
     shape = ["tree_id", "node_id", "parent_id", "label"]
     tree = view(spark, sf, "fx_taxonomy").select(*shape)
-    extra = spark.table("supplier").select(
+    extra = base(spark, sf, "supplier").select(
         F.lit(11).cast("bigint").alias("tree_id"), (F.col("s_suppkey") + 700000000).alias("node_id"),
         (F.col("s_nationkey") + 600000000).cast("bigint").alias("parent_id"), F.col("s_name").alias("label"),
     )
@@ -179,7 +179,7 @@ def _(spark, sf):
 select p.a, p.b, round(case when p.a = p.b then 0 else {path_length('x', 'y')} end, 6) as distance from pairs p join tips x on x.node_id = p.a join tips y on y.node_id = p.b""")
 def _(spark, sf):
     tree = view(spark, sf, "fx_phylogeny")
-    orders = spark.table("orders")
+    orders = base(spark, sf, "orders")
     after = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), (F.col("o_custkey") + 1000).alias("b"))
     pairs = orders.select("o_orderkey", (F.col("o_custkey") + 1000).alias("a")).join(after, "o_orderkey").select(F.lit(12).cast("bigint").alias("tree_id"), "a", "b").distinct()
     return t.patristic_distance(tree, pairs).select("a", "b", r6("distance").alias("distance"))

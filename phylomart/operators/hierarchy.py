@@ -17,9 +17,6 @@ from phylomart.functions.text import rank_label
 from phylomart.operators.keys import assign_keys
 from phylomart.runtime import cut_lineage, lookup_side, measured
 
-MAX_LEVELS = 1000
-MAX_DOUBLINGS = 16
-
 
 # --- downward -----------------------------------------------------------------------------------
 
@@ -37,7 +34,8 @@ def expand_taxon(
 
     ``roots`` has ``node_id``. With ``include_start`` a start node already at the rank is returned
     and ranks are read from the taxon; without it only children count and ranks are read from the
-    variant. Branches that never reach the rank vanish.
+    variant. Branches that never reach the rank vanish. A node is reached once per root, so cycles end
+    the walk.
     """
     rank = "taxon_level" if include_start else "taxonvariant_level"
     nodes = (
@@ -55,18 +53,16 @@ def expand_taxon(
         at = cut_lineage(at)
         done.append(at.filter(F.col("rank") == level))
         at = at.filter(~F.col("rank").eqNullSafe(level))
-    for _ in range(MAX_LEVELS):
-        rows = at.count()
-        if rows == 0:
-            break
+    seen = at.select("root_id", "node_id")
+    while rows := at.count():
         above = measured(at.select("root_id", F.col("node_id").alias("_above")), rows)
-        below = cut_lineage(
-            nodes.join(above, F.col("parent_id") == F.col("_above")).select("root_id", *nodes.columns)
-        )
+        below = nodes.join(above, F.col("parent_id") == F.col("_above")).select("root_id", *nodes.columns)
+        below = cut_lineage(below.join(seen, ["root_id", "node_id"], "left_anti").distinct())
+        seen = seen.unionByName(below.select("root_id", "node_id"))
         done.append(below.filter(F.col("rank") == level))
         at = below.filter(~F.col("rank").eqNullSafe(level))
-    else:
-        raise ValueError("the hierarchy is deeper than expected or has a cycle")
+    if not done:
+        return at.drop("rank")
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
@@ -75,22 +71,17 @@ def expand_taxon(
 
 def descendants(edges: DataFrame, roots: DataFrame, child: str = "child_page", parent: str = "parent_page") -> DataFrame:
     """(root, descendant) for every strict descendant of each root; cycles end the walk."""
-    links = edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("_child"), F.col(parent).alias("_parent"))
+    links = edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("_child"), F.col(parent).alias("_parent")).distinct()
     start = roots.select(F.col("root")).distinct()
     at = cut_lineage(start.withColumn("descendant", F.col("root")))
     seen = None
-    for _ in range(MAX_LEVELS):
-        rows = at.count()
-        if rows == 0:
-            break
+    while rows := at.count():
         above = measured(at, rows, 32)
-        below = links.join(above, F.col("_parent") == F.col("descendant")).select("root", F.col("_child").alias("descendant"))
+        below = links.join(above, F.col("_parent") == F.col("descendant")).select("root", F.col("_child").alias("descendant")).distinct()
         if seen is not None:
-            below = below.distinct().join(seen, ["root", "descendant"], "left_anti")
+            below = below.join(seen, ["root", "descendant"], "left_anti")
         at = cut_lineage(below)
         seen = at if seen is None else seen.unionByName(at)
-    else:
-        raise ValueError("the hierarchy is deeper than expected")
     return seen if seen is not None else at
 
 
@@ -144,9 +135,12 @@ def interior_paths(branches: DataFrame) -> DataFrame:
         F.array(F.when(F.col("_known"), F.col("length")).otherwise(0.0)).alias("steps"),
     )
     state = cut_lineage(state)
-    for _ in range(MAX_DOUBLINGS):
+    while True:
         active = state.filter("up is not null")
-        if active.isEmpty():
+        n_active, looped = active.agg(F.count("*"), F.count_if(F.array_contains("path", F.col("up")))).first()
+        if looped:
+            raise ValueError("the tree has a cycle")
+        if n_active == 0:
             break
         ahead = state.select(
             F.col("tree_id").alias("_t"),
@@ -163,8 +157,6 @@ def interior_paths(branches: DataFrame) -> DataFrame:
             F.concat("_steps", "steps").alias("steps"),
         )
         state = cut_lineage(state.filter("up is null").unionByName(moved))
-    else:
-        raise ValueError("the tree is deeper than expected or has a cycle")
     running = F.aggregate(
         "steps",
         F.array().cast("array<double>"),
@@ -280,7 +272,8 @@ def collapse_unary(branches: DataFrame) -> DataFrame:
         "tree_id", "node_id", F.col("parent_id").alias("up"), F.coalesce("branch_length", F.lit(0.0)).alias("length")
     )
     gone = cut_lineage(gone.withColumn("open", F.lit(True)))
-    for _ in range(MAX_DOUBLINGS * 2):
+    # a chain is no longer than the nodes it is made of
+    for _ in range(gone.count().bit_length() + 1):
         ahead = gone.select(
             F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), F.col("length").alias("_length")
         )
@@ -296,7 +289,7 @@ def collapse_unary(branches: DataFrame) -> DataFrame:
         )
         gone = cut_lineage(gone.filter("not open").unionByName(moved))
     else:
-        raise ValueError("a chain is longer than expected or has a cycle")
+        raise ValueError("a chain of single children has a cycle")
     skip = gone.select(
         F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), F.col("length").alias("_length")
     )

@@ -53,7 +53,7 @@ def taxa_with_occurrences_in_tree(tables: Tables, tree_id: int, level: str = "SP
         .join(variants, "taxonvariant_id")
         .select("taxon_name", "decimal_latitude", "decimal_longitude")
         .distinct()
-        .orderBy("taxon_name")
+        .orderBy("taxon_name", "decimal_latitude", "decimal_longitude")
     )
 
 

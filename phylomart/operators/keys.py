@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from phylomart.runtime import lookup_side, ordinal_within, with_position
 
 
-def assign_keys(new: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
-    """Give ``new`` rows the keys after the highest stored one, in ``order_by`` order."""
+def assign_keys(new: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str], stored: bool = False) -> DataFrame:
+    """Give ``new`` rows the keys after the highest stored one, in ``order_by`` order.
+
+    ``stored``: ``new`` is a plain read of a table, see :func:`with_position`.
+    """
     top = existing.agg(F.max(key)).first()[0] or 0
     kept = [c for c in new.columns if c != key]
-    return with_position(new, order_by, "_pos").select((F.col("_pos") + int(top)).cast("long").alias(key), *kept)
+    return with_position(new, order_by, "_pos", stored).select((F.col("_pos") + int(top)).cast("long").alias(key), *kept)
 
 
 def collect_values(

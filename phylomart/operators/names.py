@@ -8,14 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylomart.operators.keys import assign_keys
-from phylomart.runtime import cut_lineage
+from phylomart.runtime import cut_lineage, lookup_side
 
 # Match kinds accepted from a supplied candidate table.
 ACCEPTED_MATCH_PATTERN = r"(?:Fuzzy|Exact) match by canonical form"
 
-MAX_PASSES = 3
-
-
 class BackboneResult(NamedTuple):
     variants: DataFrame  # new variants only
     taxa: DataFrame  # full new version: gbif keys updated, new taxa appended
@@ -187,6 +184,8 @@ def fuzzy_match(labels: DataFrame, taxa: DataFrame, max_edit: int = 1, min_score
 
     # F: the taxon's whole name (label lost by one cut), D: the taxon's name less one character
     targets = keyed(named, F.col("taxon_name"), "taxon_id", "F", "D").groupBy("key").agg(F.min("taxon_id").alias("taxon_id"))
+    # very many names may share a key: the side with one row per key is written before the join
+    targets = lookup_side(targets)
     asked = keyed(rest, F.col("label"), "label", "D", "F")
     longer = F.when(F.col("key").startswith("D"), F.length("label") + 1).otherwise(F.length("label"))
     one_off = (
@@ -209,6 +208,29 @@ def acceptable(candidates: DataFrame, max_edit: int = 1, min_score: float = 0.75
     )
 
 
+def attach_candidates(
+    candidates: DataFrame, taxa: DataFrame, id_col: str = "gbif_taxon_key", max_edit: int = 1, min_score: float = 0.75
+) -> DataFrame:
+    """Labels attached as synonyms through a supplied candidate table: a new-variant row per accepted label.
+
+    ``candidates`` has label, local_id, score, match_value and edit_distance. Of a label's acceptable rows the
+    highest score counts, then the fewest edits, then the lowest id. ``id_col`` of ``taxa`` (msw_id or gbif_taxon_key) is
+    what local_id means; the lowest taxon wins where several have it, and a label whose id is unknown drops out.
+    """
+    good = acceptable(candidates.filter("label is not null and local_id is not null"), max_edit, min_score)
+    best = good.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("worse"), "edit_distance", "local_id")).alias("_c"))
+    owner = F.min(F.struct("taxon_id", "taxon_level")).alias("_t")
+    owners = taxa.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_local")).agg(owner)
+    return best.join(owners, F.col("_c.local_id") == F.col("_local")).select(
+        F.col("label").alias("taxonvariant_name"),
+        F.col("_t.taxon_level").alias("taxonvariant_level"),
+        F.lit("synonym").alias("taxonvariant_status"),
+        F.col("_t.taxon_id").alias("taxon_id"),
+        F.col("_c.edit_distance").alias("edit_distance"),
+        (-F.col("_c.worse")).alias("score"),
+    )
+
+
 def accept_fuzzy(labels: DataFrame, taxa: DataFrame, max_edit: int = 1, min_score: float = 0.75) -> DataFrame:
     """Labels attached as synonyms of their best fuzzy taxon: a new-variant row per accepted label."""
     best = fuzzy_match(labels, taxa, max_edit, min_score)
@@ -223,12 +245,21 @@ def accept_fuzzy(labels: DataFrame, taxa: DataFrame, max_edit: int = 1, min_scor
 
 
 def resolve_names(
-    labels: DataFrame, variants: DataFrame, taxa: DataFrame, longnames: DataFrame, links: DataFrame, min_score: float = 0.75
+    labels: DataFrame,
+    variants: DataFrame,
+    taxa: DataFrame,
+    longnames: DataFrame,
+    links: DataFrame,
+    min_score: float = 0.75,
+    candidates: DataFrame | None = None,
+    id_col: str = "gbif_taxon_key",
 ) -> NamesResult:
     """Map labels to variants: one local variant, else a synonym link, else a fuzzy match, else null.
 
-    One set-wise pass over the distinct labels; the link rule is repeated (at most three passes)
-    because a variant made for one label can be the accepted name of another.
+    One set-wise pass over the distinct labels; the link rule is repeated until it adds nothing,
+    because a variant made for one label can be the accepted name of another. Every pass takes labels
+    away, so it ends, at cycles too. The last rule takes matches from ``candidates`` where such a table is
+    supplied, with ``id_col`` as in :func:`attach_candidates`, else from the taxa themselves.
     """
     wanted = labels.select("label").filter(F.col("label").isNotNull()).distinct()
     local = variants.groupBy(F.col("taxonvariant_name").alias("label")).agg(
@@ -250,7 +281,7 @@ def resolve_names(
     shape = "taxonvariant_name", "taxonvariant_level", "taxonvariant_status", "taxon_id"
     by_name = _carriers(variants)
     made = None
-    for _ in range(MAX_PASSES):
+    while True:
         step = linked.join(by_name, "_accepted").select(
             F.col("label").alias("taxonvariant_name"),
             F.col("_v.taxonvariant_level").alias("taxonvariant_level"),
@@ -268,7 +299,11 @@ def resolve_names(
     left_over = open_labels.unionByName(ambiguous)
     if made is not None:
         left_over = left_over.join(made.select(F.col("taxonvariant_name").alias("label")), "label", "left_anti")
-    fuzzy = accept_fuzzy(left_over, taxa, 1, min_score).select(*shape, F.lit("fuzzy").alias("rule"))
+    if candidates is None:
+        matches = accept_fuzzy(left_over, taxa, 1, min_score)
+    else:
+        matches = attach_candidates(candidates.join(left_over.distinct(), "label", "left_semi"), taxa, id_col, 1, min_score)
+    fuzzy = matches.select(*shape, F.lit("fuzzy").alias("rule"))
     new = fuzzy if made is None else made.select(*shape, F.lit("link").alias("rule")).unionByName(fuzzy)
     keyed = cut_lineage(assign_keys(new, variants, "taxonvariant_id", ["taxonvariant_name"]))
     created = keyed.select(F.col("taxonvariant_name").alias("label"), "taxonvariant_id", "rule")

@@ -6,17 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from phylomart.operators.pairwise import (
-    PAIR_SUMS,
     TILE_ROWS,
-    gather_sums,
     gower_tile,
     patristic_tile,
-    row_sums,
     tile_pairs,
 )
 from phylomart.runtime import cut_lineage, null_safe, with_position
@@ -54,35 +51,69 @@ def scaled_traits(wide: DataFrame, item: str, traits: Sequence[str]) -> DataFram
     return wide.select(item, *columns)
 
 
-def gower_distance(wide: DataFrame, item: str, traits: Sequence[str], tile_rows: int = TILE_ROWS) -> DataFrame:
+def gower_distance(wide: DataFrame, item: str, traits: Sequence[str]) -> DataFrame:
     """Gower distances of every item to all others, reduced per item.
 
     Returns (item, defined_pairs, undefined_pairs, total_distance, mean_distance). A pair's distance
-    is the mean over shared traits of the range-scaled gap, undefined when no trait is shared. The
-    matrix itself exists only tile by tile.
+    is the mean over shared traits of the range-scaled gap, undefined when no trait is shared.
+
+    No pair is formed. Items with the same traits present share a pattern, and the divisor of a pair depends on
+    the two patterns alone. In the order of a trait's values, the gaps of an item to all items of a pattern
+    follow from their count and sum below it. Both are prefix sums over range partitions.
     """
     traits = list(traits)
-    scaled = cut_lineage(scaled_traits(wide, item, traits))
-    pairs = tile_pairs(scaled, [], item, traits, tile_rows)
-
-    @F.pandas_udf(PAIR_SUMS)
-    def sums(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
+    bits = F.array(*[F.when(F.isnan(t), 0).otherwise(1 << i) for i, t in enumerate(traits)])
+    scaled = scaled_traits(wide, item, traits).withColumn("_has", F.aggregate(bits, F.lit(0), lambda x, b: x + b))
+    scaled = cut_lineage(scaled)
+    # at most 2 ** len(traits) rows
+    sizes = {r["_has"]: r["count"] for r in scaled.groupBy("_has").count().collect()}
+    values = scaled.select(item, "_has", F.posexplode(F.array(*traits)).alias("_trait", "_x")).filter(~F.isnan("_x"))
+    order = ["_trait", "_x", item]
+    slots = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id())
+    slots = cut_lineage(slots).withColumn("_part", F.shiftright("_slot", 33))
+    names = {p: (f"_n{p}", f"_s{p}") for p in sizes}
+
+    def sums_of(over=lambda c: c) -> list[Column]:
         out = []
-        for p, q, same in zip(zip(*[a[t] for t in traits]), zip(*[b[t] for t in traits]), itself):
-            dist = gower_tile(p, q)
-            if same:
-                np.fill_diagonal(dist, np.nan)
-            out.append(row_sums(dist, np.ones(dist.shape[0]), np.ones(dist.shape[1]), bool(same)))
-        return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
-
-    reduced = gather_sums(pairs, [], item, sums("a", "b", F.col("i") == F.col("j")))
-    n_items = scaled.count()
-    return reduced.select(
+        for p, (n, s) in names.items():
+            own = F.col("_has") == p
+            out += [over(F.sum(F.when(own, 1).otherwise(0))).alias(n), over(F.sum(F.when(own, F.col("_x")).otherwise(0.0))).alias(s)]
+        return out
+
+    upto = Window.partitionBy("_part", "_trait").orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per partition and trait
+    parts = slots.groupBy("_part", "_trait").agg(*sums_of())
+    before = Window.partitionBy("_trait").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("_trait")
+    columns = [c for pair in names.values() for c in pair]
+    offsets = parts.select(
+        "_part",
+        "_trait",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns],
+        *[F.sum(c).over(every).alias(f"{c}_all") for c in columns],
+    )
+    running = slots.select(item, "_part", "_trait", "_x", "_has", *sums_of(lambda c: c.over(upto)))
+    joined = running.join(F.broadcast(offsets), ["_part", "_trait"])
+    gaps = F.lit(0.0)
+    for p, (n, s) in names.items():
+        below_n, below_s = F.col(n) + F.col(f"{n}_before"), F.col(s) + F.col(f"{s}_before")
+        gap = F.col("_x") * (2 * below_n - F.col(f"{n}_all")) + F.col(f"{s}_all") - 2 * below_s
+        shared = F.bit_count(F.col("_has").bitwiseAND(F.lit(p)))
+        gaps = gaps + F.when(shared > 0, gap / shared).otherwise(0.0)
+    totals = joined.select(item, gaps.alias("_gap")).groupBy(item).agg(F.sum("_gap").alias("_total"))
+    n_items = sum(sizes.values())
+    met = F.lit(0).cast("long")
+    for p, size in sizes.items():
+        met = met + F.when(F.col("_has").bitwiseAND(F.lit(p)) > 0, F.lit(size)).otherwise(0)
+    # an item with a trait meets itself
+    counted = scaled.select(item, (met - F.when(F.col("_has") > 0, 1).otherwise(0)).alias("n"))
+    total = F.when(F.col("n") > 0, F.greatest("_total", F.lit(0.0))).otherwise(0.0)
+    return counted.join(totals, item, "left").select(
         item,
-        F.col("n").cast("long").alias("defined_pairs"),
+        F.col("n").alias("defined_pairs"),
         (F.lit(n_items - 1) - F.col("n")).cast("long").alias("undefined_pairs"),
-        F.col("total").alias("total_distance"),
-        F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean_distance"),
+        total.alias("total_distance"),
+        F.when(F.col("n") > 0, total / F.col("n")).alias("mean_distance"),
     )
 
 

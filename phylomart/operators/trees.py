@@ -145,6 +145,8 @@ def mean_patristic_distance(branches: DataFrame, tips: DataFrame) -> DataFrame:
     )
     lengths = tree.select("tree_id", F.col("node_id").alias("node"), F.when(F.col("parent_id").isNotNull(), F.col("branch_length")).otherwise(0.0).alias("len"))
     weight = below.join(lengths, ["tree_id", "node"]).select("tree_id", "node", (F.col("below") * F.col("len")).alias("w"))
+    # the root is in every path: one row per node, written, so that the hot side can be split
+    weight = lookup_side(weight)
     saved = (
         paths.join(per_parent.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi")
         .select("tree_id", "node_id", F.explode(steps).alias("s"))

@@ -23,7 +23,7 @@ from phylomart.operators.cleaning import (
 from phylomart.operators.hierarchy import expand_taxon, with_subspecies
 from phylomart.operators.joins import backfill_fk, insert_if_absent
 from phylomart.operators.keys import assign_keys
-from phylomart.operators.names import lookup_name, resolve_backbone
+from phylomart.operators.names import lookup_name, lookup_rejects, resolve_backbone
 from phylomart.operators.occurrences import (
     distinct_coordinates,
     filter_by_range,
@@ -67,6 +67,7 @@ class OccurrenceBuild(NamedTuple):
     variants: DataFrame  # new variants
     taxa: DataFrame  # new version
     rejected: DataFrame  # labels the backbone does not know
+    rejected_records: DataFrame  # raw records whose key has no name
 
 
 def clean_occurrences(raw: DataFrame) -> DataFrame:
@@ -94,18 +95,22 @@ def clean_occurrences(raw: DataFrame) -> DataFrame:
 def build_occurrences(raw: DataFrame, tables: Mapping[str, DataFrame], named: bool = True) -> OccurrenceBuild:
     """Raw records to new occurrence rows, keyed and attached to variants through the backbone.
 
-    With ``named`` the label column is already there; otherwise it is looked up by ``taxon_key``.
+    With ``named`` the label column is already there; otherwise it is looked up by ``taxon_key``, and records
+    whose key has no name are reported, not stored.
     """
     rows = bool_word_to_int(raw, "has_geospatial_issues")
+    unknown = rows.limit(0)
     if not named:
-        rows = lookup_name(rows, tables["longnames"])
+        unknown = lookup_rejects(rows, tables["longnames"])
+        rows = lookup_name(rows, tables["longnames"]).filter("label is not null")
     fresh = insert_if_absent(clean_occurrences(rows).select(*STORED_COLUMNS), tables["occurrences"])
-    keyed = cut_lineage(assign_keys(fresh, tables["occurrences"], "occurrence_id", ["gbif_id", *STORED_COLUMNS[1:]]))
+    # numbering starts from a written table and ends in one
+    keyed = assign_keys(fresh, tables["occurrences"], "occurrence_id", ["gbif_id", *STORED_COLUMNS[1:]])
     backbone = resolve_backbone(
         keyed.select("label"), tables["longnames"], tables["synonym_links"], tables["taxonvariants"], tables["taxa"]
     )
     return OccurrenceBuild(
-        backfill_fk(keyed, backbone.label_map), backbone.variants, backbone.taxa, backbone.rejected
+        backfill_fk(keyed, backbone.label_map), backbone.variants, backbone.taxa, backbone.rejected, unknown
     )
 
 
@@ -141,20 +146,21 @@ def extract_occurrences(
     min_records: int = 10,
     min_in_range: int = 10,
     thresh: float = math.inf,
+    finished: DataFrame | None = None,
 ) -> DataFrame:
     """Filtered records of every species below the start labels: one plan for all species.
 
     ``roots`` has ``label``. Order of the rules: sample, basis, dates, precision, distinct places,
-    gate, ranges, gate, outliers, gate.
+    gate, ranges, gate, outliers, gate. Species in ``finished`` (taxon_name) are left out before any record is read.
     """
     starts = (
         tables["branches"].filter(F.col("tree_id") == tree_id).join(roots.select("label").distinct(), "label", "left_semi")
     )
-    species = cut_lineage(
-        expand_taxon(tables["branches"], tables["taxonvariants"], tables["taxa"], starts.select("node_id"), "SPECIES", tree_id)
-        .select("taxon_id", "taxon_name")
-        .distinct()
-    )
+    species = expand_taxon(tables["branches"], tables["taxonvariants"], tables["taxa"], starts.select("node_id"), "SPECIES", tree_id)
+    species = species.select("taxon_id", "taxon_name").distinct()
+    if finished is not None:
+        species = species.join(finished.select("taxon_name").distinct(), "taxon_name", "left_anti")
+    species = cut_lineage(species)
     records, names = species_occurrences(species, tables, tree_id, subspecies)
     records = records.select(*EXTRACTED_COLUMNS)
     if sample:

@@ -33,7 +33,8 @@ def extract_synonyms(rows: DataFrame, synonyms: str = "synonyms", level: str = "
     row's own label with the epithet of its rank replaced.
     """
     line = F.regexp_replace(F.coalesce(F.col(synonyms), F.lit("")), r"\.$", "")
-    items = F.split(line, ", ")
+    # a separator at the end begins no further item
+    items = F.split(F.regexp_replace(line, "(, )+$", ""), ", ")
     words = (
         F.when(line.rlike(ITALIC_WORD), F.array(F.regexp_extract(line, ITALIC_WORD, 1)))
         .when(F.forall(items, lambda w: w.rlike(CAPITALISED)), items)

@@ -33,7 +33,7 @@ def load_traits(
 
     ``states`` has label, character_id (the file's own number) and character_value.
     """
-    keyed = cut_lineage(assign_keys(characters, tables["characters"], "character_id", ["data_source", "char_id"]))
+    keyed = assign_keys(characters, tables["characters"], "character_id", ["data_source", "char_id"])
     mapped = map_local_ids(states, keyed)
     names = None
     if resolve:
@@ -43,5 +43,7 @@ def load_traits(
         mapped = mapped.join(names.label_map.select("label", "taxonvariant_id"), "label", "left")
     else:
         mapped = mapped.withColumn("taxonvariant_id", F.lit(None).cast("long"))
-    rows = assign_keys(mapped, tables["states"], "state_id", ["label", "character_id", "character_value"])
+    # equal rows are told apart by a row number, so that many of them can be split
+    mapped = cut_lineage(mapped.withColumn("_row", F.monotonically_increasing_id()))
+    rows = assign_keys(mapped, tables["states"], "state_id", ["label", "character_id", "character_value", "_row"], stored=True)
     return keyed, rows.select("state_id", "label", "character_id", "character_value", "taxonvariant_id"), names

@@ -23,6 +23,7 @@ def triples_for_taxa(pages: DataFrame, parents: DataFrame, traits: DataFrame, na
         below.withColumnRenamed("descendant", "page_id").join(pages.select("page_id", "canonical"), "page_id"), "canonical"
     ).select("page_id", F.col("canonical").alias("taxon"))
     species = lookup_side(species)
+    traits = traits.join(species.select("page_id").distinct(), "page_id", "left_semi")
     literals = label_with_units(graph_literals(traits), name="label").select(
         "page_id", F.col("label").alias("predicate"), F.col("measurement").cast("string").alias("value")
     )

@@ -10,11 +10,9 @@ from pyspark.sql.types import StringType, StructType
 from phylomart.operators.cleaning import bool_word_to_int
 from phylomart.operators.joins import insert_if_absent
 from phylomart.plans.occurrences import STORED_COLUMNS, clean_occurrences
+from phylomart.runtime import cut_lineage
 from phylomart.schemas import TABLES
 
-# More months than this in one batch and the stored table is read whole.
-MAX_PRUNED_MONTHS = 2000
-
 _STORED = StructType([f for f in TABLES["occurrences"].fields if f.name in STORED_COLUMNS]).add("event_month", StringType())
 
 
@@ -26,8 +24,8 @@ def stored_schema() -> StructType:
 def append_new(batch: DataFrame, table: str) -> None:
     """Append the batch's rows that are not yet stored.
 
-    Equal rows share their event month, so only the months of the batch are read back; their list is
-    bounded before it comes to the driver.
+    Equal rows share their event month, so only stored rows of the batch's months are compared; the table is
+    partitioned by month, and dynamic pruning may skip the others. The batch is parsed once.
     """
     spark = batch.sparkSession
     rows = clean_occurrences(bool_word_to_int(batch, "has_geospatial_issues")).select(*STORED_COLUMNS)
@@ -36,10 +34,8 @@ def append_new(batch: DataFrame, table: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(table)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         stored = spark.read.schema(_STORED).parquet(table)
-        months = [r[0] for r in rows.select("event_month").distinct().limit(MAX_PRUNED_MONTHS + 1).collect()]
-        if len(months) <= MAX_PRUNED_MONTHS:
-            stored = stored.filter(F.col("event_month").isin(months))
-        rows = insert_if_absent(rows, stored)
+        rows = cut_lineage(rows)
+        rows = insert_if_absent(rows, stored.join(rows.select("event_month").distinct(), "event_month", "left_semi").select(*rows.columns))
     else:
         rows = rows.dropDuplicates()
     rows.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(table)

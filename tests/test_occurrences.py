@@ -85,11 +85,10 @@ def gower(rows, i, j):
     return sum(gaps) / len(gaps) if gaps else None
 
 
-@pytest.mark.parametrize("tile_rows", [6, 1024])
-def test_gower_and_complete_cases(make, tile_rows):
+def test_gower_and_complete_cases(make):
     rng = random.Random(2)
     rows = [(i, rng.random() if i % 5 else None, float(rng.randint(0, 9)) if i % 5 != 1 else None, 4.0 if i % 2 else None) for i in range(30)]
-    dist = gower_distance(make(rows, "item long, t1 double, t2 double, t3 double"), "item", ["t1", "t2", "t3"], tile_rows)
+    dist = gower_distance(make(rows, "item long, t1 double, t2 double, t3 double"), "item", ["t1", "t2", "t3"])
     got = {r.item: r for r in dist.collect()}
     complete = set()
     for i in range(30):
