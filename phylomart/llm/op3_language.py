@@ -30,19 +30,23 @@ def fold(doc_id: Column) -> Column:
 def hashed_grams(texts: list[str | None], bits: int, orders: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Per order, the bucket of the n-gram that starts at each place; and each text's first place.
 
-    Texts are lower-cased and end in ``orders - 1`` zero code points, so no n-gram spans two texts.
+    Texts are lower-cased and followed by a gap of zero code points that the last n-grams reach into. What starts in the
+    gap itself has the bucket after the last, which counts for nothing; so no n-gram spans two texts.
     """
     gap = "\0" * max(1, orders - 1)
     low = [(t or "").lower() + gap for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     first = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
     shift, out = np.uint32(32 - bits), []
+    gaps = (first[1:, None] - 1 - np.arange(len(gap))).ravel()
     rolled = np.zeros(len(codes), dtype=np.uint32)
     for order in range(orders):
         ahead = np.zeros(len(codes), dtype=np.uint32)
         ahead[: len(codes) - order] = codes[order:]
         rolled = (rolled ^ (ahead + np.uint32(order))) * _MULTIPLIER
-        out.append((rolled * _SPREAD) >> shift)
+        gram = (rolled * _SPREAD) >> shift
+        gram[gaps] = 1 << bits
+        out.append(gram)
     return out, first
 
 
@@ -63,7 +67,7 @@ def count_grams(labelled: DataFrame, bits: int = BITS, orders: int = ORDERS) ->
                 total = seen.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))
                 total[-1] += mine.sum()
                 for gram in grams:
-                    total[:-1] += np.bincount(gram[here], minlength=1 << bits)
+                    total[:-1] += np.bincount(gram[here], minlength=(1 << bits) + 1)[:-1]
         for lang, total in seen.items():
             some = np.flatnonzero(total)
             bucket = np.where(some == 1 << bits, -1, some)
@@ -88,7 +92,8 @@ class Model:
             else:
                 table[bucket, place[lang]] = n
         self.prior = np.log(docs / max(docs.sum(), 1)) if self.langs else docs
-        self.logs = np.log((table + alpha) / (table.sum(axis=0) + alpha * table.shape[0])).astype(np.float32)
+        logs = np.log((table + alpha) / (table.sum(axis=0) + alpha * table.shape[0])).astype(np.float32)
+        self.logs = np.vstack([logs, np.zeros_like(logs[:1])])
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Place of the most probable language of each text, and its posterior probability."""

@@ -198,7 +198,7 @@ def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Rewrite gzip WARC files, given by ``path``, with one member per record; returns (path, index, n_records).
 
     Every file is inflated once, from its beginning, in pieces; memory is bounded by the largest record. ``index`` is the
-    sidecar, a gzip JSON-lines file of (offset, length, type, id) per member. Files that are in members already come out alike.
+    sidecar, a tab-separated line of offset, length, type and id per member. Files that are in members already come out alike.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
