@@ -39,9 +39,13 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def read_csv_quoted(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Quoted CSV with doubled quotes and line breaks inside fields."""
+    """Quoted CSV with doubled quotes and line breaks inside fields.
+
+    Such a file is read by one task, so the rows are dealt out before any later work.
+    """
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True)
-    return reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    rows = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    return rows.hint("rebalance")
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

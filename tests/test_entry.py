@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 
@@ -25,6 +27,27 @@ def test_query_equals_its_sql(spark, name):
     assert sum(ours[1].values()) > 0
 
 
+ALONE = ["d13_assign_keys", "e8_roots_and_orphans", "e11_patristic_distance", "c17_page_by_name", "e6_drop_tips"]
+
+
+@pytest.mark.parametrize("name", ALONE)
+def test_query_needs_no_views_of_others(spark, name):
+    alone = spark.newSession()
+    df = entry.queries()[name](alone, entry.SMOKE_DIR)
+    small = df.count()
+    assert small > 0
+    # another scale factor in the same session reads its own tables
+    assert entry.queries()[name](alone, "/root/testdata/sf0.01").count() > (0 if name == "c17_page_by_name" else small)
+
+
+def test_no_query_reads_a_view_it_did_not_make():
+    folder = os.path.join(os.path.dirname(entry.__file__), "catalog")
+    for file in os.listdir(folder):
+        if file.endswith(".py"):
+            with open(os.path.join(folder, file)) as text:
+                assert "spark.table(" not in text.read(), file
+
+
 def test_flagship_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude"] and df.count() > 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from phylomart.operators.joins import insert_if_absent, with_parent
 from phylomart.operators.keys import assign_keys, first_seen_ids
-from phylomart.operators.names import acceptable, fuzzy_match, lookup_rejects, resolve_backbone, resolve_names
+from phylomart.operators.names import acceptable, attach_candidates, fuzzy_match, lookup_rejects, resolve_backbone, resolve_names
 from phylomart.operators.hierarchy import ranks_to_adjacency
 from phylomart.plans.taxonomy import extract_synonyms
 from phylomart.runtime import ordinal_within, with_position
@@ -88,6 +88,32 @@ def test_cascade_local_link_chain_fuzzy_and_ambiguous(make):
     assert made == {"Older": 1, "Oldest": 1, "Aaaba": 1, "Twice": 2}
 
 
+def test_links_are_followed_to_their_end(make):
+    variants, taxa = make([(1, "Aaaaa", "SPECIES", "accepted", 7)], VARIANTS), make([(7, "Aaaaa", "SPECIES", 1, None)], TAXA)
+    names = make([(i, f"Name{'x' * 3 * i}") for i in range(1, 9)] + [(99, "Aaaaa"), (50, "Loop one"), (51, "Loop other")], NAMES)
+    links = make([(1, 99), *[(i, i - 1) for i in range(2, 9)], (50, 51), (51, 50)], LINKS)
+    found = resolve_names(names.selectExpr("completename as label"), variants, taxa, names, links)
+    rules = {r.label: r.rule for r in found.label_map.collect()}
+    assert [rules[f"Name{'x' * 3 * i}"] for i in range(1, 9)] == ["link"] * 8
+    assert rules["Loop one"] is None and rules["Loop other"] is None and rules["Aaaaa"] == "local"
+    assert {r.taxon_id for r in found.variants.collect()} == {7}
+
+
+CANDIDATES = "label string, local_id long, score double, match_value string, edit_distance int"
+
+
+def test_supplied_candidates_attach_by_either_key(make):
+    taxa = make([(1, "Aa", "SPECIES", 10, 100), (2, "Bb", "GENUS", 20, 200), (3, "Bb", "SPECIES", 20, None)], TAXA)
+    exact, fuzzy = "Exact match by canonical form", "Fuzzy match by canonical form"
+    rows = [("low", 10, 0.7, exact, 0), ("kind", 10, 0.9, "Exact string match", 0), ("far", 10, 0.9, fuzzy, 2), ("gone", 77, 0.9, exact, 0), (None, 10, 0.9, exact, 0),
+            ("null", None, 0.9, exact, 0), ("best", 20, 0.8, exact, 0), ("best", 10, 0.95, fuzzy, 1), ("tie", 20, 0.75, exact, 0), ("tie", 20, 0.75, exact, 0)]
+    got = attach_candidates(make(rows, CANDIDATES), taxa, "msw_id").collect()
+    assert {(r.taxonvariant_name, r.taxon_id, r.taxonvariant_level, r.score) for r in got} == {("best", 1, "SPECIES", 0.95), ("tie", 2, "GENUS", 0.75)} and len(got) == 2
+    assert attach_candidates(make(rows, CANDIDATES), taxa).count() == 0
+    found = resolve_names(make([("best",), ("tie",), ("low",)], "label string"), make([], VARIANTS), taxa, make([], NAMES), make([], LINKS), candidates=make(rows, CANDIDATES), id_col="msw_id")
+    assert {r.label: r.rule for r in found.label_map.collect()} == {"best": "fuzzy", "tie": "fuzzy", "low": None}
+
+
 def test_lookup_rejects(make):
     rows = make([(1, 5), (2, 6)], "k int, taxon_key long")
     assert [r.k for r in lookup_rejects(rows, make([(5, "Aa")], NAMES)).collect()] == [2]
@@ -125,10 +151,10 @@ def test_assign_keys_and_first_seen(make):
 
 
 def test_synonym_styles(make):
-    rows = [(1, "<i>alpha</i> and <i>beta</i>.", "SPECIES"), (2, "Alpha, Beta.", "GENUS"), (3, "Delta of authors", "SUBSPECIES"), (4, "lower", "SPECIES"), (5, None, "SPECIES")]
+    rows = [(1, "<i>alpha</i> and <i>beta</i>.", "SPECIES"), (2, "Alpha, Beta.", "GENUS"), (3, "Delta of authors", "SUBSPECIES"), (4, "lower", "SPECIES"), (5, None, "SPECIES"), (6, "Gamma, Delta, .", "GENUS")]
     df = make([(*r, "Bos", "taurus", "indicus") for r in rows], "line int, synonyms string, taxon_level string, genus string, species string, subspecies string")
     got = sorted((r.line, r.synonym_name) for r in extract_synonyms(df).collect())
-    assert got == [(1, "Bos alpha"), (2, "Alpha"), (2, "Beta"), (3, "Bos taurus Delta")]
+    assert got == [(1, "Bos alpha"), (2, "Alpha"), (2, "Beta"), (3, "Bos taurus Delta"), (6, "Delta"), (6, "Gamma")]
 
 
 def test_rank_rows_parents(make):

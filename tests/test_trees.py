@@ -171,6 +171,25 @@ def test_descendants_stop_at_cycles(make):
     got = {r.descendant for r in h.descendants(edges, make([(1,)], "root long")).collect()}
     assert got == {1, 2, 3, 4}
     assert h.descendants(edges, make([(9,)], "root long")).count() == 0
+    twice = make([(2, 1), (2, 1)], "child_page long, parent_page long")
+    assert [tuple(r) for r in h.descendants(twice, make([(1,), (1,)], "root long")).collect()] == [(1, 2)]
+
+
+def test_trees_of_any_depth_and_cycles(make):
+    n = 1200
+    chain = make([(1, i, i - 1 if i else None, 1.0, f"n{i}") for i in range(n)], TREE)
+    assert {(r.level, r.depth) for r in h.root_to_tip(chain).filter("is_tip").collect()} == {(n - 1, n - 1.0)}
+    loop = make([(1, 1, 3, 1.0, "a"), (1, 2, 1, 1.0, "b"), (1, 3, 2, 1.0, "c")], TREE)
+    with pytest.raises(ValueError, match="cycle"):
+        h.root_to_tip(loop)
+    with pytest.raises(ValueError, match="cycle"):
+        h.collapse_unary(loop)
+    levels = {1: "ORDER", 2: "GENUS", 3: "SPECIES"}
+    branches = make([(1, 2, 1, 11), (2, 1, 2, 11), (3, 2, 3, 11)], "node_id long, parent_id long, taxonvariant_id long, tree_id long")
+    variants = make([(i, f"v{i}", v, "accepted", i) for i, v in levels.items()], VARIANTS)
+    taxa = make([(i, f"v{i}", v) for i, v in levels.items()], "taxon_id long, taxon_name string, taxon_level string")
+    assert [(r.root_id, r.node_id) for r in h.expand_taxon(branches, variants, taxa, make([(1,)], "node_id long")).collect()] == [(1, 3)]
+    assert h.expand_taxon(branches, variants, taxa, make([(99,)], "node_id long"), include_start=False).count() == 0
 
 
 VARIANTS = "taxonvariant_id long, taxonvariant_name string, taxonvariant_level string, taxonvariant_status string, taxon_id long"
