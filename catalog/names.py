@@ -142,10 +142,11 @@ def _(spark, sf):
     return accept_fuzzy(view(spark, sf, "fx_messy_names"), view(spark, sf, "fx_taxa")).drop("score")
 
 
-@query("c13_setdiff_join", "select node_id, label from fx_phylogeny where label <> '' and label not in (select binomial from fx_traits_wide)")
+@query("c13_setdiff_join", "select node_id, label from fx_phylogeny where label <> '' and label not in (select binomial from fx_traits_wide where t2_price not in ('', 'n/a'))")
 def _(spark, sf):
     tips = view(spark, sf, "fx_phylogeny").filter("label <> ''").select("node_id", "label")
-    return j.setdiff_join(tips, view(spark, sf, "fx_traits_wide").withColumnRenamed("binomial", "label"), "label")
+    priced = view(spark, sf, "fx_traits_wide").filter("t2_price not in ('', 'n/a')")
+    return j.setdiff_join(tips, priced.withColumnRenamed("binomial", "label"), "label")
 
 
 @query("c14_taxa_in_all", """select taxon_id, taxon_name from fx_taxa x where exists (select 1 from fx_taxonvariants v join fx_occurrences o on o.taxonvariant_id = v.taxonvariant_id where v.taxon_id = x.taxon_id)
@@ -154,15 +155,24 @@ def _(spark, sf):
     return j.taxa_in_all(mart(spark, sf), ["occurrences", "states"]).select("taxon_id", "taxon_name")
 
 
-@query("c18_orphan_audit", """select 'branches' as child, 'taxonvariant_id' as fk, taxonvariant_id as fk_value, count(*) as n_rows from fx_branches
-where taxonvariant_id not in (select taxonvariant_id from fx_taxonvariants) group by taxonvariant_id
-union all select 'taxonvariants', 'taxon_id', taxon_id, count(*) from fx_taxonvariants where taxon_id not in (select taxon_id from fx_taxa) group by taxon_id
-union all select 'branches', 'tree_id', tree_id, count(*) from fx_branches where tree_id not in (select tree_id from fx_trees) group by tree_id
-union all select 'occurrences', 'taxonvariant_id', taxonvariant_id, count(*) from fx_occurrences where taxonvariant_id not in (select taxonvariant_id from fx_taxonvariants) group by taxonvariant_id
-union all select 'states', 'character_id', character_id, count(*) from fx_states where character_id not in (select character_id from fx_characters) group by character_id
-union all select 'states', 'taxonvariant_id', taxonvariant_id, count(*) from fx_states where taxonvariant_id not in (select taxonvariant_id from fx_taxonvariants) group by taxonvariant_id""")
+# the parents of each key without a part of their rows
+KEPT_PARENTS = {"taxonvariants": "taxonvariant_status = 'accepted'", "taxa": "taxon_level <> 'FAMILY'", "trees": "tree_id <> 12", "characters": "data_source = 'parts'"}
+ORPHANS = [("branches", "taxonvariant_id", "taxonvariants"), ("taxonvariants", "taxon_id", "taxa"), ("branches", "tree_id", "trees"),
+           ("occurrences", "taxonvariant_id", "taxonvariants"), ("states", "character_id", "characters"), ("states", "taxonvariant_id", "taxonvariants")]
+
+
+def orphans_sql() -> str:
+    kept = {n: f"(select * from fx_{n} where {KEPT_PARENTS[n]})" if n in KEPT_PARENTS else f"fx_{n}" for n in ("branches", "occurrences", "states", *KEPT_PARENTS)}
+    return " union all ".join(
+        f"select '{child}' as child, '{fk}' as fk, {fk} as fk_value, count(*) as n_rows from {kept[child]} c where {fk} not in (select {fk} from {kept[parent]} p) group by {fk}"
+        for child, fk, parent in ORPHANS
+    )
+
+
+@query("c18_orphan_audit", orphans_sql())
 def _(spark, sf):
-    return j.orphan_audit(mart(spark, sf))
+    tables = mart(spark, sf)
+    return j.orphan_audit({n: df.filter(KEPT_PARENTS[n]) if n in KEPT_PARENTS else df for n, df in tables.items()})
 
 
 @query("d13_assign_keys", """select row_number() over (order by s_name, s_suppkey) + (select max(taxon_id) from fx_taxa) as taxon_id, s_name as taxon_name from supplier""")

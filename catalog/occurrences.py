@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import mart, view
-from catalog.registry import query, r6, scratch
+from catalog.registry import in_order, query, r6, scratch
 from catalog.sources import with_rings
 from phylomart.functions.geo import haversine_km
 from phylomart.operators import occurrences as o
@@ -33,9 +33,9 @@ def dist(a: str, b: str) -> str:
     return f"2 * 6371.0 * asin(least(1.0, sqrt({lat} + cos(radians({a}.decimal_latitude)) * cos(radians({b}.decimal_latitude)) * {lon})))"
 
 
-@query("d1_distinct_labels", "select distinct label from fx_occ_raw")
+@query("d1_distinct_labels", "select label, row_number() over (order by label) as position from (select distinct label from fx_occ_raw) t")
 def _(spark, sf):
-    return o.distinct_labels(view(spark, sf, "fx_occ_raw"))
+    return in_order(o.distinct_labels(view(spark, sf, "fx_occ_raw")))
 
 
 @query("d2_distinct_coordinates", f"""select taxon_name, decimal_latitude, decimal_longitude, min(occurrence_id) as occurrence_id, arg_min(basis_of_record, occurrence_id) as basis_of_record

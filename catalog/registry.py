@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import with_views
-from phylomart.runtime import configure, shared_dir
+from phylomart.runtime import configure, shared_dir, with_position
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,11 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """The rows of a sorted frame with their place as ``position``, so that a check sees the order."""
+    return with_position(df.withColumn("_slot", F.monotonically_increasing_id()), ["_slot"], "position").drop("_slot")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the cluster's shared folder."""
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from catalog.registry import query, scratch
 from phylomart.operators.joins import backfill_fk, insert_if_absent
 from phylomart.operators.traits import character_matrix, matrix_lines
 from phylomart.schemas import TABLES
-from phylomart.sources.newick import parse_newick, write_newick
+from phylomart.sources.newick import newick_fragments, newick_rejects, parse_newick, write_newick
 from phylomart.sources.tables import register_tables, write_tables
 from phylomart.sources.tabular import read_csv_quoted, read_ranges, read_tsv, write_species_csv, write_tsv
 from catalog.traits import KINDS, labelled_states
@@ -172,6 +172,27 @@ def _(spark, sf):
     return write_newick(view(spark, sf, "fx_taxonomy")).select("root_id", "newick")
 
 
+@query(
+    "a12_newick_fragments",
+    """with recursive kids as (select t.*, row_number() over (partition by t.parent_id order by t.node_id) = 1 as first, exists (select 1 from fx_taxonomy c where c.parent_id = t.node_id) as is_inner from fx_taxonomy t),
+walk as (select node_id as root_id, node_id, [node_id] as path, concat(replace(label, ' ', '_')) as own, '' as comma, is_inner from kids where parent_id is null
+  union all select w.root_id, k.node_id, list_append(w.path, k.node_id), concat(replace(k.label, ' ', '_'), ':', cast(k.branch_length as string)), case when k.first then '' else ',' end, k.is_inner from walk w join kids k on k.parent_id = w.node_id),
+pieces as (select root_id, path as key, case when is_inner then concat(comma, '(') else concat(comma, own) end as text, len(path) = 1 and not is_inner as ends from walk
+  union all select root_id, list_append(path, 9223372036854775807), concat(')', own), len(path) = 1 from walk where is_inner)
+select root_id, row_number() over (partition by root_id order by key) as ordinal, case when ends then concat(text, ';') else text end as fragment from pieces""",
+)
+def _(spark, sf):
+    return newick_fragments(view(spark, sf, "fx_taxonomy")).select("root_id", "ordinal", "fragment")
+
+
+# every second text loses its last bracket
+@query("a6_newick_rejects", "select cast(node_id as string) as tree_name from fx_taxonomy where lvl = 'ORDER' and node_id % 2 = 0")
+def _(spark, sf):
+    texts = write_newick(view(spark, sf, "fx_taxonomy"))
+    broken = F.when(F.col("root_id") % 2 == 0, F.concat(F.lit("("), "newick")).otherwise(F.col("newick"))
+    return newick_rejects(texts.select(F.col("root_id").cast("string").alias("tree_name"), broken.alias("newick"))).select("tree_name")
+
+
 @query(
     "a13_matrix_lines",
     """select concat(replace(taxon_name, ' ', '_'), ' ', coalesce(arg_max(case when label = 't1_size' then character_value end, case when label = 't1_size' then state_id end), '?'), ' ',

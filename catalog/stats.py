@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import mart, view
-from catalog.registry import query, r6
+from catalog.registry import in_order, query, r6
 from catalog.trees import TIPS, path_length
 from phylomart.operators.hierarchy import interior_paths, node_paths
 from phylomart.operators.occurrences import latitude_summary
@@ -61,14 +61,14 @@ def _(spark, sf):
     return found.select(r6("r").alias("r"), r6("p_value").alias("p_value"), "permutations", "n_pairs")
 
 
-@query("s1_order_by", "select taxon_id, taxon_name from fx_taxa")
+@query("s1_order_by", "select taxon_id, taxon_name, row_number() over (order by taxon_name, taxon_id) as position from fx_taxa")
 def _(spark, sf):
-    return view(spark, sf, "fx_taxa").select("taxon_id", "taxon_name").orderBy("taxon_name", "taxon_id")
+    return in_order(view(spark, sf, "fx_taxa").select("taxon_id", "taxon_name").orderBy("taxon_name", "taxon_id"))
 
 
-@query("s2_order_bytes", "select distinct taxon, charname from fx_triples")
+@query("s2_order_bytes", "select taxon, charname, row_number() over (order by taxon, charname) as position from (select distinct taxon, charname from fx_triples) t")
 def _(spark, sf):
-    return view(spark, sf, "fx_triples").select("taxon", "charname").distinct().orderBy("taxon", "charname")
+    return in_order(view(spark, sf, "fx_triples").select("taxon", "charname").distinct().orderBy("taxon", "charname"))
 
 
 @query("s3_limit_k", "select taxon_name, taxon_id from fx_taxa order by taxon_name, taxon_id limit 100")
@@ -88,9 +88,9 @@ def _(spark, sf):
     return view(spark, sf, "fx_taxonomy").select("label").union(view(spark, sf, "fx_phylogeny").select("label")).distinct()
 
 
-@query("s6_difference", "select label from fx_phylogeny except select binomial from fx_traits_wide")
+@query("s6_difference", "select label from fx_phylogeny except select binomial from fx_traits_wide where t2_price not in ('', 'n/a')")
 def _(spark, sf):
-    return view(spark, sf, "fx_phylogeny").select("label").subtract(view(spark, sf, "fx_traits_wide").select("binomial"))
+    return view(spark, sf, "fx_phylogeny").select("label").subtract(view(spark, sf, "fx_traits_wide").filter("t2_price not in ('', 'n/a')").select("binomial"))
 
 
 @query("s7_intersection", """select v.taxon_id from fx_taxonvariants v join fx_occurrences o on o.taxonvariant_id = v.taxonvariant_id

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylomart.functions.geo import point_in_rings, ring_bounds
-from phylomart.operators.pairwise import TILE_ROWS, great_circle_sums
+from phylomart.operators.pairwise import DISTANCE_ROWS, great_circle_sums
 from phylomart.runtime import cut_lineage, lookup_side, measured
 
 # Grid of the range join: a polygon over the whole world stands in 648 cells.
@@ -104,7 +104,7 @@ def pairwise_within_group(
     group: str = "taxon_name",
     lat: str = "decimal_latitude",
     lon: str = "decimal_longitude",
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int = DISTANCE_ROWS,
 ) -> DataFrame:
     """Every row against all others of its group: partners, total_km and mean_km per row.
 
@@ -122,7 +122,7 @@ def filter_outliers(
     thresh: float = math.inf,
     lat: str = "decimal_latitude",
     lon: str = "decimal_longitude",
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int = DISTANCE_ROWS,
 ) -> DataFrame:
     """Keep records whose mean distance to the others is within ``thresh`` sample deviations of the mean.
 

@@ -20,6 +20,9 @@ from phylomart.functions.geo import EARTH_RADIUS_KM
 from phylomart.runtime import lookup_side, null_safe
 
 TILE_ROWS = 1024
+# Distance tiles are dealt larger and cut into blocks of TILE_ROWS in the kernel: as a tile travels once to each other
+# one, 16 times larger tiles move 16 times less.
+DISTANCE_ROWS = 16 * TILE_ROWS
 
 
 def tile_pairs(
@@ -142,14 +145,28 @@ def row_sums(distance: np.ndarray, weight_a, weight_b, itself: bool) -> tuple:
 
 @F.pandas_udf(PAIR_SUMS)
 def _great_circle_sums(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
-    sides = zip(a["lat"], a["lon"], a["weight"], b["lat"], b["lon"], b["weight"], itself)
-    out = [
-        row_sums(great_circle_tile(lat1, lon1, lat2, lon2), w1, w2, bool(same))
-        for lat1, lon1, w1, lat2, lon2, w2, same in sides
-    ]
+    sides = zip(zip(a["lat"], a["lon"], a["weight"]), zip(b["lat"], b["lon"], b["weight"]), itself)
+    out = [_block_sums(p, q, bool(same)) for p, q, same in sides]
     return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
 
 
+def _block_sums(p: tuple, q: tuple, itself: bool) -> tuple:
+    """:func:`row_sums` of the distances of two tiles, a block of each at a time."""
+    total_a, n_a = np.zeros(len(p[0])), np.zeros(len(p[0]))
+    total_b, n_b = (np.zeros(0 if itself else len(q[0])) for _ in range(2))
+    for i in range(0, len(p[0]), TILE_ROWS):
+        for j in range(0, len(q[0]), TILE_ROWS):
+            at, to = slice(i, i + TILE_ROWS), slice(j, j + TILE_ROWS)
+            distance = great_circle_tile(p[0][at], p[1][at], q[0][to], q[1][to])
+            sums = row_sums(distance, p[2][at], q[2][to], itself)
+            total_a[at] += sums[0]
+            n_a[at] += sums[1]
+            if not itself:
+                total_b[to] += sums[2]
+                n_b[to] += sums[3]
+    return total_a, n_a, total_b, n_b
+
+
 def gather_sums(pairs: DataFrame, group: Sequence[str], id_col: str, sums: Column) -> DataFrame:
     """Add the partial sums of every tile pair up to one (total, n) per row id."""
     done = pairs.select(*group, F.col(f"a.{id_col}").alias("_ids_a"), F.col(f"b.{id_col}").alias("_ids_b"), sums.alias("_s"))
@@ -166,7 +183,7 @@ def gather_sums(pairs: DataFrame, group: Sequence[str], id_col: str, sums: Colum
     )
 
 
-def great_circle_sums(points: DataFrame, group: Sequence[str], tile_rows: int = TILE_ROWS) -> DataFrame:
+def great_circle_sums(points: DataFrame, group: Sequence[str], tile_rows: int = DISTANCE_ROWS) -> DataFrame:
     """Per distinct point of a group: summed distance to all rows of the group.
 
     ``points`` has the group columns, ``point``, ``lat``, ``lon`` and ``weight`` (rows at that point).

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from phylomart.sources.newick import _nodes, nexus_trees, parse_newick, write_newick
+from phylomart.sources.newick import _nodes, newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
 from phylomart.sources.tabular import read_ranges, read_tsv, write_species_csv
 
 
@@ -40,6 +40,25 @@ def test_newick_thousand_deep_chain():
     assert len(parents) == depth + 1 and parents[-1] == depth - 1 and labels[-1] == "tip" and lengths[-1] == 1.0
 
 
+def test_texts_that_are_no_trees_are_rejected(spark):
+    texts = {"good": "(A:1,B:2)r;", "open": "((A,B);", "closed": "(A,B));", "length": "(A:x,B);", "two": "A,B;", "none": None, "deep": "(" * 500 + "t" + ")" * 500 + ";"}
+    df = spark.createDataFrame(list(texts.items()), "tree_name string, newick string")
+    assert {r.tree_name for r in newick_rejects(df).collect()} == {"open", "closed", "length", "two"}
+    assert {r.tree_name: r["count"] for r in parse_newick(df).groupBy("tree_name").count().collect()} == {"good": 3, "deep": 501}
+
+
+def test_fragments_join_to_the_whole_text(spark):
+    rng = random.Random(5)
+    rows = [(t, n, rng.randrange(1, n) if n > 1 else None, float(n) if n > 1 else None, f"n '{n}" if n % 3 else None) for t in (1, 2) for n in range(1, 80)]
+    rows.append((3, 1, None, None, "alone"))
+    tree = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, branch_length double, label string")
+    whole = {(r.tree_id, r.root_id): r.newick for r in write_newick(tree).collect()}
+    parts: dict = {}
+    for r in sorted(newick_fragments(tree).collect(), key=lambda r: r.ordinal):
+        parts[r.tree_id, r.root_id] = parts.get((r.tree_id, r.root_id), "") + r.fragment
+    assert parts == whole and len(whole) == 3
+
+
 def test_nexus_tree_lines(spark):
     lines = ["#NEXUS", "begin trees;", "tree 'best' = (A:1,B:2);", "  tree low = [&R] (A,B);", "end;"]
     found = nexus_trees(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
