@@ -12,10 +12,15 @@ from phylomart.llm.common import ready, table
 from phylomart.runtime import shared_dir
 
 
+def with_size(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, follows the changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; the others lose the lines common in their source."""
     ready(spark)
-    return op9_quality.keep_good(docs)
+    return with_size(op9_quality.keep_good(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +36,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by tags, n_chars follows; every document stays."""
+    """Personal data in the texts is replaced by tags; every document stays."""
     ready(spark)
-    redacted = op6_pii.redact(docs)
-    return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
+    return with_size(op6_pii.redact(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,17 +81,16 @@ def count_grams(labelled: DataFrame, bits: int = BITS, orders: int = ORDERS) ->
 class Model:
     """Languages in order, log prior of each and log probability by (bucket, language)."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], bits: int, orders: int, alpha: float):
+    def __init__(self, counts: pa.Table, bits: int, orders: int, alpha: float):
+        """``counts``: lang, bucket and n as in :func:`count_grams`."""
         self.bits, self.orders = bits, orders
-        self.langs = sorted({c[0] for c in counts})
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        table = np.zeros((1 << bits, len(self.langs)))
-        docs = np.zeros(len(self.langs))
-        for lang, bucket, n in counts:
-            if bucket < 0:
-                docs[place[lang]] = n
-            else:
-                table[bucket, place[lang]] = n
+        self.langs = sorted(counts.column("lang").unique().to_pylist())
+        lang = pa.compute.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy()
+        bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
+        # the counts of documents have bucket -1, the last row
+        table = np.zeros(((1 << bits) + 1, len(self.langs)))
+        table[bucket, lang] = n
+        docs, table = table[-1], table[:-1]
         self.prior = np.log(docs / max(docs.sum(), 1)) if self.langs else docs
         logs = np.log((table + alpha) / (table.sum(axis=0) + alpha * table.shape[0])).astype(np.float32)
         self.logs = np.vstack([logs, np.zeros_like(logs[:1])])
@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, bits: int = BITS, orders: int = ORDERS, alpha: floa
     """Learn from all rows of ``labelled`` (text, lang) with both present; the driver receives at most
     2**bits + 1 counts per language, whatever the number of rows."""
     rows = count_grams(labelled.where("text is not null and lang is not null"), bits, orders)
-    return Model([tuple(r) for r in rows.collect()], bits, orders, alpha)
+    return Model(rows.toArrow(), bits, orders, alpha)
 
 
 def has_letter(text: str | None) -> bool:

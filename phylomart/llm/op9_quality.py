@@ -44,10 +44,11 @@ def has_word(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(BLANKS))) > 0
 
 
-def line_keys(text: Column) -> Column:
-    """Hashes of the normalised lines that hold a word: lower case, every run of digits 0, no blanks at the ends."""
+def line_keys(text: Column, every: bool = False) -> Column:
+    """Hashes of the normalised lines that hold a word, or of ``every`` line: lower case, every run of digits 0, no
+    blanks at the ends."""
     plain = F.regexp_replace(F.lower(text), "[0-9]+", "0")
-    return F.transform(lines_of(plain), lambda line: F.xxhash64(F.btrim(line, F.lit(BLANKS))))
+    return F.transform(F.split(plain, "\n") if every else lines_of(plain), lambda line: F.xxhash64(F.btrim(line, F.lit(BLANKS))))
 
 
 def repeated_words(words: Column) -> Column:
@@ -100,6 +101,13 @@ def common_lines(docs: DataFrame, host: str, min_docs: int = MIN_DOCS, share: in
     return cut_lineage(common.groupBy("c.host").agg(F.collect_set("key").alias("common")))
 
 
+def with_common(docs: DataFrame, host: str, min_docs: int, share: int) -> tuple[DataFrame, str]:
+    """``docs`` with the keys of their host's common lines, null where it has none, and the name of that column."""
+    common, own_host = fresh(docs, "common"), fresh(docs, "line_host")
+    own = common_lines(docs, host, min_docs, share).select(F.col("host").alias(own_host), F.col("common").alias(common))
+    return docs.join(own, docs[host].eqNullSafe(own[own_host]), "left").drop(own_host), common
+
+
 def quality(
     docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: int = SHARE, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT
 ) -> DataFrame:
@@ -110,10 +118,12 @@ def quality(
     are in lines common in their host. Null text has no words and fails; a null host is a host of its own; repeated rows are
     judged alike. A column called ``quality`` is replaced, all others stay.
     """
-    docs = docs.drop("quality")
-    common = fresh(docs, "common")
-    own = common_lines(docs, host, min_docs, share).select(F.col("host").alias(fresh(docs, "line_host")), F.col("common").alias(common))
-    joined = docs.join(own, docs[host].eqNullSafe(own[own.columns[0]]), "left").drop(own.columns[0])
+    joined, common = with_common(docs.drop("quality"), host, min_docs, share)
+    return joined.withColumn("quality", judge(common, min_words, max_repeat)).drop(common)
+
+
+def judge(common: str, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> Column:
+    """The struct of ``quality``, from columns text and ``common``."""
     text = F.col("text")
 
     def judged(words: Column) -> Column:
@@ -142,7 +152,14 @@ def quality(
         return q.withField("base_failed", failed).withField("kept", ~failed & ~depleted)
 
     # one expression, so that a filter on a field does not compute the others again
-    return joined.withColumn("quality", let(words_of(text), judged)).drop(common)
+    return let(words_of(text), judged)
+
+
+def without_lines(text: Column, common: Column) -> Column:
+    """``text`` less its common lines; the others, blank ones too, stay as they are."""
+    lines = F.arrays_zip(F.split(text, "\n").alias("line"), line_keys(text, every=True).alias("key"))
+    kept = F.filter(lines, lambda x: ~(has_word(x["line"]) & F.array_contains(common, x["key"])))
+    return F.when(common.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
 
 
 def digests(judged: DataFrame) -> DataFrame:
@@ -150,8 +167,9 @@ def digests(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
-def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, texts unchanged."""
-    q = fresh(docs, "line_quality")
-    renamed = docs.withColumnsRenamed({c: q for c in docs.columns if c.lower() == "quality"})
-    return quality(renamed, host).where("quality.kept").drop("quality").toDF(*docs.columns)
+def keep_good(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: int = SHARE) -> DataFrame:
+    """The rows of ``docs`` that are kept, their texts less the lines common in their host; all else stays."""
+    joined, common = with_common(docs, host, min_docs, share)
+    verdict = fresh(joined, "line_verdict")
+    kept = joined.withColumn(verdict, judge(common)["kept"]).where(F.col(verdict))
+    return kept.withColumn("text", without_lines(F.col("text"), F.col(common))).select(*docs.columns)
