@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import base, view
 from catalog.registry import query, r6
-from phylomart.operators.graph import graph_literals, graph_objects, page_by_name, trait_edges
+from phylomart.operators.graph import answer_rows, graph_literals, graph_objects, page_by_name, trait_edges
 from phylomart.operators.hierarchy import descendants
 from phylomart.plans.triples import triples_for_taxa
 
@@ -30,6 +30,14 @@ def _(spark, sf):
     return graph_objects(edges(spark, sf))
 
 
+# stored answers of a graph service, one JSON text a trait
+@query("c15_stored_answers", """select predicate, coalesce(units, 'none') as units from fx_trait_edges union all select predicate, cast(null as string) from fx_trait_edges""")
+def _(spark, sf):
+    rows = edges(spark, sf)
+    pair = F.concat(F.lit('{"data": [["'), "predicate", F.lit('", "'), F.coalesce("units", F.lit("none")), F.lit('"], ["'), "predicate", F.lit('", null]]}'))
+    return answer_rows(rows.select(pair.alias("answer")), "answer").select(F.col("cells")[0].alias("predicate"), F.col("cells")[1].alias("units"))
+
+
 @query("c17_page_by_name", "select page_id, canonical from fx_pages where canonical in (select r_name from region union all select n_name from nation)")
 def _(spark, sf):
     pages = view(spark, sf, "fx_pages")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import mart, view
+from catalog.fixtures import base, mart, view
 from catalog.registry import query, scratch
 from phylomart.operators.joins import backfill_fk, insert_if_absent
 from phylomart.operators.traits import character_matrix, matrix_lines
 from phylomart.schemas import TABLES
-from phylomart.sources.newick import newick_fragments, newick_rejects, parse_newick, write_newick
+from phylomart.sources.newick import newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
 from phylomart.sources.tables import register_tables, write_tables
 from phylomart.sources.tabular import read_csv_quoted, read_ranges, read_tsv, write_species_csv, write_tsv
 from catalog.traits import KINDS, labelled_states
@@ -185,6 +185,16 @@ def _(spark, sf):
     return newick_fragments(view(spark, sf, "fx_taxonomy")).select("root_id", "ordinal", "fragment")
 
 
+@query("a6_nexus_trees", "select c_name as tree_name, concat('(', replace(c_name, '#', '_'), ':', cast(c_custkey as string), ',B:2);') as newick from customer")
+def _(spark, sf):
+    newick = F.concat(F.lit("("), F.replace("c_name", F.lit("#"), F.lit("_")), F.lit(":"), F.col("c_custkey").cast("string"), F.lit(",B:2);"))
+    head = F.when(F.col("c_custkey") % 2 == 0, "  tree '").otherwise("\tUTREE * '")
+    rows = base(spark, sf, "customer")
+    lines = rows.select(F.concat(head, "c_name", F.lit("' = "), newick).alias("value"))
+    others = rows.select(F.concat(F.lit("  "), "c_name", F.lit(" tree = of life;")).alias("value"))
+    return nexus_trees(lines.unionByName(others))
+
+
 # every second text loses its last bracket
 @query("a6_newick_rejects", "select cast(node_id as string) as tree_name from fx_taxonomy where lvl = 'ORDER' and node_id % 2 = 0")
 def _(spark, sf):

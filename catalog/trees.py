@@ -10,6 +10,7 @@ from catalog.traits import KINDS
 from phylomart.operators import hierarchy as h
 from phylomart.operators import trees as t
 from phylomart.operators.names import resolve_names
+from phylomart.plans.by_name import expand_by_name, make_phylo
 from phylomart.plans.dataset import build_dataset
 
 # Path of fixed depth in the phylogeny: customer - nation - region - stem - root.
@@ -80,6 +81,21 @@ def _(spark, sf):
     return tree_shape(h.induced_subtree(both_trees(spark, sf), debtors(spark, sf)))
 
 
+@query("e3_make_phylo", f"with recursive {INDUCED} select tree_id, node_id, parent_id, round(branch_length, 6) as branch_length from induced where tree_id = 12")
+def _(spark, sf):
+    names = base(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_name").alias("taxon_name"))
+    unknown = view(spark, sf, "fx_messy_names").select(F.concat(F.lit("no such "), "label").alias("taxon_name"))
+    return tree_shape(make_phylo(names.unionByName(unknown), mart(spark, sf), 12))
+
+
+@query("e1_expand_by_name", """select n_name as taxon_name, 1000 + c_custkey as node_id, c_name as expanded_name from nation join customer on c_nationkey = n_nationkey
+union all select c_name, 1000 + c_custkey, c_name from customer where c_acctbal < 0""")
+def _(spark, sf):
+    nations = base(spark, sf, "nation").select(F.col("n_name").alias("taxon_name"))
+    customers = base(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_name").alias("taxon_name"))
+    return expand_by_name(nations.unionByName(customers).unionByName(customers), mart(spark, sf))
+
+
 def collapsed(source: str, out: str) -> str:
     """SQL of the one-child rule: every kept node walks up past removed ancestors."""
     return f"""{out}_single as (select tree_id, parent_id as node_id from {source} where parent_id is not null group by tree_id, parent_id having count(*) = 1),
