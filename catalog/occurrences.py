@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import mart, view
+from catalog.fixtures import base, mart, view
 from catalog.registry import in_order, query, r6, scratch
 from catalog.sources import with_rings
 from phylomart.functions.geo import haversine_km
 from phylomart.operators import occurrences as o
 from phylomart.operators.hierarchy import with_subspecies
 from phylomart.plans.occurrences import build_occurrences, extract_occurrences
-from phylomart.sources.tabular import write_tsv
+from phylomart.sources.tabular import write_species_csv, write_tsv, written_species
 from phylomart.streaming.occurrences import stored_schema, stream_occurrences
 
 # records of every species through any of its variants
@@ -166,6 +166,19 @@ def flagship(spark, sf):
     return kept.select("gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude")
 
 
+# a first run wrote the species of debtors; the second leaves out those that have files
+@query("g7_resume", f"select * from ({FLAGSHIP}) f where taxon_name not in (select c_name from customer where c_acctbal < 0)")
+def _(spark, sf):
+    folder, tables = f"{scratch(spark)}/species", mart(spark, sf)
+    orders = tables["taxa"].filter("taxon_level = 'ORDER'").select(F.col("taxon_name").alias("label"))
+    debtors = base(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_name").alias("label"))
+    settings = {"sample": 12, "mindate": "1996-01-01", "min_records": 3, "min_in_range": 3, "thresh": 1.5}
+    ranges = with_rings(view(spark, sf, "fx_ranges"))
+    write_species_csv(extract_occurrences(tables, debtors, ranges, **settings), folder)
+    kept = extract_occurrences(tables, orders, ranges, finished=written_species(spark, folder), **settings)
+    return kept.select("gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude")
+
+
 RAW_SCHEMA = "gbif_id string, occurrence_type string, basis_of_record string, event_date string, decimal_latitude string, decimal_longitude string, dataset_key string, has_geospatial_issues string, label string"
 
 

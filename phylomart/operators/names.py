@@ -262,9 +262,9 @@ def resolve_names(
     supplied, with ``id_col`` as in :func:`attach_candidates`, else from the taxa themselves.
     """
     wanted = labels.select("label").filter(F.col("label").isNotNull()).distinct()
-    local = variants.groupBy(F.col("taxonvariant_name").alias("label")).agg(
-        F.count("*").alias("_n"), F.min("taxonvariant_id").alias("_id")
-    )
+    # one pass over the variants serves the local names and the carriers of links
+    own = cut_lineage(_carriers(variants, F.count("*").alias("_n")))
+    local = own.select(F.col("_accepted").alias("label"), "_n", F.col("_v.taxonvariant_id").alias("_id"))
     looked = cut_lineage(wanted.join(local, "label", "left"))
     mapped = looked.filter("_n = 1").select("label", F.col("_id").alias("taxonvariant_id"), F.lit("local").alias("rule"))
     open_labels = looked.filter("_n is null").select("label")
@@ -279,7 +279,7 @@ def resolve_names(
     )
     linked = cut_lineage(linked)
     shape = "taxonvariant_name", "taxonvariant_level", "taxonvariant_status", "taxon_id"
-    by_name = _carriers(variants)
+    by_name = own.select("_accepted", "_v")
     made = None
     while True:
         step = linked.join(by_name, "_accepted").select(
@@ -305,7 +305,7 @@ def resolve_names(
         matches = attach_candidates(candidates.join(left_over.distinct(), "label", "left_semi"), taxa, id_col, 1, min_score)
     fuzzy = matches.select(*shape, F.lit("fuzzy").alias("rule"))
     new = fuzzy if made is None else made.select(*shape, F.lit("link").alias("rule")).unionByName(fuzzy)
-    keyed = cut_lineage(assign_keys(new, variants, "taxonvariant_id", ["taxonvariant_name"]))
+    keyed = assign_keys(new, variants, "taxonvariant_id", ["taxonvariant_name"])
     created = keyed.select(F.col("taxonvariant_name").alias("label"), "taxonvariant_id", "rule")
     label_map = mapped.unionByName(created)
     unresolved = wanted.join(label_map.select("label"), "label", "left_anti").select(
@@ -314,7 +314,7 @@ def resolve_names(
     return NamesResult(keyed.drop("rule"), label_map.unionByName(unresolved))
 
 
-def _carriers(variants: DataFrame) -> DataFrame:
-    """Name to its lowest variant's level and taxon."""
+def _carriers(variants: DataFrame, *more: Column) -> DataFrame:
+    """Name to its lowest variant's level and taxon, with ``more`` aggregates."""
     row = F.min(F.struct("taxonvariant_id", "taxonvariant_level", "taxon_id"))
-    return variants.groupBy(F.col("taxonvariant_name").alias("_accepted")).agg(row.alias("_v"))
+    return variants.groupBy(F.col("taxonvariant_name").alias("_accepted")).agg(row.alias("_v"), *more)

@@ -151,7 +151,8 @@ def extract_occurrences(
     """Filtered records of every species below the start labels: one plan for all species.
 
     ``roots`` has ``label``. Order of the rules: sample, basis, dates, precision, distinct places,
-    gate, ranges, gate, outliers, gate. Species in ``finished`` (taxon_name) are left out before any record is read.
+    gate, ranges, gate, outliers, gate. Species in ``finished`` (species, as files
+    name them, see :func:`phylomart.sources.tabular.written_species`) are left out before any record is read.
     """
     starts = (
         tables["branches"].filter(F.col("tree_id") == tree_id).join(roots.select("label").distinct(), "label", "left_semi")
@@ -159,7 +160,8 @@ def extract_occurrences(
     species = expand_taxon(tables["branches"], tables["taxonvariants"], tables["taxa"], starts.select("node_id"), "SPECIES", tree_id)
     species = species.select("taxon_id", "taxon_name").distinct()
     if finished is not None:
-        species = species.join(finished.select("taxon_name").distinct(), "taxon_name", "left_anti")
+        done = finished.select(F.col("species").alias("_done")).distinct()
+        species = species.join(done, F.translate("taxon_name", " ", "_") == F.col("_done"), "left_anti")
     species = cut_lineage(species)
     records, names = species_occurrences(species, tables, tree_id, subspecies)
     records = records.select(*EXTRACTED_COLUMNS)

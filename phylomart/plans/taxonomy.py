@@ -57,7 +57,7 @@ def build_taxonomy(rows: DataFrame, ranks: Sequence[str], tree_id: int, id_col:
     Keys follow file order: the taxon and branch of the nth row get n, variants count on in line
     order with the accepted name before the synonyms.
     """
-    numbered = cut_lineage(with_position(rows, [line_col], "taxon_id"))
+    numbered = with_position(rows, [line_col], "taxon_id")
     places = ranks_to_adjacency(numbered, ranks, id_col, line_col)
     named = cut_lineage(
         numbered.withColumnRenamed(line_col, "_line").join(

@@ -63,7 +63,7 @@ def write_species_csv(df: DataFrame, path: str, overwrite: bool = False) -> None
     rows = df.select(F.translate("taxon_name", " ", "_").alias("species"), *SPECIES_CSV_COLUMNS)
     mode = "overwrite"
     if not overwrite:
-        written = _written_species(df.sparkSession, path)
+        written = written_species(df.sparkSession, path)
         if written is not None:
             rows = rows.join(written, "species", "left_anti")
         mode = "append"
@@ -77,7 +77,7 @@ def write_species_csv(df: DataFrame, path: str, overwrite: bool = False) -> None
     )
 
 
-def _written_species(spark: SparkSession, path: str) -> DataFrame | None:
+def written_species(spark: SparkSession, path: str) -> DataFrame | None:
     """Species with a written file, read from the folder names without opening the files."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):

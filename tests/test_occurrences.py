@@ -172,4 +172,4 @@ def test_extraction_end_to_end(make):
     assert extract_occurrences(tables, roots, subspecies=False, min_records=10).count() == 0
     assert extract_occurrences(tables, roots, subspecies=False, min_records=8).count() == 8
     assert extract_occurrences(tables, roots, sample=5, min_records=1).count() <= 5
-    assert extract_occurrences(tables, roots, min_records=10, finished=make([("Aa bb",)], "taxon_name string")).count() == 0
+    assert extract_occurrences(tables, roots, min_records=10, finished=make([("Aa_bb",)], "species string")).count() == 0
