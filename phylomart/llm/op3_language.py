@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +85,7 @@ class Model:
         """``counts``: lang, bucket and n as in :func:`count_grams`."""
         self.bits, self.orders = bits, orders
         self.langs = sorted(counts.column("lang").unique().to_pylist())
-        lang = pa.compute.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy()
+        lang = pc.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy()
         bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
         # the counts of documents have bucket -1, the last row
         table = np.zeros(((1 << bits) + 1, len(self.langs)))

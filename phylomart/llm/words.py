@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Bytes that belong to words, per rule; UTF-8 bytes of non-ASCII characters always do.
 _BYTES = np.arange(256)
@@ -95,7 +96,7 @@ def encoded(column: pa.Array) -> list[bytes]:
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each; a longer single text stays whole."""
     for batch in batches:
-        sizes = np.array([x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         slot = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), len(sizes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
