@@ -73,7 +73,8 @@ def mix_documents(docs: DataFrame, cycle: int = CYCLE, most: int = MOST, seed: i
     kept = cut_lineage(docs.drop("copy").withColumn(row, F.monotonically_increasing_id()))
     sizes = kept.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.col(row).alias("row"))
     taken = cut_lineage(mix(sizes, cycle, most, seed).where("copies > 0").select(F.col("row").alias(row), "copies"))
-    many = kept.join(taken.withColumnRenamed("copies", fresh(docs, "mix_copies")), row)
+    # one plan at every size: the counts grow with the documents, so they are never sent to all tasks
+    many = kept.join(taken.withColumnRenamed("copies", fresh(docs, "mix_copies")).hint("merge"), row)
     copies = F.sequence(F.lit(1).cast("long"), F.col(many.columns[-1]))
     return many.withColumn("copy", F.explode(copies)).select(*docs.drop("copy").columns, "copy")
 
