@@ -20,6 +20,7 @@ from phylomart.runtime import cut_lineage, shared_dir
 ROLL_BYTES = 64 << 20  # payload of one archive, before compression
 READ_BYTES = 1 << 20
 LEVEL = 3
+MOST_TASKS = 10_000  # tasks over archive files; with more files, a task takes several in turn
 LEAST_BYTES = 0  # smaller payloads are never revisits
 DATE = "2020-01-01T00:00:00Z"
 RESPONSE, REVISIT = "response", "revisit"
@@ -207,8 +208,13 @@ def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["path", "index", "n_records"])
 
-    spread = files.select("path").repartition(F.col("path"))
-    return cut_lineage(spread.mapInArrow(rewrite, "path string, index string, n_records long"))
+    return cut_lineage(one_a_task(files.select("path")).mapInArrow(rewrite, "path string, index string, n_records long"))
+
+
+def one_a_task(files: DataFrame) -> DataFrame:
+    """A table of files dealt out one to a task. Its rows are tiny, so without a stated number the adaptive
+    planner would put all files in one task."""
+    return files.repartition(max(1, min(files.count(), MOST_TASKS)))
 
 
 def _normalise_file(path: str, folder: str, level: int) -> tuple[str, str, int]:
@@ -253,7 +259,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                         out.append(_told(zlib.decompress(file.read(length), GZIP)))
                 yield pa.RecordBatch.from_pylist(out, schema=TOLD)
 
-    return files.select("path", "index").repartition(F.col("path")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return one_a_task(files.select("path", "index")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 TOLD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
