@@ -22,6 +22,7 @@ SEED = 42
 DISTANCE = 4
 BITS = 64
 SEGMENTS = 3
+SPREAD_ROWS = 50_000  # fingerprints a task expands to their balls
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -101,7 +102,9 @@ def links(prints: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE)
     stored = [F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), low, width).alias("key")) for i, (low, width, _) in enumerate(plan)]
     tables = kept.select("fp", F.explode(F.array(*stored)).alias("x")).select(F.col("fp").alias("a"), "x.seg", "x.key")
     asked = [_asked(i, *part) for i, part in enumerate(plan)]
-    probes = kept.select("fp", F.explode(F.concat(*asked)).alias("x")).select(F.col("fp").alias("b"), "x.seg", "x.key")
+    # a stored fingerprint is a few bytes and becomes dozens of rows, so the table's own splits would be too large
+    spread = kept.repartition(1 + kept.count() // SPREAD_ROWS, "fp")
+    probes = spread.select("fp", F.explode(F.concat(*asked)).alias("x")).select(F.col("fp").alias("b"), "x.seg", "x.key")
     apart = F.col("a").bitwiseXOR(F.col("b"))
     missed = [
         (F.col("t.seg") <= i) | (F.bit_count(_segment(apart, low, width)) > radius) for i, (low, width, radius) in enumerate(plan[:-1])
