@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylomart.llm.words import chunks
+from phylomart.runtime import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts text into pieces before the byte pairs of this vocabulary are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TEXT_BYTES = 1 << 20
-BLOCK = 1024  # lengths of one block of the suffix sums
+BLOCK = 64  # lengths of one block of the suffix sums
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +52,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     later blocks added, so no window holds all lengths. An empty input has no rows.
     """
     counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
-    counts = counts.withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    # one row per length, read twice below: written, so that texts are encoded once
+    counts = cut_lineage(counts.withColumn("tokens", F.col("n_docs") * F.col("n_tokens")))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # one row per BLOCK lengths
     later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
