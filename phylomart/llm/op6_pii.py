@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -151,20 +151,21 @@ def normalised(text: str) -> Tape | None:
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and all spans: plain ones with the disguised ones that meet no plain span of their kind."""
+    """Plain spans, and all spans: plain ones with the disguised ones that no plain span of their kind holds whole."""
     base = plain_spans(text)
     tape = normalised(text)
     if tape is None:
         return base, base
-    # spans of one kind never meet, in either text, so both ends rise together
+    # plain spans of one kind never meet, so both ends rise together and only the last that starts in time can hold one
     taken = {kind: ([s[1] for s in base if s[0] == kind], [s[2] for s in base if s[0] == kind]) for kind in KINDS}
     every = list(base)
     for kind, a, b in plain_spans(tape.text):
         start, end = tape.source(a, b)
         starts, ends = taken[kind]
-        if bisect_right(ends, start) == bisect_left(starts, end):
+        at = bisect_right(starts, start) - 1
+        if at < 0 or ends[at] < end:
             every.append((kind, start, end))
-    return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
+    return base, sorted(every, key=lambda s: (KINDS.index(s[0]), *s[1:]))
 
 
 SPAN = "struct<kind: string, start: int, end: int>"

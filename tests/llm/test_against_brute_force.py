@@ -113,6 +113,22 @@ def test_pii_disguises(text, found):
     assert op6_pii.redact_text(text).count("<") == 1
 
 
+@pytest.mark.parametrize(
+    ("text", "part", "whole"),
+    [
+        ("jаne@example.com", ("email", 2, 16), ("email", 0, 16)),
+        ("jane@example.cоm", ("email", 0, 14), ("email", 0, 16)),
+        ("+49 151 1234 five six seven eight", ("phone", 0, 12), ("phone", 0, 33)),
+    ],
+)
+def test_pii_partly_disguised(text, part, whole):
+    base, every = op6_pii.find_spans(text)
+    assert base == [part] and sorted(every) == sorted([part, whole])
+    assert op6_pii.redact_text(f"a {text} b") == f"a <{whole[0].upper()}> b"
+    # a disguise beside or inside a plain one adds nothing to it
+    assert op6_pii.find_spans("é а jane@example.com") == ([("email", 4, 20)],) * 2
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "one two three", "we met at noon", "dot dot dot dot", "née à côté", ""])
 def test_pii_leaves_clean_text(text):
     assert op6_pii.find_spans(text) == ([], []) and op6_pii.redact_text(text) == text
