@@ -316,6 +316,18 @@ def test_depleted_documents_go(make):
     assert op9_quality.keep_good(copies).count() == 200
 
 
+def test_common_lines_of_a_large_host(make):
+    # a line in 21 of 700 texts, twice in each, and one in 20 of them; far from a tenth of the host
+    own = lambda i: " ".join(f"w{n}{'abcdefghij'[int(c)]}{k}" for n, c in enumerate(f"{i:03}") for k in "klmnopqrstuvwxyzabcdef")
+    line, rare = "Share  this page 1", "seen too rarely"
+    rows = [(i, (f"{line}\n" * 2 if i < 21 else "") + own(i) + f"\n{rare}" * (i < 20), "h") for i in range(700)]
+    docs = make(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_common_words for r in check_quality(docs)}
+    assert got == {i: 8 * (i < 21) for i, *_ in rows}
+    good = {r.doc_id: r.text for r in op9_quality.keep_good(docs).collect()}
+    assert good == {i: t.replace(f"{line}\n", "") for i, t, _ in rows}
+
+
 # 10
 
 
