@@ -35,20 +35,42 @@ ODD = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + "]")
 
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_GAP = r"[\x20\t-]{1,3}"
-# at least four digit words in a row, with "plus" before and "dot" between allowed
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus{_GAP})?{_DIGIT}(?:{_GAP}(?:dot{_GAP})?{_DIGIT}){{3,}}(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
-SPELLED_PART = re.compile(rf"{_DIGIT}|plus|dot|{_GAP}", re.IGNORECASE | re.ASCII)
+_DOT = r"[\x20\t-]{1,3}dot[\x20\t-]{1,3}"
+# blanks and marks that a number may have inside; a full stop at the end of a sentence is none
+_SEPARATOR = r"(?:[\x20\t(),;/-]|\.(?!\x20)){0,4}"
+# Runs of digit words and digits, with "plus" before and "dot" between allowed. Those with a word in them are rewritten, and
+# the rules for identifiers judge the result.
+SPELLED = re.compile(
+    rf"(?<![A-Za-z0-9])(?:\+|plus[\x20\t-]{{1,3}})?(?:{_DIGIT}(?![A-Za-z])|[0-9]++)(?:(?:{_DOT}|{_SEPARATOR})(?:{_DIGIT}(?![A-Za-z])|[0-9]++))++",
+    re.IGNORECASE | re.ASCII,
+)
+SPELLED_PART = re.compile(rf"(?P<digit>{_DIGIT})|(?P<plus>plus[\x20\t-]+)|(?P<dot>{_DOT})|[0-9]+|(?P<gap>[\x20\t,;/-]+)|[^A-Za-z0-9]", re.IGNORECASE | re.ASCII)
+WORD_LETTER = re.compile("[A-Za-z]")
+# cheap sign that a run may have a word
+DIGIT_WORD = re.compile(rf"(?<![A-Za-z]){_DIGIT}(?![A-Za-z])|[0-9]{_DOT}[0-9]", re.IGNORECASE | re.ASCII)
 BRACKETED = re.compile(r"\x20{0,2}[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20{0,2}", re.IGNORECASE | re.ASCII)
-# name at host dot domain, in words; a lone "at" or "dot", and "at the dot", is ordinary text
+# Last labels that make "name at host.label" an address; labels that are also usual file endings are left out.
+TLDS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|app|dev|me|tv|eu|us|uk|ie|de|at|ch|fr|be|nl|lu|es|pt|it|gr|dk|se|no|fi|is|cz|sk|hu|ro|bg|hr|si"
+    "|lt|lv|ee|ua|ru|tr|il|in|cn|jp|kr|tw|hk|sg|my|th|vn|id|au|nz|za|ng|ke|eg|ma|br|ar|cl|mx|pe|ca"
+)
+# Words before "at host.label" that point to a site.
+POINTING = frozenset(
+    "a an and are available be below bought browse buy call check click contact download everything explore find followed follow found free get go here "
+    "home hosted info information is it join learn listed live located look looked looking looks me meet more news now of off on online or order our out "
+    "page pages people posted product products published read register registered see seen services shop sign site sold start stay store subscribe "
+    "team that them there this today together up us view visit was watch we website were work worked working works you".split()
+)
+_LABEL, _LOCAL, _SAID = "[A-Za-z0-9-]{1,63}", "[A-Za-z0-9._%+-]{1,64}", r"\x20{1,2}dot\x20{1,2}"
+# name at host dot domain, in words, or name at host.domain; a lone "at" or "dot", and "at the dot", is ordinary text
 WORDED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>\x20{1,2}at\x20{1,2}|@)(?!(?:the|an?|this|that|my|our|your)\x20)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\x20{1,2}dot\x20{1,2}|\.)[A-Za-z0-9-]{1,63}){0,8}?\x20{1,2}dot\x20{1,2}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])(?P<dots>(?:{_LOCAL}{_SAID}){{0,31}})(?P<name>{_LOCAL})(?P<at>\x20{{1,2}}at\x20{{1,2}}|@)(?!(?:the|an?|this|that|my|our|your)\x20)"
+    rf"{_LABEL}(?:(?:{_SAID}|\.){_LABEL}){{0,8}}?(?:{_SAID}[A-Za-z]{{2,24}}(?![A-Za-z0-9])|(?P<plain>\.(?:{TLDS})(?![A-Za-z0-9@/:_-]|\.[A-Za-z0-9]|{_SAID}[A-Za-z])))",
     re.IGNORECASE | re.ASCII,
 )
 WORDED_PART = re.compile(r"\x20{1,2}(at|dot)\x20{1,2}", re.IGNORECASE | re.ASCII)
 # cheap sign that one of the three may apply
-AT_DOT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20", re.IGNORECASE | re.ASCII)
+AT_DOT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|\x20at\x20{1,2}[a-z0-9-]{1,63}\.[a-z0-9]", re.IGNORECASE | re.ASCII)
 
 Span = tuple[str, int, int]
 
@@ -118,16 +140,26 @@ class Tape:
 
 
 def _spelled(found: re.Match) -> list[tuple[int, int, str]]:
-    edits = []
-    for part in SPELLED_PART.finditer(found[0]):
-        word = part[0].lower()
-        new = DIGITS.get(word, {"plus": "+", "dot": "."}.get(word, ""))
-        edits.append((found.start() + part.start(), found.start() + part.end(), new))
+    """Words to characters. Blanks and commas beside a digit word go between two such words, else become one blank."""
+    edits, parts = [], list(SPELLED_PART.finditer(found[0]))
+    for i, part in enumerate(parts):
+        kind = part.lastgroup
+        if kind == "gap":
+            beside = sum(p.lastgroup == "digit" for p in parts[max(0, i - 1) : i + 2])
+            new = ("" if beside == 2 else " ") if beside else part[0]
+        elif kind:
+            new = {"digit": DIGITS.get(part[0].lower()), "plus": "+", "dot": "."}[kind]
+        else:
+            new = part[0]
+        if new != part[0]:
+            edits.append((found.start() + part.start(), found.start() + part.end(), new))
     return edits
 
 
 def _worded(found: re.Match) -> list[tuple[int, int, str]]:
     at = found.start()
+    if found["plain"] and not found["dots"] and found["name"].lower() in POINTING:
+        return []
     return [(at + p.start(), at + p.end(), "@" if p[1].lower() == "at" else ".") for p in WORDED_PART.finditer(found[0])]
 
 
@@ -145,7 +177,9 @@ def normalised(text: str) -> Tape | None:
         worded = [e for m in WORDED.finditer(tape.text) for e in _worded(m)]
         tape.rewrite(worded)
         changed = changed or bool(edits or worded)
-    spelled = [e for m in SPELLED.finditer(tape.text) for e in _spelled(m)]
+    spelled = []
+    if DIGIT_WORD.search(tape.text):
+        spelled = [e for m in SPELLED.finditer(tape.text) if WORD_LETTER.search(m[0]) for e in _spelled(m)]
     tape.rewrite(spelled)
     return tape if changed or spelled else None
 

@@ -134,6 +134,40 @@ def test_pii_leaves_clean_text(text):
     assert op6_pii.find_spans(text) == ([], []) and op6_pii.redact_text(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call +1 415 five five five 0100 now", ("phone", "+1 415 five five five 0100")),
+        ("plus one, four one five, five five five, two six seven one", ("phone", "plus one, four one five, five five five, two six seven one")),
+        ("call +1 (four one five) 555-0100.", ("phone", "+1 (four one five) 555-0100")),
+        ("card 4111 one one one one 1111 1111", ("card", "4111 one one one one 1111 1111")),
+        ("host 192 dot 168 dot one dot 1 up", ("ip", "192 dot 168 dot one dot 1")),
+        ("write jane at example.com.", ("email", "jane at example.com")),
+        ("write jane.doe at mail.example.co.uk, please", ("email", "jane.doe at mail.example.co.uk")),
+        ("write alice dot smith at example dot com", ("email", "alice dot smith at example dot com")),
+        ("write alice dot smith@example.com", ("email", "alice dot smith@example.com")),
+    ],
+)
+def test_pii_common_disguises(text, found):
+    base, every = op6_pii.find_spans(text)
+    assert found in [(k, text[a:b]) for k, a, b in every] and set(base) <= set(every)
+    assert op6_pii.redact_text(text) == text.replace(found[1], f"<{found[0].upper()}>")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["one of 5 or six. 7 at 8", "one two three four five six seven eight nine", "pages 12, 13 and one", "four one five, five five five, two six seven one",
+     "chapter 1 dot one", "look at example.com", "more at example.com/jane today", "we met at noon.then left", "see jane at example.py", "on the dot at noon"],
+)
+def test_pii_leaves_clean_numbers_and_sites(text):
+    assert op6_pii.find_spans(text) == ([], []) and op6_pii.redact_text(text) == text
+
+
+def test_pii_long_runs_are_read_once():
+    for piece in ("one ", "a dot ", "1 dot ", "five, 5 ", "a at b.", "one-"):
+        op6_pii.find_spans(piece * 20000)
+
+
 def test_pii_redacts_only_text(odd):
     out = op6_pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
