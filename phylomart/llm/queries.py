@@ -18,6 +18,9 @@ from phylomart.llm import (
     op8_simhash,
     op9_quality,
     op10_substrings,
+    op11_codes,
+    op12_byte_bpe,
+    op13_filter_audit,
 )
 from phylomart.llm.common import table
 
@@ -69,6 +72,21 @@ def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return op11_codes.digests(*op11_codes.compress(vectors))
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return op12_byte_bpe.digests(op12_byte_bpe.decode(op12_byte_bpe.encode(docs)))
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op13_filter_audit.flagged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return op13_filter_audit.audit(op13_filter_audit.mask_counts(rows, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter,
     "op2_mix": mix,
@@ -80,9 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash,
     "op9_quality": quality,
     "op10_substrings": substrings,
+    "op11_codes": codes,
+    "op12_byte_bpe": byte_bpe,
+    "op13_filter_audit": filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": op1_url_filter.oracle(),
     "op2_mix": op2_mix.oracle(),
+    "op11_codes": op11_codes.oracle(),
+    "op13_filter_audit": op13_filter_audit.oracle(),
 }
