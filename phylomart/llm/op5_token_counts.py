@@ -2,42 +2,33 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylomart.llm.op12_byte_bpe import PATTERN, VOCABULARY, Encoder, read_ranks, vocabulary_of  # noqa: F401
 from phylomart.llm.words import chunks
 from phylomart.runtime import cut_lineage
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the pattern that cuts text into pieces before the byte pairs of this vocabulary are merged.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TEXT_BYTES = 1 << 20
 BLOCK = 64  # lengths of one block of the suffix sums
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-
-
-def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encoded_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` (columns key, text) to (key, n_tokens); a null text has none.
 
-    The driver reads the vocabulary file, which does not grow with the data, and broadcasts it. Markers of
-    special tokens in a text are ordinary text.
+    The driver reads the vocabulary file (the one given, named by the session, or the default), which does not grow with the data,
+    and broadcasts it. Markers of special tokens in a text are ordinary text. Very long texts are encoded part by part.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_of(docs, vocabulary)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        encoder = Encoder(ranks.value)
         for batch in chunks(batches, "text", TEXT_BYTES):
-            n = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            n = [len(encoder.encode(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
 
     schema = f"key {docs.schema['key'].dataType.simpleString()}, n_tokens long"

@@ -65,10 +65,15 @@ _LABEL, _LOCAL, _SAID = "[A-Za-z0-9-]{1,63}", "[A-Za-z0-9._%+-]{1,64}", r"\x20{1
 # name at host dot domain, in words, or name at host.domain; a lone "at" or "dot", and "at the dot", is ordinary text
 WORDED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<dots>(?:{_LOCAL}{_SAID}){{0,31}})(?P<name>{_LOCAL})(?P<at>\x20{{1,2}}at\x20{{1,2}}|@)(?!(?:the|an?|this|that|my|our|your)\x20)"
-    rf"{_LABEL}(?:(?:{_SAID}|\.){_LABEL}){{0,8}}?(?:{_SAID}[A-Za-z]{{2,24}}(?![A-Za-z0-9])|(?P<plain>\.(?:{TLDS})(?![A-Za-z0-9@/:_-]|\.[A-Za-z0-9]|{_SAID}[A-Za-z])))",
+    rf"{_LABEL}(?:(?:{_SAID}|\.){_LABEL}){{0,8}}?(?:{_SAID}[A-Za-z]{{2,24}}(?![A-Za-z0-9]|{_SAID}[A-Za-z])|(?P<plain>\.(?:{TLDS})(?![A-Za-z0-9@/:_-]|\.[A-Za-z0-9]|{_SAID}[A-Za-z])))",
     re.IGNORECASE | re.ASCII,
 )
 WORDED_PART = re.compile(r"\x20{1,2}(at|dot)\x20{1,2}", re.IGNORECASE | re.ASCII)
+# Last labels that are also words of running text: a sentence may start with one where the blank after a full stop is missing.
+COMMON = frozenset("ai at au be ca de es eu fi id il in info int is it ma me my name no se si us".split())
+# words before an address, whose nearness decides for such a label
+CUE = re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address)", re.IGNORECASE | re.ASCII)
+CUE_REACH = 40
 # cheap sign that one of the three may apply
 AT_DOT = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|\x20at\x20{1,2}[a-z0-9-]{1,63}\.[a-z0-9]", re.IGNORECASE | re.ASCII)
 
@@ -83,6 +88,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255; leading zeros may be any number of digits."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of local part, @ and domain: each @ is read once, so the work is linear."""
     done, at = 0, text.find("@")
@@ -103,7 +114,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def plain_spans(text: str) -> list[Span]:
     """Identifiers written plainly: by kind, then start; ends exclusive."""
     out: list[Span] = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -156,9 +167,23 @@ def _spelled(found: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _sentence_end(found: re.Match) -> bool:
+    """Is the plain last label of "name at host.label" rather the first word of the next sentence?
+
+    So it is where a capital follows a lower-case host, or where the label is a common word and nothing else tells of an address: no
+    worded dot, no second label of the host, no cue shortly before.
+    """
+    label, host = found["plain"][1:], found.string[found.end("at") : found.start("plain")]
+    if host.islower() and not label.islower():
+        return True
+    if label.lower() not in COMMON or found["dots"] or "." in host or " " in host:
+        return False
+    return not CUE.search(found.string, max(0, found.start() - CUE_REACH), found.start())
+
+
 def _worded(found: re.Match) -> list[tuple[int, int, str]]:
     at = found.start()
-    if found["plain"] and not found["dots"] and found["name"].lower() in POINTING:
+    if found["plain"] and ((not found["dots"] and found["name"].lower() in POINTING) or _sentence_end(found)):
         return []
     return [(at + p.start(), at + p.end(), "@" if p[1].lower() == "at" else ".") for p in WORDED_PART.finditer(found[0])]
 
