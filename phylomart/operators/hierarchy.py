@@ -1,20 +1,20 @@
 """Taxonomies and trees as adjacency tables (tree_id, node_id, parent_id, branch_length, label).
 
-Walks are loops of joins with a written table per round. Upward questions (depth, path, common
-ancestor) double the reach of a pointer every round, so a tree of depth d needs log2(d) rounds;
-leaves, the bulk of every tree, take no part in the doubling. Downward expansion goes level by level
-from the asked nodes only.
+Walks are loops of joins with a written table per round, and their rounds grow with the logarithm of the nodes, not with the depth:
+see :mod:`phylomart.operators.tours`. Whole paths are built only where they are the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylomart.functions.text import rank_label
 from phylomart.operators.keys import assign_keys
+from phylomart.operators.tours import climb, interior, nearest_marked
 from phylomart.runtime import cut_lineage, lookup_side, measured
 
 
@@ -47,6 +47,14 @@ def expand_taxon(
     )
     nodes = cut_lineage(nodes)
     starts = roots.select(F.col("node_id").alias("root_id")).distinct()
+    # a walk changes only at nodes of the rank and at other starts: all others are skipped
+    begun = starts.select(F.col("root_id").alias("node_id"), F.lit(True).alias("_start"))
+    told = nodes.join(begun, "node_id", "left").withColumn("mark", F.col("rank").eqNullSafe(level) | F.coalesce("_start", F.lit(False)))
+    told = cut_lineage(told.withColumn("tree_id", F.lit(0).cast("long")).drop("_start"))
+    near = nearest_marked(cut_lineage(interior(told, "mark")), "mark").select(F.col("node_id").alias("parent_id"), "near")
+    above = told.filter("mark").select(F.col("node_id").alias("parent_id"), F.col("node_id").alias("_parent"))
+    marked = told.filter("mark").join(near, "parent_id", "left").join(above.distinct(), "parent_id", "left")
+    nodes = cut_lineage(marked.select(F.coalesce("_parent", "near").alias("_near"), *nodes.columns))
     at = nodes.join(starts, F.col("node_id") == F.col("root_id")).select("root_id", *nodes.columns)
     done = []
     if include_start:
@@ -55,34 +63,46 @@ def expand_taxon(
         at = at.filter(~F.col("rank").eqNullSafe(level))
     seen = at.select("root_id", "node_id")
     while rows := at.count():
-        above = measured(at.select("root_id", F.col("node_id").alias("_above")), rows)
-        below = nodes.join(above, F.col("parent_id") == F.col("_above")).select("root_id", *nodes.columns)
+        over = measured(at.select("root_id", F.col("node_id").alias("_above")), rows)
+        below = nodes.join(over, F.col("_near") == F.col("_above")).select("root_id", *nodes.columns)
         below = cut_lineage(below.join(seen, ["root_id", "node_id"], "left_anti").distinct())
         seen = seen.unionByName(below.select("root_id", "node_id"))
         done.append(below.filter(F.col("rank") == level))
         at = below.filter(~F.col("rank").eqNullSafe(level))
-    if not done:
-        return at.drop("rank")
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found.drop("rank")
+    found = reduce(DataFrame.unionByName, done) if done else at
+    return found.drop("rank", "_near")
 
 
 def descendants(edges: DataFrame, roots: DataFrame, child: str = "child_page", parent: str = "parent_page") -> DataFrame:
-    """(root, descendant) for every strict descendant of each root; cycles end the walk."""
-    links = edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("_child"), F.col(parent).alias("_parent")).distinct()
-    start = roots.select(F.col("root")).distinct()
-    at = cut_lineage(start.withColumn("descendant", F.col("root")))
-    seen = None
+    """(root, descendant) for every strict descendant of each root; cycles end the walk.
+
+    One parent of every node (the least) makes trees, in which every node hangs below its nearest ancestor that is a root or has further parents.
+    Only these are walked, level by level; all else follows from them in one join. So rounds grow with the roots
+    and further parents on a path, not with its length.
+    """
+    links = cut_lineage(edges.filter(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("above")).distinct())
+    chosen = cut_lineage(links.groupBy("node").agg(F.min("above").alias("above"), F.count("*").alias("n")))
+    start = cut_lineage(roots.select("root").distinct())
+    stops = start.select(F.col("root").alias("node")).unionByName(chosen.filter("n > 1").select("node")).distinct().withColumn("stop", F.lit(True))
+    stops = cut_lineage(stops)
+    tree = F.lit(0).cast("long").alias("tree_id")
+    inner = links.select(F.col("above").alias("node")).distinct().join(chosen, "node", "left").join(stops, "node", "left")
+    inner = cut_lineage(inner.select(tree, F.col("node").alias("node_id"), F.col("above").alias("up"), "stop"))
+    near = nearest_marked(inner, "stop").join(inner.select("node_id", "stop"), "node_id")
+    # what hangs on a parent hangs on the stop that the parent is, or hangs on
+    near = near.select(F.col("node_id").alias("above"), F.when(F.col("stop"), F.col("node_id")).otherwise(F.col("near")).alias("under"))
+    hung = cut_lineage(links.join(near, "above").filter("under is not null").select("node", "under").distinct())
+    steps = cut_lineage(hung.join(stops.select("node"), "node", "left_semi"))
+    at = cut_lineage(start.select("root", F.col("root").alias("under")))
+    reached, seen = at, None
     while rows := at.count():
-        above = measured(at, rows, 32)
-        below = links.join(above, F.col("_parent") == F.col("descendant")).select("root", F.col("_child").alias("descendant")).distinct()
+        below = steps.join(measured(at, rows, 32), "under").select("root", F.col("node").alias("under")).distinct()
         if seen is not None:
-            below = below.join(seen, ["root", "descendant"], "left_anti")
+            below = below.join(seen, ["root", "under"], "left_anti")
         at = cut_lineage(below)
         seen = at if seen is None else seen.unionByName(at)
-    return seen if seen is not None else at
+    reached = reached.unionByName(seen).distinct()
+    return hung.join(reached, "under").select("root", F.col("node").alias("descendant")).distinct()
 
 
 def with_subspecies(species: DataFrame, branches: DataFrame, variants: DataFrame, tree_id: int = 11) -> DataFrame:
@@ -181,19 +201,22 @@ def node_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def root_to_tip(branches: DataFrame) -> DataFrame:
-    """Depth of every node (summed lengths from its root), its level and whether it is a tip."""
-    paths = interior_paths(branches)
-    inner = paths.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.lit(False).alias("_tip"))
-    rows = node_paths(branches.select("tree_id", "node_id", "parent_id", "branch_length", "label"), paths)
-    return rows.join(inner, (F.col("tree_id") == F.col("_t")) & (F.col("node_id") == F.col("_n")), "left").select(
-        "tree_id",
-        "node_id",
-        "parent_id",
-        "branch_length",
-        "label",
-        F.element_at("depths", -1).alias("depth"),
-        (F.size("path") - 1).alias("level"),
-        F.coalesce("_tip", F.lit(True)).alias("is_tip"),
+    """Depth of every node (summed lengths from its root), its level and whether it is a tip.
+
+    A missing length counts 0, the root's own length is left out, and a node whose parent is not in the tree is a root.
+    """
+    rows = branches.select("tree_id", "node_id", "parent_id", "branch_length", "label")
+    inner = cut_lineage(climb(interior(rows, "branch_length"), ["branch_length"]))
+    own = inner.select("tree_id", "node_id", F.col("branch_length").alias("_depth"), F.col("level").alias("_level"))
+    above = inner.select("tree_id", F.col("node_id").alias("parent_id"), F.col("branch_length").alias("_above"), F.col("level").alias("_above_level"))
+    placed = rows.join(own, ["tree_id", "node_id"], "left").join(above, ["tree_id", "parent_id"], "left")
+    # a leaf without a parent in the tree is its own root
+    length = F.col("_above") + F.coalesce("branch_length", F.lit(0.0))
+    return placed.select(
+        *rows.columns,
+        F.coalesce("_depth", length, F.lit(0.0)).alias("depth"),
+        F.coalesce("_level", F.col("_above_level") + 1, F.lit(0)).cast("int").alias("level"),
+        F.col("_depth").isNull().alias("is_tip"),
     )
 
 
@@ -225,31 +248,27 @@ def induced_subtree(branches: DataFrame, tips: DataFrame) -> DataFrame:
     shape = ["tree_id", "node_id", "parent_id", "branch_length", "label"]
     tree = branches.select(*shape)
     wanted = cut_lineage(tips.select("tree_id", "node_id").distinct())
-    paths = interior_paths(tree)
-    leaves = cut_lineage(
-        node_paths(tree.join(wanted, ["tree_id", "node_id"], "left_semi"), paths).select(
-            "tree_id", "node_id", "parent_id", F.element_at("path", 1).alias("_root"), F.size("path").alias("_level")
-        )
-    )
-    above = (
-        leaves.select("tree_id", F.col("parent_id").alias("node_id"))
-        .distinct()
-        .join(paths, ["tree_id", "node_id"])
-        .select("tree_id", F.posexplode("path").alias("_at", "node_id"), F.element_at("path", 1).alias("_root"))
-        .select("tree_id", "node_id", "_root", (F.col("_at") + 1).alias("_level"))
-    )
-    closure = above.unionByName(leaves.drop("parent_id")).distinct()
-    nodes = cut_lineage(tree.join(closure, ["tree_id", "node_id"]).select(*shape, "_root", "_level"))
-    # the common ancestor is the shallowest node that branches inside the closure or is a tip itself
-    forks = nodes.filter("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
-        F.count("*").alias("_n")
-    ).filter("_n > 1").select("tree_id", "node_id").unionByName(wanted).distinct()
-    heads = nodes.join(forks, ["tree_id", "node_id"], "left_semi").groupBy("tree_id", "_root").agg(
-        F.min("_level").alias("_head")
-    )
-    kept = nodes.join(heads, ["tree_id", "_root"]).filter("_level >= _head")
-    inside = F.col("_level") > F.col("_head")
-    return kept.select(
+    chosen = cut_lineage(tree.join(wanted, ["tree_id", "node_id"], "left_semi").select("tree_id", "node_id", "parent_id"))
+    inner = cut_lineage(interior(tree))
+    place = inner.select("tree_id", "node_id", F.lit(True).alias("_inner"))
+    chosen = cut_lineage(chosen.join(place, ["tree_id", "node_id"], "left"))
+    carrier = F.when(F.col("_inner"), F.col("node_id")).otherwise(F.col("parent_id"))
+    hits = lookup_side(chosen.groupBy("tree_id", carrier.alias("node_id")).agg(F.count("*").alias("_held")))
+    risen = cut_lineage(climb(inner.join(hits, ["tree_id", "node_id"], "left"), below="_held"))
+    above = risen.select("tree_id", F.col("node_id").alias("parent_id"), F.col("level").alias("_up_level"), F.col("root").alias("_up_root"))
+    chosen = chosen.join(above, ["tree_id", "parent_id"], "left")
+    counted = risen.filter("_held > 0")
+    totals = counted.filter("node_id = root").select("tree_id", "root", F.col("_held").alias("_all"))
+    counted = counted.join(lookup_side(totals), ["tree_id", "root"])
+    # the common ancestor is the deepest node that holds all of the component's tips; a single tip is its own
+    leaf = chosen.filter("_inner is null").select("tree_id", "node_id", F.coalesce("_up_root", "node_id").alias("root"), (F.coalesce("_up_level", F.lit(-1)) + 1).alias("level"))
+    single = leaf.join(totals.filter("_all > 1").select("tree_id", "root"), ["tree_id", "root"], "left_anti")
+    heads = counted.filter("_held = _all").select("tree_id", "root", "level").unionByName(single.select("tree_id", "root", "level"))
+    heads = lookup_side(heads.groupBy("tree_id", "root").agg(F.max("level").alias("_head")))
+    closure = counted.select("tree_id", "node_id", "root", "level").unionByName(leaf.select("tree_id", "node_id", "root", "level"))
+    closure = closure.join(heads, ["tree_id", "root"]).filter("level >= _head")
+    inside = F.col("level") > F.col("_head")
+    return tree.join(closure, ["tree_id", "node_id"]).select(
         "tree_id",
         "node_id",
         F.when(inside, F.col("parent_id")).alias("parent_id"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylomart.operators.hierarchy import collapse_unary, interior_paths, node_paths, root_to_tip
+from phylomart.operators.hierarchy import collapse_unary
+from phylomart.operators.tours import climb, common_ancestor, interior, tour
 from phylomart.runtime import cut_lineage, lookup_side, ordinal_within
 
 
@@ -48,113 +49,194 @@ def resolve_polytomies(branches: DataFrame) -> DataFrame:
     return rest.unionByName(hung)
 
 
+# What a node with one child known makes of the other child's (x, v): while v > 0, the ratios a/b = v and c/b = x of a linear
+# map of (a, b, c), so that maps of a chain multiply; for v = 0, x becomes za * x + zb and v becomes zg. ``still`` tells that a
+# positive v comes out as 0.
+_MAP = ("aa", "ab", "ba", "bb", "ca", "cb", "cc", "za", "zb", "zg")
+
+
+def _beside(x: Column, v: Column, length: Column) -> Column:
+    """The map of a node whose known child has (x, v); a known child without values passes the other one on."""
+    empty, zero = x.isNull(), v == 0
+    made = {
+        "aa": length + v, "ab": length * v, "ba": F.lit(1.0), "bb": v, "ca": x, "cb": F.lit(0.0), "cc": v,
+        "za": F.when(zero, 0.5).otherwise(1.0), "zb": F.when(zero, x / 2).otherwise(0.0), "zg": length,
+    }
+    passed = dict(zip(_MAP, (F.lit(1.0), length, *map(F.lit, (0.0, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0)), length), strict=True))
+    cells = [F.when(empty, passed[k]).otherwise(made[k]).alias(k) for k in _MAP]
+    return F.struct(*cells, (~empty & zero & (length == 0)).alias("still"))
+
+
+def _after(g: Column, f: Column) -> Column:
+    """The map ``g`` after the map ``f``, scaled so that the row of b adds up to 1."""
+    out = {}
+    for col in "ab":
+        fa, fb, fc = f["a" + col], f["b" + col], f["c" + col]
+        out["a" + col] = F.when(f["still"], g["zg"] * fb).otherwise(g["aa"] * fa + g["ab"] * fb)
+        out["b" + col] = F.when(f["still"], fb).otherwise(g["ba"] * fa + g["bb"] * fb)
+        out["c" + col] = F.when(f["still"], g["za"] * fc + g["zb"] * fb).otherwise(g["ca"] * fa + g["cb"] * fb + g["cc"] * fc)
+    out["cc"] = F.when(f["still"], g["za"] * f["cc"]).otherwise(g["cc"] * f["cc"])
+    scale = out["ba"] + out["bb"]
+    cells = [F.coalesce(F.try_divide(out[k], scale), out[k]).alias(k) for k in _MAP[:7]]
+    held, under = f["zg"] == 0, g["ba"] * f["zg"] + g["bb"]
+    flat = {
+        "za": F.when(held, g["za"] * f["za"]).otherwise(F.try_divide(g["cc"] * f["za"], under)),
+        "zb": F.when(held, g["za"] * f["zb"] + g["zb"]).otherwise(F.try_divide(g["ca"] * f["zg"] + g["cb"] + g["cc"] * f["zb"], under)),
+        "zg": F.when(held, g["zg"]).otherwise(F.try_divide(g["aa"] * f["zg"] + g["ab"], under)),
+    }
+    still = F.when(f["still"], g["zg"] == 0).otherwise(g["still"])
+    return F.struct(*cells, *[v.alias(k) for k, v in flat.items()], still.alias("still"))
+
+
+def _applied(m: Column, x: Column, v: Column) -> tuple[Column, Column]:
+    under = m["ba"] * v + m["bb"]
+    out_x = F.when(v == 0, m["za"] * x + m["zb"]).otherwise(F.try_divide(m["ca"] * v + m["cb"] + m["cc"] * x, under))
+    out_v = F.when(v == 0, m["zg"]).otherwise(F.try_divide(m["aa"] * v + m["ab"], under))
+    return out_x, F.when(x.isNotNull(), out_v)
+
+
+def _joined(x1: Column, v1: Column, x2: Column, v2: Column) -> tuple[Column, Column]:
+    """(x, growth of the length) of a node from both children; a child without values passes the other one on."""
+    span = v1 + v2
+    x = F.when(span == 0, (x1 + x2) / 2).otherwise(F.try_divide(x1 * v2 + x2 * v1, span))
+    grown = F.when(span == 0, 0.0).otherwise(F.try_divide(v1 * v2, span))
+    both = x1.isNotNull() & x2.isNotNull()
+    return F.when(both, x).otherwise(F.coalesce(x1, x2)), F.when(both, grown).otherwise(F.when(x1.isNotNull(), v1).otherwise(v2))
+
+
 def independent_contrasts(branches: DataFrame, traits: DataFrame) -> DataFrame:
     """Unscaled contrasts and ancestral values per interior node and trait.
 
     ``traits`` is long: (tree_id, node_id, trait, value) at tips. One-child nodes are collapsed and
-    polytomies resolved first. All traits of all trees advance one level per round. A child without
-    a value passes its sibling through. Two sisters of zero length give a null contrast and the
-    plain mean.
+    polytomies resolved first. A child without a value passes its sibling through. Two sisters of zero length give a null
+    contrast and the plain mean.
+
+    All traits of all trees contract together. A round gives values to the nodes whose children have them. A node with one such child waits for
+    the other with a map from that one's value to its own, and every round doubles how far down such maps reach. So the rounds grow with the logarithm
+    of the nodes, on a chain too. Rows are the nodes of a tree times the traits with a value in it.
     """
-    tree = cut_lineage(root_to_tip(resolve_polytomies(collapse_unary(branches))))
-    inner = tree.filter("not is_tip").select(
-        "tree_id", "node_id", F.col("parent_id").alias("_up"), F.coalesce("branch_length", F.lit(0.0)).alias("_length"), "level"
-    )
-    tips = tree.filter("is_tip").select("tree_id", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("v"), "level")
-    values = traits.filter("value is not null").select("tree_id", "node_id", "trait", F.col("value").cast("double").alias("x"))
-    leaves = cut_lineage(tips.join(values, ["tree_id", "node_id"]))
-    shape = ["tree_id", "trait", "node_id", "parent_id", "x", "v"]
-    deepest = tree.agg(F.max("level")).first()[0] or 0
-    below, rounds = None, []
-    for level in range(deepest, 0, -1):
-        here = leaves.filter(F.col("level") == level).select(*shape)
-        if below is not None:
-            here = here.unionByName(below)
-        met = here.groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(
-            F.count("*").alias("_n"),
-            F.min_by("x", "node_id").alias("_x1"),
-            F.max_by("x", "node_id").alias("_x2"),
-            F.min_by("v", "node_id").alias("_v1"),
-            F.max_by("v", "node_id").alias("_v2"),
-        )
-        two = F.col("_n") == 2
-        span = F.col("_v1") + F.col("_v2")
-        value = (
-            F.when(~two, F.col("_x1"))
-            .when(span == 0, (F.col("_x1") + F.col("_x2")) / 2)
-            .otherwise(F.try_divide(F.col("_x1") * F.col("_v2") + F.col("_x2") * F.col("_v1"), span))
+    tree = cut_lineage(resolve_polytomies(collapse_unary(branches)))
+    values = cut_lineage(traits.filter("value is not null").select("tree_id", "node_id", "trait", F.col("value").cast("double").alias("x")))
+    lengths = tree.select("tree_id", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("length"))
+    inside = lengths.filter("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("c1"), F.max("node_id").alias("c2"))
+    inside = cut_lineage(inside)
+    asked = lookup_side(values.select("tree_id", "trait").distinct())
+    key = ["tree_id", "trait", "node_id"]
+    shape = [*key, "parent_id", "length"]
+    leaves = lengths.join(inside.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti").join(asked, "tree_id")
+    tips = leaves.join(values, key, "left").select(*key, "parent_id", "x", F.when(F.col("x").isNotNull(), F.col("length")).alias("v"))
+    wide = lengths.join(inside, ["tree_id", "node_id"]).join(asked, "tree_id").select(*shape, "c1", "c2")
+
+    def rows(df: DataFrame, kind: str) -> DataFrame:
+        """A round is one table: done rows with (x, v), chain rows with (dep, m), wide rows with both children open."""
+        return df.withColumn("kind", F.lit(kind))
+
+    now = cut_lineage(rows(tips, "done").unionByName(rows(wide, "wide"), allowMissingColumns=True))
+    new, wide, chain = now.filter("kind = 'done'").select(*tips.columns), now.filter("kind = 'wide'").select(*wide.columns), None
+    known = [new]
+    while not new.isEmpty():
+        met = new.filter("parent_id is not null").groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(
+            F.count("*").alias("_n"), F.min_by(F.struct("node_id", "x", "v"), "node_id").alias("_1"), F.max_by(F.struct("node_id", "x", "v"), "node_id").alias("_2")
         )
-        grown = F.when(~two, F.col("_v1")).when(span == 0, 0.0).otherwise(F.try_divide(F.col("_v1") * F.col("_v2"), span))
-        contrast = F.when(two & (span > 0), F.col("_x1") - F.col("_x2"))
-        met = cut_lineage(
-            met.join(inner.filter(F.col("level") == level - 1).drop("level"), ["tree_id", "node_id"]).select(
-                "tree_id",
-                "trait",
-                "node_id",
-                F.col("_up").alias("parent_id"),
-                value.alias("x"),
-                (F.col("_length") + grown).alias("v"),
-                contrast.alias("contrast"),
-                two.alias("_two"),
+        seen = wide.join(met, key, "left")
+        one, two = F.col("_1"), F.col("_2")
+        x, grown = _joined(one["x"], one["v"], two["x"], two["v"])
+        other = F.when(one["node_id"] == F.col("c1"), F.col("c2")).otherwise(F.col("c1"))
+        kind = F.when(F.col("_n") == 2, "done").when(F.col("_n") == 1, "chain").otherwise("wide")
+        full, half = F.col("_n") == 2, F.col("_n") == 1
+        out = seen.select(
+            *shape, "c1", "c2", F.when(full, x).alias("x"), F.when(full & x.isNotNull(), F.col("length") + grown).alias("v"),
+            F.when(half, other).alias("dep"), F.when(half, _beside(one["x"], one["v"], F.col("length"))).alias("m"), kind.alias("kind"),
+        )
+        if chain is not None:
+            ahead = chain.select("tree_id", "trait", F.col("node_id").alias("dep"), F.col("dep").alias("_dep"), F.col("m").alias("_m"))
+            reach = F.when(F.col("_m").isNull(), F.col("m")).otherwise(_after(F.col("m"), F.col("_m")))
+            hop = chain.join(ahead, ["tree_id", "trait", "dep"], "left").select(*key, "parent_id", F.coalesce("_dep", "dep").alias("dep"), reach.alias("m"))
+            told = new.select("tree_id", "trait", F.col("node_id").alias("dep"), "x", "v", F.lit(True).alias("_told"))
+            out_x, out_v = _applied(F.col("m"), F.col("x"), F.col("v"))
+            # a chain over a node without values has what its sisters give by themselves, if any has a value
+            alone = F.col("x").isNull() & (F.col("m.ba") > 0)
+            out_x = F.when(alone, F.col("m.ca") / F.col("m.ba")).otherwise(out_x)
+            out_v = F.when(alone, F.col("m.aa") / F.col("m.ba")).otherwise(out_v)
+            moved = hop.join(told, ["tree_id", "trait", "dep"], "left")
+            kind = F.when(F.col("_told"), "done").otherwise("chain")
+            out = out.unionByName(
+                moved.select(*key, "parent_id", out_x.alias("x"), out_v.alias("v"), "dep", "m", kind.alias("kind")), allowMissingColumns=True
             )
-        )
-        rounds.append(met.filter("_two").select("tree_id", "node_id", "trait", "contrast", F.col("x").alias("ancestor")))
-        below = met.select(*shape)
-    if not rounds:
-        return leaves.select("tree_id", "node_id", "trait", F.lit(None).cast("double").alias("contrast"), F.col("x").alias("ancestor")).limit(0)
-    return reduce(DataFrame.unionByName, rounds)
+        now = cut_lineage(out)
+        new, wide = now.filter("kind = 'done'").select(*tips.columns), now.filter("kind = 'wide'").select(*wide.columns)
+        chain = now.filter("kind = 'chain'").select(*key, "parent_id", "dep", "m")
+        known.append(new)
+    valued = reduce(DataFrame.unionByName, known).filter("x is not null and parent_id is not null")
+    sisters = valued.groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(
+        F.count("*").alias("_n"), F.min_by(F.struct("x", "v"), "node_id").alias("_1"), F.max_by(F.struct("x", "v"), "node_id").alias("_2")
+    )
+    one, two = F.col("_1"), F.col("_2")
+    contrast = F.when(one["v"] + two["v"] > 0, one["x"] - two["x"])
+    ancestor = _joined(one["x"], one["v"], two["x"], two["v"])[0]
+    return sisters.filter("_n = 2").select("tree_id", "node_id", "trait", contrast.alias("contrast"), ancestor.alias("ancestor"))
 
 
 def patristic_distance(branches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Path length between the two nodes of every asked pair (tree_id, a, b); null across components."""
-    paths = cut_lineage(interior_paths(branches))
+    """Path length between the two nodes of every asked pair (tree_id, a, b); null across components.
+
+    A leaf stands with its parent's visit number, and the depth of the common ancestor comes from least levels between two numbers.
+    """
+    toured = tour(interior(branches.select("tree_id", "node_id", "parent_id", "branch_length"), "branch_length"), ["branch_length"])
+    toured = toured.withColumnRenamed("branch_length", "depth")
     asked = pairs.select("tree_id", F.col("a").alias("node_id")).unionByName(pairs.select("tree_id", F.col("b").alias("node_id"))).distinct()
     nodes = branches.select("tree_id", "node_id", "parent_id", "branch_length").join(asked, ["tree_id", "node_id"], "left_semi")
-    placed = cut_lineage(node_paths(nodes, paths).select("tree_id", "node_id", "path", "depths"))
+    own = toured.select("tree_id", "node_id", "num", "depth", "root")
+    above = toured.select("tree_id", F.col("node_id").alias("parent_id"), F.col("num").alias("_num"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
+    placed = cut_lineage(
+        nodes.join(own, ["tree_id", "node_id"], "left")
+        .join(above, ["tree_id", "parent_id"], "left")
+        .select(
+            "tree_id",
+            "node_id",
+            F.coalesce("num", "_num").alias("num"),
+            F.coalesce("depth", F.col("_depth") + F.coalesce("branch_length", F.lit(0.0)), F.lit(0.0)).alias("depth"),
+            F.coalesce("root", "_root", "node_id").alias("root"),
+        )
+    )
 
-    def side(name: str) -> DataFrame:
-        return placed.select("tree_id", F.col("node_id").alias(name), F.col("path").alias(f"path_{name}"), F.col("depths").alias(f"depths_{name}"))
+    def side(name: str, number: str) -> DataFrame:
+        return placed.select("tree_id", F.col("node_id").alias(name), F.col("num").alias(number), F.col("depth").alias(f"depth_{name}"), F.col("root").alias(f"root_{name}"))
 
-    joined = pairs.select("tree_id", "a", "b").join(side("a"), ["tree_id", "a"]).join(side("b"), ["tree_id", "b"])
-    shared = F.size(F.filter(F.zip_with("path_a", "path_b", lambda p, q: F.coalesce(p == q, F.lit(False))), lambda same: same))
-    ancestor = F.try_element_at("depths_a", F.nullif(shared, F.lit(0)))
-    return joined.select(
-        "tree_id", "a", "b", (F.element_at("depths_a", -1) + F.element_at("depths_b", -1) - 2 * ancestor).alias("distance")
-    )
+    joined = cut_lineage(pairs.select("tree_id", "a", "b").join(side("a", "x"), ["tree_id", "a"]).join(side("b", "y"), ["tree_id", "b"]))
+    linked = (F.col("root_a") == F.col("root_b")) & (F.col("a") != F.col("b"))
+    alone = joined.filter(~linked).select("tree_id", "a", "b", F.when(F.col("a") == F.col("b"), 0.0).alias("distance"))
+    met = common_ancestor(toured, joined.filter(linked).select("tree_id", "a", "b", "x", "y", "depth_a", "depth_b"), "depth")
+    return met.select("tree_id", "a", "b", (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth")).alias("distance")).unionByName(alone)
 
 
 def mean_patristic_distance(branches: DataFrame, tips: DataFrame) -> DataFrame:
     """Per tip: number of other tips in its component and mean path length to them.
 
     Linear in the tree: an edge shared by a tip and c tips is saved 2c times, so edge counts replace
-    the n(n-1) pairs.
+    the n(n-1) pairs. Counts are sums over subtrees, savings are sums along root paths.
     """
-    tree = branches.select("tree_id", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("branch_length"))
-    paths = cut_lineage(interior_paths(tree))
-    leaves = node_paths(tree.join(tips.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"], "left_semi"), paths).select(
-        "tree_id", "node_id", "parent_id", "branch_length", F.element_at("path", 1).alias("root"), F.element_at("depths", -1).alias("depth")
-    )
-    leaves = cut_lineage(leaves)
-    steps = F.transform(F.arrays_zip("path", "depths"), lambda s: F.struct(s["path"].alias("node"), s["depths"].alias("depth")))
-    per_parent = leaves.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
-    below = (
-        per_parent.join(paths, ["tree_id", "node_id"])
-        .select("tree_id", "n", F.explode("path").alias("node"))
-        .groupBy("tree_id", "node")
-        .agg(F.sum("n").alias("below"))
-    )
-    lengths = tree.select("tree_id", F.col("node_id").alias("node"), F.when(F.col("parent_id").isNotNull(), F.col("branch_length")).otherwise(0.0).alias("len"))
-    weight = below.join(lengths, ["tree_id", "node"]).select("tree_id", "node", (F.col("below") * F.col("len")).alias("w"))
-    # the root is in every path: one row per node, written, so that the hot side can be split
-    weight = lookup_side(weight)
-    saved = (
-        paths.join(per_parent.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi")
-        .select("tree_id", "node_id", F.explode(steps).alias("s"))
-        .select("tree_id", "node_id", F.col("s.node").alias("node"))
-        .join(weight, ["tree_id", "node"])
-        .groupBy("tree_id", F.col("node_id").alias("parent_id"))
-        .agg(F.sum("w").alias("saved"))
+    tree = cut_lineage(branches.select("tree_id", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("branch_length")))
+    inner = cut_lineage(interior(tree, "branch_length"))
+    # a tip counts at its parent; one whose parent is not in the tree stands alone
+    leaves = cut_lineage(tree.join(tips.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"], "left_semi"))
+    hits = lookup_side(leaves.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("below")))
+    risen = cut_lineage(climb(inner.join(hits, ["tree_id", "node_id"], "left"), ["branch_length"], "below"))
+    above = risen.select("tree_id", F.col("node_id").alias("parent_id"), F.col("branch_length").alias("_depth"), F.col("root").alias("_root"))
+    leaves = leaves.join(above, ["tree_id", "parent_id"], "left")
+    hung = F.col("_root").isNotNull()
+    leaves = cut_lineage(
+        leaves.select(
+            "tree_id",
+            "node_id",
+            F.when(hung, F.col("parent_id")).alias("parent_id"),
+            F.when(hung, F.col("branch_length")).otherwise(0.0).alias("branch_length"),
+            F.coalesce("_root", "node_id").alias("root"),
+            F.coalesce(F.col("_depth") + F.col("branch_length"), F.lit(0.0)).alias("depth"),
+        )
     )
+    weighed = inner.join(risen.select("tree_id", "node_id", "below"), ["tree_id", "node_id"]).withColumn("saved", F.col("below") * F.col("branch_length"))
+    saved = climb(weighed.select("tree_id", "node_id", "up", "saved"), ["saved"]).select("tree_id", F.col("node_id").alias("parent_id"), "saved")
     totals = leaves.groupBy("tree_id", "root").agg(F.count("*").alias("n"), F.sum("depth").alias("sum_depth"))
     total = F.col("n") * F.col("depth") + F.col("sum_depth") - 2 * (F.coalesce("saved", F.lit(0.0)) + F.col("branch_length"))
     return (
