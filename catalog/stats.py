@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import mart, view
+from catalog.fixtures import base, mart, view
 from catalog.registry import in_order, query, r6
 from catalog.trees import TIPS, path_length
 from phylomart.operators.hierarchy import interior_paths, node_paths
@@ -12,13 +12,19 @@ from phylomart.operators.occurrences import latitude_summary
 from phylomart.operators.stats import complete_cases, gower_distance, mantel_test, regress_origin
 
 
+# the p-value by the finite sums for whole degrees of freedom
 @query("d15_regress_origin", """with s as (select taxonvariant_id, avg(abs(decimal_latitude)) as x, max(decimal_latitude) - min(decimal_latitude) as y from fx_occurrences group by taxonvariant_id),
-m as (select count(*) as n, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from s)
-select round(sxy / sxx, 6) as slope, round(sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx), 6) as std_error,
-  round((sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx), 6) as t_value, round(sxy * sxy / sxx / syy, 6) as r_squared, n - 1 as df from m""")
+m as (select count(*) as n, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from s),
+f as (select sxy / sxx as slope, sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) as std_error, sxy * sxy / sxx / syy as r_squared, n - 1 as df from m),
+g as (select *, slope / std_error as t_value, atan(abs(slope / std_error) / sqrt(df)) as angle from f),
+k as (select df, angle, i, sum(case when i = 0 then 0 when df % 2 = 0 then ln((2 * i - 1) / (2.0 * i)) else ln(2 * i / (2 * i + 1.0)) end) over (order by i) + 2 * i * ln(cos(angle)) as lt
+  from g join range(0, 10000000) r(i) on i < df // 2),
+a as (select sum(exp(lt)) as total from k)
+select round(slope, 6) as slope, round(std_error, 6) as std_error, round(t_value, 6) as t_value, round(r_squared, 6) as r_squared, df,
+  round(1 - case when df % 2 = 0 then sin(angle) * total else 2 / pi() * (angle + sin(angle) * cos(angle) * coalesce(total, 0)) end, 6) + 0.0 as p_value from g cross join a""")
 def _(spark, sf):
     fit = regress_origin(latitude_summary(view(spark, sf, "fx_occurrences"), "taxonvariant_id"), "average_absolute_latitude", "latitudinal_range")
-    return fit.select(*[r6(c).alias(c) for c in ("slope", "std_error", "t_value", "r_squared")], "df")
+    return fit.select(*[r6(c).alias(c) for c in ("slope", "std_error", "t_value", "r_squared", "p_value")], "df")
 
 
 SPANS = """spans as (select max(t1) - min(t1) as s1, max(t2) - min(t2) as s2, max(t3) - min(t3) as s3 from fx_gower)"""
@@ -33,6 +39,34 @@ def _(spark, sf):
     return rows.select("item", "defined_pairs", "undefined_pairs", F.round("total_distance", 5).alias("total_distance"), r6("mean_distance").alias("mean_distance"))
 
 
+# what a customer spent in each two months of seven years, where anything: a sparse trait each
+MONTHS = [f"m{i}" for i in range(40)]
+SPENDING = "select o_custkey as item, " + ", ".join(
+    f"cast(sum(case when (year(o_orderdate) - 1992) * 6 + (month(o_orderdate) - 1) // 2 = {i} then o_totalprice end) as double) as m{i}" for i in range(40)
+) + " from orders group by o_custkey"
+
+
+def many_traits_sql() -> str:
+    """Pairs as rows per shared trait."""
+    wide = ", ".join(f"({i}, m{i})" for i in range(40))
+    return f"""with wide as ({SPENDING}), long as materialized (select item, k, x from wide, lateral (values {wide}) v(k, x) where x is not null),
+spans as (select k, max(x) - min(x) as span from long group by k having max(x) > min(x)),
+scaled as materialized (select item, l.k, x / span as x from long l join spans s on s.k = l.k),
+pairs as (select a.item, b.item as other, avg(abs(a.x - b.x)) as d from scaled a join scaled b on a.k = b.k and a.item <> b.item group by a.item, b.item),
+sums as (select item, count(*) as n, sum(d) as total from pairs group by item)
+select w.item, coalesce(n, 0) as defined_pairs, (select count(*) from wide) - 1 - coalesce(n, 0) as undefined_pairs, round(coalesce(total, 0), 5) as total_distance, round(total / n, 6) as mean_distance
+from wide w left join sums s on s.item = w.item"""
+
+
+@query("f3_gower_many_traits", many_traits_sql())
+def _(spark, sf):
+    period = (F.year("o_orderdate") - 1992) * 6 + F.floor((F.month("o_orderdate") - 1) / 2)
+    orders = base(spark, sf, "orders").select(F.col("o_custkey").alias("item"), period.alias("k"), F.col("o_totalprice").cast("double").alias("x"))
+    wide = orders.groupBy("item").agg(*[F.sum(F.when(F.col("k") == i, F.col("x"))).alias(m) for i, m in enumerate(MONTHS)])
+    rows = gower_distance(wide, "item", MONTHS)
+    return rows.select("item", "defined_pairs", "undefined_pairs", F.round("total_distance", 5).alias("total_distance"), r6("mean_distance").alias("mean_distance"))
+
+
 @query("b19_complete_cases", f"with {GOWER_PAIRS} select item from pairs group by item having count(*) = count(d)")
 def _(spark, sf):
     return complete_cases(gower_distance(view(spark, sf, "fx_gower"), "item", ["t1", "t2", "t3"])).select("item")

@@ -10,17 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from phylomart.functions.student import two_sided_p
 from phylomart.operators.pairwise import (
+    PAIR_SUMS,
     TILE_ROWS,
+    gather_sums,
     gower_tile,
     patristic_tile,
+    row_sums,
     tile_pairs,
 )
-from phylomart.runtime import cut_lineage, null_safe, with_position
+from phylomart.runtime import cut_lineage, lookup_side, measured, null_safe, with_position
+
+# Patterns of present traits up to which distances come from prefix sums, and those that one pass sums up.
+PATTERNS = 64
+PATTERNS_A_PASS = 8
+MASK_BITS = 60
 
 
 def regress_origin(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Least squares through the origin: slope, standard error, t, R squared and df in one aggregate."""
+    """Least squares through the origin: slope, standard error, t, R squared, df and the two-sided p-value in one aggregate.
+
+    Without degrees of freedom, or with a null t, the p-value is null.
+    """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     sums = rows.agg(
         F.count("*").alias("n"),
@@ -31,13 +43,14 @@ def regress_origin(df: DataFrame, x: str, y: str) -> DataFrame:
     slope = F.try_divide("sxy", "sxx")
     residual = F.col("syy") - slope * F.col("sxy")
     error = F.sqrt(F.try_divide(F.try_divide(residual, F.col("n") - 1), F.col("sxx")))
-    return sums.select(
+    fit = sums.select(
         slope.alias("slope"),
         error.alias("std_error"),
         F.try_divide(slope, error).alias("t_value"),
         F.try_divide(slope * F.col("sxy"), F.col("syy")).alias("r_squared"),
         (F.col("n") - 1).alias("df"),
     )
+    return fit.select("*", two_sided_p(F.col("t_value"), F.col("df")).alias("p_value"))
 
 
 def scaled_traits(wide: DataFrame, item: str, traits: Sequence[str]) -> DataFrame:
@@ -57,64 +70,108 @@ def gower_distance(wide: DataFrame, item: str, traits: Sequence[str]) -> DataFra
     Returns (item, defined_pairs, undefined_pairs, total_distance, mean_distance). A pair's distance
     is the mean over shared traits of the range-scaled gap, undefined when no trait is shared.
 
-    No pair is formed. Items with the same traits present share a pattern, and the divisor of a pair depends on
-    the two patterns alone. In the order of a trait's values, the gaps of an item to all items of a pattern
-    follow from their count and sum below it. Both are prefix sums over range partitions.
+    Any number of traits may be given. Items with the same traits present share a pattern, and the divisor of a pair depends on
+    the two patterns alone. With few patterns no pair is formed, see :func:`_gower_by_patterns`; with more than
+    ``PATTERNS``, where that costs as much as the pairs, they are reduced tile by tile. Items must be distinct.
     """
     traits = list(traits)
-    bits = F.array(*[F.when(F.isnan(t), 0).otherwise(1 << i) for i, t in enumerate(traits)])
-    scaled = scaled_traits(wide, item, traits).withColumn("_has", F.aggregate(bits, F.lit(0), lambda x, b: x + b))
-    scaled = cut_lineage(scaled)
-    # at most 2 ** len(traits) rows
-    sizes = {r["_has"]: r["count"] for r in scaled.groupBy("_has").count().collect()}
+    scaled = scaled_traits(wide, item, traits)
+    words = [traits[i : i + MASK_BITS] for i in range(0, len(traits), MASK_BITS)]
+    bits = [[F.when(F.isnan(t), 0).otherwise(1 << i).cast("long") for i, t in enumerate(word)] for word in words]
+    masks = [F.aggregate(F.array(*word), F.lit(0).cast("long"), lambda x, b: x + b) for word in bits]
+    scaled = cut_lineage(scaled.withColumn("_has", F.array(*masks) if masks else F.array().cast("array<bigint>")))
+    patterns = lookup_side(scaled.groupBy("_has").agg(F.count("*").alias("n")))
+    sums = _gower_by_patterns(scaled, item, traits, patterns) if patterns.count() <= PATTERNS else _gower_by_tiles(scaled, item, traits)
+    items = scaled.agg(F.count("*").alias("n")).first()["n"]
+    total = F.when(F.col("n") > 0, F.greatest("total", F.lit(0.0))).otherwise(0.0)
+    return sums.select(
+        item,
+        F.col("n").alias("defined_pairs"),
+        (F.lit(items - 1) - F.col("n")).cast("long").alias("undefined_pairs"),
+        total.alias("total_distance"),
+        F.when(F.col("n") > 0, total / F.col("n")).alias("mean_distance"),
+    )
+
+
+def _gower_by_tiles(scaled: DataFrame, item: str, traits: Sequence[str]) -> DataFrame:
+    """(item, n, total) over all other items, each pair of tiles a unit of work."""
+
+    @F.pandas_udf(PAIR_SUMS)
+    def reduce_tile(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, q, same in zip(zip(*[a[c] for c in traits]), zip(*[b[c] for c in traits]), itself):
+            out.append(row_sums(gower_tile(p, q), np.ones(len(p[0])), np.ones(len(q[0])), bool(same)))
+        return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
+
+    pairs = tile_pairs(scaled, [], item, traits)
+    sums = gather_sums(pairs, [], item, reduce_tile("a", "b", F.col("i") == F.col("j")))
+    # an item with a trait has met itself
+    own = F.when(F.exists("_has", lambda m: m != 0), 1).otherwise(0)
+    joined = scaled.select(item, own.alias("_own")).join(sums, item, "left")
+    return joined.select(item, (F.coalesce("n", F.lit(0.0)).cast("long") - F.col("_own")).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+def _shared(pattern: Sequence[int]) -> Column:
+    """How many traits of ``pattern`` the row's own pattern has."""
+    return sum((F.bit_count(F.col("_has")[k].bitwiseAND(F.lit(mask).cast("long"))) for k, mask in enumerate(pattern)), F.lit(0))
+
+
+def _gower_by_patterns(scaled: DataFrame, item: str, traits: Sequence[str], patterns: DataFrame) -> DataFrame:
+    """(item, n, total) over all other items, from prefix sums.
+
+    In the order of a trait's values, the gaps of an item to all items of a pattern follow from their count and sum below it. Both are
+    prefix sums over range partitions, for a few patterns a pass.
+    """
+    # at most PATTERNS rows
+    sizes = {tuple(r["_has"]): r["n"] for r in patterns.collect()}
     values = scaled.select(item, "_has", F.posexplode(F.array(*traits)).alias("_trait", "_x")).filter(~F.isnan("_x"))
     order = ["_trait", "_x", item]
     slots = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id())
     slots = cut_lineage(slots).withColumn("_part", F.shiftright("_slot", 33))
-    names = {p: (f"_n{p}", f"_s{p}") for p in sizes}
-
-    def sums_of(over=lambda c: c) -> list[Column]:
-        out = []
-        for p, (n, s) in names.items():
-            own = F.col("_has") == p
-            out += [over(F.sum(F.when(own, 1).otherwise(0))).alias(n), over(F.sum(F.when(own, F.col("_x")).otherwise(0.0))).alias(s)]
-        return out
-
     upto = Window.partitionBy("_part", "_trait").orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one row per partition and trait
-    parts = slots.groupBy("_part", "_trait").agg(*sums_of())
     before = Window.partitionBy("_trait").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("_trait")
-    columns = [c for pair in names.values() for c in pair]
-    offsets = parts.select(
-        "_part",
-        "_trait",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns],
-        *[F.sum(c).over(every).alias(f"{c}_all") for c in columns],
-    )
-    running = slots.select(item, "_part", "_trait", "_x", "_has", *sums_of(lambda c: c.over(upto)))
-    joined = running.join(F.broadcast(offsets), ["_part", "_trait"])
-    gaps = F.lit(0.0)
-    for p, (n, s) in names.items():
-        below_n, below_s = F.col(n) + F.col(f"{n}_before"), F.col(s) + F.col(f"{s}_before")
-        gap = F.col("_x") * (2 * below_n - F.col(f"{n}_all")) + F.col(f"{s}_all") - 2 * below_s
-        shared = F.bit_count(F.col("_has").bitwiseAND(F.lit(p)))
-        gaps = gaps + F.when(shared > 0, gap / shared).otherwise(0.0)
-    totals = joined.select(item, gaps.alias("_gap")).groupBy(item).agg(F.sum("_gap").alias("_total"))
-    n_items = sum(sizes.values())
+    known, passes = list(sizes), []
+    for start in range(0, len(known), PATTERNS_A_PASS):
+        some = known[start : start + PATTERNS_A_PASS]
+
+        def sums_of(over=lambda c: c, some=some) -> list[Column]:
+            out = []
+            for i, p in enumerate(some):
+                own = F.col("_has") == F.array(*[F.lit(m).cast("long") for m in p])
+                out += [over(F.sum(F.when(own, 1).otherwise(0))).alias(f"_n{i}"), over(F.sum(F.when(own, F.col("_x")).otherwise(0.0))).alias(f"_s{i}")]
+            return out
+
+        # one row per partition and trait
+        parts = slots.groupBy("_part", "_trait").agg(*sums_of())
+        columns = [c for i in range(len(some)) for c in (f"_n{i}", f"_s{i}")]
+        offsets = cut_lineage(
+            parts.select(
+                "_part",
+                "_trait",
+                *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns],
+                *[F.sum(c).over(every).alias(f"{c}_all") for c in columns],
+            )
+        )
+        running = slots.select(item, "_part", "_trait", "_x", "_has", *sums_of(lambda c: c.over(upto)))
+        joined = running.join(measured(offsets, offsets.count(), 512), ["_part", "_trait"])
+        gaps = F.lit(0.0)
+        for i, p in enumerate(some):
+            below_n, below_s = F.col(f"_n{i}") + F.col(f"_n{i}_before"), F.col(f"_s{i}") + F.col(f"_s{i}_before")
+            gap = F.col("_x") * (2 * below_n - F.col(f"_n{i}_all")) + F.col(f"_s{i}_all") - 2 * below_s
+            gaps = gaps + F.when(_shared(p) > 0, gap / _shared(p)).otherwise(0.0)
+        passes.append(joined.select(item, gaps.alias("_gap")))
+    none = scaled.select(item, F.lit(0.0).alias("_gap")).limit(0)
+    gathered = none
+    for one in passes:
+        gathered = gathered.unionByName(cut_lineage(one.groupBy(item).agg(F.sum("_gap").alias("_gap"))))
+    totals = gathered.groupBy(item).agg(F.sum("_gap").alias("total"))
     met = F.lit(0).cast("long")
     for p, size in sizes.items():
-        met = met + F.when(F.col("_has").bitwiseAND(F.lit(p)) > 0, F.lit(size)).otherwise(0)
+        met = met + F.when(_shared(p) > 0, F.lit(size)).otherwise(0)
     # an item with a trait meets itself
-    counted = scaled.select(item, (met - F.when(F.col("_has") > 0, 1).otherwise(0)).alias("n"))
-    total = F.when(F.col("n") > 0, F.greatest("_total", F.lit(0.0))).otherwise(0.0)
-    return counted.join(totals, item, "left").select(
-        item,
-        F.col("n").alias("defined_pairs"),
-        (F.lit(n_items - 1) - F.col("n")).cast("long").alias("undefined_pairs"),
-        total.alias("total_distance"),
-        F.when(F.col("n") > 0, total / F.col("n")).alias("mean_distance"),
-    )
+    own = F.when(F.exists("_has", lambda m: m != 0), 1).otherwise(0)
+    return scaled.select(item, (met - own).alias("n")).join(totals, item, "left")
 
 
 def complete_cases(dist: DataFrame) -> DataFrame:
