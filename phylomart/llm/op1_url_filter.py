@@ -56,7 +56,9 @@ def rule_table(rules: Sequence[tuple[str, str]]) -> dict[str, list[tuple[str, st
 def find_rule(by_host: Mapping[str, list[tuple[str, str, str]]], host: str, path: str) -> tuple[str | None, str | None]:
     """The longest rule that fits the host or one of its parent domains, and its verdict."""
     best: tuple[str | None, str | None] = (None, None)
-    at = 0
+    # a rule's host has as many dots as the part of the host it fits, so earlier labels can fit none
+    labels = 1 + max((known.count(".") for known in by_host), default=0)
+    host, at = ".".join(host.rsplit(".", labels)[-labels:]), 0
     while True:
         for start, rule, verdict in by_host.get(host[at:], ()):
             if path.startswith(start):

@@ -45,6 +45,8 @@ def source_targets(sizes: DataFrame, cycle: int = CYCLE, most: int = MOST) -> Da
 def mix(sizes: DataFrame, cycle: int = CYCLE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """``sizes`` (doc_id, source, size, any more) with source_size, target and the ``copies`` the mix takes of each row.
 
+    Columns of these names are replaced.
+
     Inside a source all documents expect target / source_size copies. Rows are numbered by size, then doc_id;
     the prefix sum of expected copies starts at one offset drawn from the seed and the source, and a row is
     emitted once per whole number that its step crosses. Documents of like size stand side by side, so the words
@@ -52,15 +54,18 @@ def mix(sizes: DataFrame, cycle: int = CYCLE, most: int = MOST, seed: int = SEED
     offsets, so a hot source is spread over tasks. A null source is a source of its own, the last; a source
     without words has target 0 and is not taken; repeated rows are rows of their own; reruns agree.
     """
-    stored = cut_lineage(sizes)
+    plain = sizes.drop("source_size", "target", "copies")
+    row, place = fresh(plain, "mix_tie"), fresh(plain, "mix_place")
+    # rows of one source, size and id are told apart by a number of their own, so that they need not meet in one task
+    stored = cut_lineage(plain.withColumn(row, F.monotonically_increasing_id()))
     targets = cut_lineage(source_targets(stored, cycle, most))
-    placed = ordinal_within(stored, ["source"], ["size", "doc_id"], "place", stored=True)
+    placed = ordinal_within(stored, ["source"], ["size", "doc_id", row], place, stored=True)
     joined = placed.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     key = F.concat(F.lit(f"{seed}|"), F.coalesce("d.source", F.lit("")))
     offset = F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("double") / (1 << 20)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = F.floor(offset + rate * F.col("place")) - F.floor(offset + rate * (F.col("place") - 1))
-    return joined.select("d.*", "source_size", "target", crossed.cast("long").alias("copies")).drop("place")
+    crossed = F.floor(offset + rate * F.col(place)) - F.floor(offset + rate * (F.col(place) - 1))
+    return joined.select("d.*", "source_size", "target", crossed.cast("long").alias("copies")).drop(row, place)
 
 
 def mix_documents(docs: DataFrame, cycle: int = CYCLE, most: int = MOST, seed: int = SEED) -> DataFrame:

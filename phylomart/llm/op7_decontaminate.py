@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from phylomart.llm.common import fresh
 from phylomart.llm.fm_index import FMIndex
 from phylomart.llm.words import ALNUM, chunks, encoded, split_words
+from phylomart.runtime import cut_lineage
 
 WINDOW = 13
 SHARE = 20  # contaminated when SHARE * hit words reach all words
 SHARD_BYTES = 6 << 20  # text of one index
 BLOCK_BYTES = 32 << 20  # benchmark text of one broadcast
+BLOCK_WINDOWS = 1 << 17  # windows of one broadcast, some 2 KB each on the driver
+# Fixed value: a word, before or after A-Z are lower-cased.
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Phrases:
@@ -108,12 +112,17 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = "n_words long, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The benchmark in blocks of about ``block_bytes`` of text, by a hash of the item."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = 1 + total // block_bytes
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, block_windows: int = BLOCK_WINDOWS) -> list[DataFrame]:
+    """The different items of the benchmark in blocks of about ``block_bytes`` of text and ``block_windows`` windows, by a hash of the item.
+
+    An item has no more windows than words. One item is not divided.
+    """
+    different = cut_lineage(benchmark.select("item_id", "text").distinct())
+    words = F.regexp_count("text", F.lit(WORD_PATTERN))
+    total, windows = different.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
+    n = 1 + max(total // block_bytes, windows // block_windows)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [benchmark.where(block == i) for i in range(n)]
+    return [different.where(block == i) for i in range(n)]
 
 
 def find_hits(
