@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylomart.operators.keys import assign_keys
+from phylomart.operators.tours import nearest_marked
 from phylomart.runtime import cut_lineage, lookup_side
 
 # Match kinds accepted from a supplied candidate table.
@@ -256,9 +257,9 @@ def resolve_names(
 ) -> NamesResult:
     """Map labels to variants: one local variant, else a synonym link, else a fuzzy match, else null.
 
-    One set-wise pass over the distinct labels; the link rule is repeated until it adds nothing,
-    because a variant made for one label can be the accepted name of another. Every pass takes labels
-    away, so it ends, at cycles too. The last rule takes matches from ``candidates`` where such a table is
+    One set-wise pass over the distinct labels. A variant made for one label can be the accepted name of
+    another, so links are followed to the first name that has a variant, by doubling: rounds grow with the
+    logarithm of the longest chain, and circles have no end and no variant. The last rule takes matches from ``candidates`` where such a table is
     supplied, with ``id_col`` as in :func:`attach_candidates`, else from the taxa themselves.
     """
     wanted = labels.select("label").filter(F.col("label").isNotNull()).distinct()
@@ -270,7 +271,8 @@ def resolve_names(
     open_labels = looked.filter("_n is null").select("label")
     ambiguous = looked.filter("_n > 1").select("label")
 
-    accepted_names = longnames.select(F.col("tsn").alias("tsn_accepted"), F.col("completename").alias("_accepted"))
+    # the lowest name where an id has several, so every label has one link
+    accepted_names = longnames.groupBy(F.col("tsn").alias("tsn_accepted")).agg(F.min("completename").alias("_accepted"))
     linked = (
         open_labels.join(_one_tsn(longnames), "label")
         .join(_one_link(links), "tsn")
@@ -279,32 +281,24 @@ def resolve_names(
     )
     linked = cut_lineage(linked)
     shape = "taxonvariant_name", "taxonvariant_level", "taxonvariant_status", "taxon_id"
-    by_name = own.select("_accepted", "_v")
-    made = None
-    while True:
-        step = linked.join(by_name, "_accepted").select(
+    made = cut_lineage(
+        _chain_ends(linked, own.select("_accepted"))
+        .join(own.select("_accepted", "_v"), "_accepted")
+        .select(
             F.col("label").alias("taxonvariant_name"),
             F.col("_v.taxonvariant_level").alias("taxonvariant_level"),
             F.lit("synonym").alias("taxonvariant_status"),
             F.col("_v.taxon_id").alias("taxon_id"),
         )
-        step = cut_lineage(step)
-        if step.isEmpty():
-            break
-        made = step if made is None else made.unionByName(step)
-        linked = linked.join(step.select(F.col("taxonvariant_name").alias("label")), "label", "left_anti")
-        if linked.isEmpty():
-            break
-        by_name = _carriers(step.withColumn("taxonvariant_id", F.lit(0).cast("long")))
+    )
     left_over = open_labels.unionByName(ambiguous)
-    if made is not None:
-        left_over = left_over.join(made.select(F.col("taxonvariant_name").alias("label")), "label", "left_anti")
+    left_over = left_over.join(made.select(F.col("taxonvariant_name").alias("label")), "label", "left_anti")
     if candidates is None:
         matches = accept_fuzzy(left_over, taxa, 1, min_score)
     else:
         matches = attach_candidates(candidates.join(left_over.distinct(), "label", "left_semi"), taxa, id_col, 1, min_score)
     fuzzy = matches.select(*shape, F.lit("fuzzy").alias("rule"))
-    new = fuzzy if made is None else made.select(*shape, F.lit("link").alias("rule")).unionByName(fuzzy)
+    new = made.select(*shape, F.lit("link").alias("rule")).unionByName(fuzzy)
     keyed = assign_keys(new, variants, "taxonvariant_id", ["taxonvariant_name"])
     created = keyed.select(F.col("taxonvariant_name").alias("label"), "taxonvariant_id", "rule")
     label_map = mapped.unionByName(created)
@@ -314,6 +308,18 @@ def resolve_names(
     return NamesResult(keyed.drop("rule"), label_map.unionByName(unresolved))
 
 
+def _chain_ends(linked: DataFrame, named: DataFrame) -> DataFrame:
+    """(label, _accepted): the first of the ``named`` names on the chain of accepted names of every linked label that has one.
+
+    ``linked`` is stored and holds no label that is a ``named`` name.
+    """
+    step = F.lit(1).alias("tree_id"), F.col("label").alias("node_id"), F.col("_accepted").alias("up")
+    ends = named.join(linked.select("_accepted").distinct(), "_accepted", "left_semi")
+    stops = ends.select(step[0], F.col("_accepted").alias("node_id"), F.lit(None).cast("string").alias("up"), F.lit(True).alias("mark"))
+    chain = linked.select(*step, F.lit(False).alias("mark")).unionByName(stops)
+    return nearest_marked(chain, "mark").filter("near is not null").select(F.col("node_id").alias("label"), F.col("near").alias("_accepted"))
+
+
 def _carriers(variants: DataFrame, *more: Column) -> DataFrame:
     """Name to its lowest variant's level and taxon, with ``more`` aggregates."""
     row = F.min(F.struct("taxonvariant_id", "taxonvariant_level", "taxon_id"))

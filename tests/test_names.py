@@ -99,6 +99,16 @@ def test_links_are_followed_to_their_end(make):
     assert {r.taxon_id for r in found.variants.collect()} == {7}
 
 
+def test_long_chains_and_ids_with_several_names(make):
+    variants, taxa = make([(1, "Aaaaa", "SPECIES", "accepted", 7)], VARIANTS), make([(7, "Aaaaa", "SPECIES", 1, None)], TAXA)
+    label = "Chained name {:05d} of a long list".format
+    names = make([(i, label(i)) for i in range(1, 600)] + [(7, "Zz other name of seven"), (9999, "Aaaaa")], NAMES)
+    links = make([(1, 9999), *[(i, i - 1) for i in range(2, 600)]], LINKS)
+    found = resolve_names(names.selectExpr("completename as label").filter("label like 'Chained%'"), variants, taxa, names, links)
+    assert {(r.rule, r["count"]) for r in found.label_map.groupBy("rule").count().collect()} == {("link", 599)}
+    assert found.variants.select("taxonvariant_id").distinct().count() == 599
+
+
 CANDIDATES = "label string, local_id long, score double, match_value string, edit_distance int"
 
 
