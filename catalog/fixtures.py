@@ -22,6 +22,13 @@ select cast(1 + r_regionkey as bigint) as node_id, cast(null as bigint) as paren
 union all select cast(100 + n_nationkey as bigint), cast(1 + n_regionkey as bigint), n_name, 'FAMILY', cast(1 + n_nationkey % 7 as double), cast(11 as bigint) from nation
 union all select 1000 + c_custkey, cast(100 + c_nationkey as bigint), c_name, 'SPECIES', cast(1 + c_custkey % 5 as double), cast(11 as bigint) from customer
 union all select 10000000 + o_orderkey, 1000 + o_custkey, concat('sub ', cast(o_orderkey as string)), 'SUBSPECIES', cast(0.5 as double), cast(11 as bigint) from orders""",
+    # a tree for every customer with orders: customer -> order status -> order
+    "fx_customer_trees": """
+select o_custkey as tree_id, cast(1 as bigint) as node_id, cast(null as bigint) as parent_id, concat('Customer ', cast(o_custkey as string)) as label, cast(null as double) as branch_length
+from (select distinct o_custkey from orders) c
+union all select o_custkey, cast(case o_orderstatus when 'F' then 2 when 'O' then 3 else 4 end as bigint), cast(1 as bigint), concat('status_', o_orderstatus), cast(1.5 as double)
+from (select distinct o_custkey, o_orderstatus from orders) s
+union all select o_custkey, 100 + o_orderkey, cast(case o_orderstatus when 'F' then 2 when 'O' then 3 else 4 end as bigint), concat('sub ', cast(o_orderkey as string)), cast(1 + o_orderkey % 7 as double) from orders""",
     # tree 12, one root, a one-child stem above every region, customers as tips
     "fx_phylogeny": """
 select cast(0 as bigint) as node_id, cast(null as bigint) as parent_id, '' as label, cast(null as double) as branch_length, cast(12 as bigint) as tree_id

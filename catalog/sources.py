@@ -9,6 +9,7 @@ from catalog.registry import query, scratch
 from phylomart.operators.joins import backfill_fk, insert_if_absent
 from phylomart.operators.traits import character_matrix, matrix_lines
 from phylomart.schemas import TABLES
+from phylomart.sources.fragments import fragment_rejects, parse_fragments
 from phylomart.sources.newick import newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
 from phylomart.sources.tables import register_tables, write_tables
 from phylomart.sources.tabular import read_csv_quoted, read_ranges, read_tsv, write_species_csv, write_tsv
@@ -67,16 +68,30 @@ def _(spark, sf):
     return spark.sql(" union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in TABLES))
 
 
-@query(
-    "a6_parse_newick",
-    """select replace(c.label, '_', ' ') as label, replace(p.label, '_', ' ') as parent_label, c.branch_length
-from fx_taxonomy c left join fx_taxonomy p on c.parent_id = p.node_id""",
-)
-def _(spark, sf):
-    texts = write_newick(view(spark, sf, "fx_taxonomy")).withColumn("tree_name", F.col("root_id").cast("string"))
-    nodes = parse_newick(texts)
+ADJACENT = """select cast(c.tree_id as string) as tree_name, replace(c.label, '_', ' ') as label, replace(p.label, '_', ' ') as parent_label, c.branch_length
+from {0} c left join {0} p on c.parent_id = p.node_id and c.tree_id = p.tree_id"""
+
+
+def adjacent(nodes):
     parents = nodes.select("tree_name", F.col("node_id").alias("parent_id"), F.col("label").alias("parent_label"))
-    return nodes.join(parents, ["tree_name", "parent_id"], "left").select("label", "parent_label", "branch_length")
+    return nodes.join(parents, ["tree_name", "parent_id"], "left").select("tree_name", "label", "parent_label", "branch_length")
+
+
+def customer_texts(spark, sf):
+    """The text of every customer's tree, which has that customer's orders."""
+    return write_newick(view(spark, sf, "fx_customer_trees")).withColumn("tree_name", F.col("tree_id").cast("string"))
+
+
+@query("a6_parse_newick", ADJACENT.format("fx_customer_trees"))
+def _(spark, sf):
+    return adjacent(parse_newick(customer_texts(spark, sf)))
+
+
+# the five trees of tree 11 hold all customers and orders; each comes as one piece a node, or two
+@query("a6_parse_fragments", ADJACENT.format("fx_taxonomy").replace("cast(c.tree_id as string) as tree_name, ", ""))
+def _(spark, sf):
+    pieces = newick_fragments(view(spark, sf, "fx_taxonomy")).withColumn("tree_name", F.col("root_id").cast("string"))
+    return adjacent(parse_fragments(pieces)).drop("tree_name")
 
 
 def with_rings(ranges):
@@ -159,17 +174,14 @@ def _(spark, sf):
 
 @query(
     "a12_write_newick",
-    """with subspecies as (select parent_id, concat('(', string_agg(concat(replace(label, ' ', '_'), ':0.5'), ',' order by node_id), ')') as inner_text
-  from fx_taxonomy where lvl = 'SUBSPECIES' group by parent_id),
-species as (select n.parent_id, concat('(', string_agg(concat(coalesce(s.inner_text, ''), replace(n.label, ' ', '_'), ':', cast(n.branch_length as string)), ',' order by n.node_id), ')') as inner_text
-  from fx_taxonomy n left join subspecies s on n.node_id = s.parent_id where n.lvl = 'SPECIES' group by n.parent_id),
-family as (select n.parent_id, concat('(', string_agg(concat(coalesce(s.inner_text, ''), replace(n.label, ' ', '_'), ':', cast(n.branch_length as string)), ',' order by n.node_id), ')') as inner_text
-  from fx_taxonomy n left join species s on n.node_id = s.parent_id where n.lvl = 'FAMILY' group by n.parent_id)
-select n.node_id as root_id, concat(coalesce(f.inner_text, ''), replace(n.label, ' ', '_'), ';') as newick
-from fx_taxonomy n left join family f on n.node_id = f.parent_id where n.lvl = 'ORDER'""",
+    """with leaves as (select tree_id, parent_id, string_agg(concat(replace(label, ' ', '_'), ':', cast(branch_length as string)), ',' order by node_id) as inner_text
+  from fx_customer_trees where node_id >= 100 group by tree_id, parent_id),
+states as (select n.tree_id, string_agg(concat('(', l.inner_text, ')', n.label, ':', cast(n.branch_length as string)), ',' order by n.node_id) as inner_text
+  from fx_customer_trees n join leaves l on l.tree_id = n.tree_id and l.parent_id = n.node_id where n.node_id between 2 and 4 group by n.tree_id)
+select n.tree_id, concat('(', s.inner_text, ')', replace(n.label, ' ', '_'), ';') as newick from fx_customer_trees n join states s on s.tree_id = n.tree_id where n.node_id = 1""",
 )
 def _(spark, sf):
-    return write_newick(view(spark, sf, "fx_taxonomy")).select("root_id", "newick")
+    return write_newick(view(spark, sf, "fx_customer_trees")).select("tree_id", "newick")
 
 
 @query(
@@ -195,12 +207,32 @@ def _(spark, sf):
     return nexus_trees(lines.unionByName(others))
 
 
-# every second text loses its last bracket
-@query("a6_newick_rejects", "select cast(node_id as string) as tree_name from fx_taxonomy where lvl = 'ORDER' and node_id % 2 = 0")
+REJECTED = "select tree_name from (select distinct cast(tree_id as string) as tree_name, tree_id % 5 as kind from fx_customer_trees) t where kind < 3"
+
+
+def spoilt(text, kind):
+    """Texts of kind 0 lack a bracket, those of kind 1 have a second root, those of kind 2 a length that is no number."""
+    return F.when(kind == 0, F.concat(F.lit("("), text)).when(kind == 1, F.concat(F.lit("Other,"), text)).when(kind == 2, F.replace(text, F.lit(":1.5"), F.lit(":long"))).otherwise(text)
+
+
+@query("a6_newick_rejects", REJECTED)
+def _(spark, sf):
+    texts = customer_texts(spark, sf)
+    return newick_rejects(texts.select("tree_name", spoilt(F.col("newick"), F.col("tree_id") % 5).alias("newick"))).select("tree_name")
+
+
+@query(
+    "a6_fragment_rejects",
+    REJECTED.replace(
+        "select tree_name from",
+        "select tree_name, case kind when 0 then 'brackets are not balanced' when 1 then 'more than one root' else 'a length is not a number' end as error from",
+    ),
+)
 def _(spark, sf):
-    texts = write_newick(view(spark, sf, "fx_taxonomy"))
-    broken = F.when(F.col("root_id") % 2 == 0, F.concat(F.lit("("), "newick")).otherwise(F.col("newick"))
-    return newick_rejects(texts.select(F.col("root_id").cast("string").alias("tree_name"), broken.alias("newick"))).select("tree_name")
+    pieces = newick_fragments(view(spark, sf, "fx_customer_trees"))
+    kind = F.col("tree_id") % 5
+    text = F.when((F.col("ordinal") == 1) | (kind == 2), spoilt(F.col("fragment"), kind)).otherwise(F.col("fragment"))
+    return fragment_rejects(pieces.select(F.col("tree_id").cast("string").alias("tree_name"), "ordinal", text.alias("fragment")))
 
 
 @query(

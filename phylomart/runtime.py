@@ -125,6 +125,25 @@ def with_position(df: DataFrame, order_by: Sequence[str], name: str = "position"
     )
 
 
+def running_sums(df: DataFrame, order_by: Sequence[str], sums: Sequence[str], stored: bool = False) -> DataFrame:
+    """``df`` with each long column of ``sums`` replaced by its sum over all rows up to this one in ``order_by`` order.
+
+    As in :func:`with_position`, rows are range-partitioned and sorted once; a task adds up its own rows, and one row per
+    partition holds what came before. ``order_by`` should end in a unique column.
+    """
+    source = df if stored else cut_lineage(df)
+    slotted = source.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_slot", F.monotonically_increasing_id())
+    frozen = cut_lineage(slotted.withColumn("_part", F.shiftright("_slot", 33)))
+    totals = frozen.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    upto = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = frozen.select(*[F.sum(c).over(upto).alias(c) if c in sums else F.col(c) for c in frozen.columns])
+    kept = [(F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else F.col(c) for c in df.columns]
+    return summed.join(F.broadcast(offsets), "_part").select(*kept)
+
+
 def ordinal_within(
     df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "position", stored: bool = False
 ) -> DataFrame:
