@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import base, mart, view
 from catalog.registry import query, scratch
 from phylomart.operators.joins import backfill_fk, insert_if_absent
-from phylomart.operators.traits import character_matrix, matrix_lines
+from phylomart.operators.traits import character_lines, character_matrix, matrix_lines
 from phylomart.schemas import TABLES
 from phylomart.sources.fragments import fragment_rejects, parse_fragments
 from phylomart.sources.newick import newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
@@ -246,3 +246,21 @@ group by taxon_name""",
 def _(spark, sf):
     continuous, _ = character_matrix(labelled_states(spark, sf), KINDS)
     return matrix_lines(continuous)
+
+
+# a character for every month of orders, a line for every customer; the last order of the month counts
+@query(
+    "a13_character_lines",
+    """with held as (select o_custkey, substring(cast(cast(o_orderdate as date) as string), 1, 7) as month, arg_max(cast(floor(o_totalprice) as bigint), o_orderkey) as cell from orders group by 1, 2),
+months as (select distinct month from held), taxa as (select distinct o_custkey from held)
+select concat('Customer_', cast(t.o_custkey as string), ' ', string_agg(coalesce(cast(h.cell as string), '?'), ' ' order by m.month)) as line, count(*) as n_cells
+from taxa t join months m on true left join held h on h.o_custkey = t.o_custkey and h.month = m.month group by t.o_custkey""",
+)
+def _(spark, sf):
+    orders = base(spark, sf, "orders")
+    month = F.substring(F.col("o_orderdate").cast("date").cast("string"), 1, 7)
+    states = orders.select(
+        F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("taxon_name"), month.alias("character_label"),
+        F.floor("o_totalprice").cast("string").alias("character_value"), F.col("o_orderkey").alias("state_id"),
+    )
+    return character_lines(states, states.select("character_label"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylomart.functions.text import number
 from phylomart.operators.cleaning import keep_observed
 from phylomart.operators.joins import trait_lookup
+from phylomart.runtime import cut_lineage, with_position
+
+# Characters that a wide table may have as columns.
+MAX_COLUMNS = 2000
 
 # Character labels of the mammal life-history source kept in character matrices.
 DISCRETE_CHARACTERS = (
@@ -81,28 +85,43 @@ def filter_characters(states: DataFrame, characters: DataFrame, source: str, kin
     return states.join(wanted, "character_id")
 
 
-def trait_set(names: DataFrame, tables: Mapping[str, DataFrame], source: str, labels: Sequence[str] | None = None) -> DataFrame:
+def _column_labels(labels: DataFrame, max_columns: int) -> list:
+    """The few rows that become columns; more than ``max_columns`` are an error, told before any pivot."""
+    found = labels.limit(max_columns + 1).collect()
+    if len(found) > max_columns:
+        raise ValueError(f"more than {max_columns} characters for a wide table: use trait_lookup or character_lines, which keep them as rows")
+    return found
+
+
+def trait_set(
+    names: DataFrame, tables: Mapping[str, DataFrame], source: str, labels: Sequence[str] | None = None, max_columns: int = MAX_COLUMNS
+) -> DataFrame:
     """Wide table: one row per asked name, one column per character of ``source`` in char_id order.
 
     A missing value is null; of several values the one with the highest state_id counts. The column
-    list is the only thing read to the driver: the labels of one source.
+    list is the only thing read to the driver: the labels of one source, at most ``max_columns`` of them.
     """
     if labels is None:
         ours = tables["characters"].filter(F.col("data_source") == source)
-        labels = [r["label"] for r in ours.select("char_id", "label").distinct().orderBy("char_id", "label").collect()]
+        found = _column_labels(ours.select("char_id", "label").distinct(), max_columns)
+        labels = [r["label"] for r in sorted(found, key=lambda r: tuple((v is not None, v) for v in r))]
     wanted = names.select("taxon_name").distinct()
     found = trait_lookup(tables, source).join(wanted, "taxon_name", "left_semi")
     wide = found.groupBy("taxon_name").pivot("character_label", list(labels)).agg(F.max_by("character_value", "state_id"))
     return wanted.join(wide, "taxon_name", "left").select("taxon_name", *[F.col(f"`{c}`") for c in labels])
 
 
-def character_matrix(states: DataFrame, kinds: Mapping[str, str], row: str = "taxon_name") -> tuple[DataFrame, DataFrame]:
+def character_matrix(
+    states: DataFrame, kinds: Mapping[str, str], row: str = "taxon_name", max_columns: int = MAX_COLUMNS
+) -> tuple[DataFrame, DataFrame]:
     """(continuous, discrete) matrices: taxa with any state by sorted characters, ``?`` for missing.
 
     ``states`` has ``row``, ``character_label``, ``character_value`` and ``state_id``; the last state
-    wins. Discrete cells are truncated to integers. Characters no taxon has are left out.
+    wins. Discrete cells are truncated to integers. Characters no taxon has are left out. More than ``max_columns``
+    characters are an error; :func:`character_lines` writes the lines of any number.
     """
-    present = {r[0] for r in states.filter(F.col("character_label").isin(list(kinds))).select("character_label").distinct().collect()}
+    known = states.filter(F.col("character_label").isin(list(kinds))).select("character_label").distinct()
+    present = {r[0] for r in _column_labels(known, max_columns)}
     rows = states.select(row).distinct()
 
     def matrix(kind: str) -> DataFrame:
@@ -125,6 +144,34 @@ def matrix_lines(matrix: DataFrame, name_col: str = "taxon_name") -> DataFrame:
     return matrix.select(F.concat_ws(" ", F.translate(name_col, " ", "_"), *cells).alias("line"))
 
 
+def character_lines(states: DataFrame, labels: DataFrame, discrete: bool = False, row: str = "taxon_name") -> DataFrame:
+    """(line, n_cells): the lines of :func:`matrix_lines` for any number of characters, which stay rows until a line is joined.
+
+    ``states`` is as in :func:`character_matrix`, ``labels`` (character_label) says which characters are columns, in sorted order. A line
+    gathers only the cells that its taxon has; missing ones between them are written by their number.
+    """
+    used = states.join(labels.select("character_label").distinct(), "character_label", "left_semi")
+    used = cut_lineage(used.groupBy(row, "character_label").agg(F.max_by("character_value", "state_id").alias("cell")))
+    columns = cut_lineage(with_position(used.select("character_label").distinct(), ["character_label"], "_place"))
+    n = columns.count()
+    cell = number(F.col("cell")).cast("long").cast("string") if discrete else F.col("cell").cast("string")
+    placed = used.join(columns, "character_label").select(row, F.struct("_place", F.coalesce(cell, F.lit("?")).alias("cell")).alias("_c"))
+    held = placed.groupBy(row).agg(F.sort_array(F.collect_list("_c")).alias("_cells"))
+    rows = states.select(row).distinct().join(held, row, "left")
+    cells = F.coalesce("_cells", F.array().cast("array<struct<_place:bigint,cell:string>>"))
+
+    def missing(many: Column) -> Column:
+        return F.repeat(F.lit(" ?"), many.cast("int"))
+
+    def piece(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(cells, i - 1)["_place"]).otherwise(0)
+        return F.concat(missing(c["_place"] - before - 1), F.lit(" "), c["cell"])
+
+    tail = missing(n - F.coalesce(F.get(cells, F.size(cells) - 1)["_place"], F.lit(0)))
+    name = F.coalesce(F.translate(row, " ", "_"), F.lit(""))
+    return rows.select(F.concat(name, F.array_join(F.transform(cells, piece), ""), tail).alias("line"), F.lit(n).cast("long").alias("n_cells"))
+
+
 def label_line(matrix: DataFrame, name_col: str = "taxon_name") -> str:
     """The character-label row of a matrix."""
     return " ".join(f"'{c}'" for c in matrix.columns if c != name_col)
