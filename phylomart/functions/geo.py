@@ -16,11 +16,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
 
 
-def ring_bounds(rings: Column) -> dict[str, Column]:
-    """Bounding box over all rings of a record."""
-    xs = F.flatten(F.transform(rings, lambda ring: F.transform(ring, lambda p: p["x"])))
-    ys = F.flatten(F.transform(rings, lambda ring: F.transform(ring, lambda p: p["y"])))
-    return {"xmin": F.array_min(xs), "xmax": F.array_max(xs), "ymin": F.array_min(ys), "ymax": F.array_max(ys)}
+def edge_at(e: dict[str, Column], lat: Column) -> Column:
+    """Longitude at which the line through an edge (x0, y0, x1, y1) has latitude ``lat``; null for a level edge."""
+    return e["x0"] + (lat - e["y0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0)) * (e["x1"] - e["x0"])
 
 
 def point_in_rings(lon: Column, lat: Column, rings: Column) -> Column:
@@ -31,7 +29,7 @@ def point_in_rings(lon: Column, lat: Column, rings: Column) -> Column:
 
     def crosses(a: Column, b: Column) -> Column:
         straddles = (a["y"] <= lat) != (b["y"] <= lat)
-        at = a["x"] + (lat - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) * (b["x"] - a["x"])
+        at = edge_at({"x0": a["x"], "y0": a["y"], "x1": b["x"], "y1": b["y"]}, lat)
         return F.when(straddles & (lon < at), 1).otherwise(0)
 
     def crossings(ring: Column) -> Column:

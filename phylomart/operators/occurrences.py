@@ -7,13 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phylomart.functions.geo import point_in_rings, ring_bounds
 from phylomart.operators.pairwise import DISTANCE_ROWS, great_circle_sums
+from phylomart.operators.ranges import MAX_EDGES, places_inside, range_cover
 from phylomart.runtime import cut_lineage, lookup_side, measured
 
-# Grid of the range join: a polygon over the whole world stands in 648 cells.
-CELL_DEGREES = 10.0
-
 
 def distinct_labels(df: DataFrame, col: str = "label") -> DataFrame:
     """Distinct values of ``col`` in order."""
@@ -152,42 +149,25 @@ def filter_by_range(
     group: str = "taxon_name",
     lat: str = "decimal_latitude",
     lon: str = "decimal_longitude",
-    cell: float = CELL_DEGREES,
+    max_edges: int = MAX_EDGES,
 ) -> DataFrame:
     """Keep occurrences inside any range polygon of their species.
 
-    Places meet polygons on species and grid cell of ``cell`` degrees, a polygon standing in every cell its box
-    touches: a place is tested only against polygons near it, and a species with very many places is spread by cell.
+    Places meet polygons through cells that divide where edges are many (:mod:`phylomart.operators.ranges`): a place is tested
+    against the edges of its own cell only, and no ring is copied.
 
     ``ranges`` (binomial, legend, rings), ``names`` (``group``, name) lists the names each species
     goes by. Reintroduced ranges do not count. A species without a polygon, or left with fewer than
     ``min_kept`` records, keeps all its records.
     """
-    bounds = ring_bounds(F.col("rings"))
     shapes = (
         ranges.filter(~F.col("legend").eqNullSafe("Reintroduced"))
         .join(names.select(group, F.col("name").alias("binomial")).distinct(), "binomial")
-        .select(group, "rings", *[c.alias(f"_{k}") for k, c in bounds.items()])
+        .select(group, "rings")
     )
-
-    def at(c) -> Column:
-        return F.floor(c / cell).cast("int")
-
-    shapes = shapes.withColumn("_cx", F.explode(F.sequence(at(F.col("_xmin")), at(F.col("_xmax")))))
-    shapes = shapes.withColumn("_cy", F.explode(F.sequence(at(F.col("_ymin")), at(F.col("_ymax")))))
-    x, y = F.col("_p.lon"), F.col("_p.lat")
     places = occ.groupBy(group, F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count("*").alias("n"))
-    places = places.withColumn("_cx", at(F.col("lon"))).withColumn("_cy", at(F.col("lat"))).alias("_p")
-    hit = (
-        (F.col(f"_p.{group}") == F.col(f"_s.{group}"))
-        & (F.col("_p._cx") == F.col("_s._cx"))
-        & (F.col("_p._cy") == F.col("_s._cy"))
-        & x.between(F.col("_s._xmin"), F.col("_s._xmax"))
-        & y.between(F.col("_s._ymin"), F.col("_s._ymax"))
-        & point_in_rings(x, y, F.col("_s.rings"))
-    )
     # used twice below, and the ray cast is the costly step
-    inside = cut_lineage(places.join(shapes.alias("_s"), hit, "left_semi"))
+    inside = cut_lineage(places_inside(places, range_cover(shapes, [group], max_edges), group))
     # species filtered for good: enough records inside; the others keep every record
     counts = inside.groupBy(group).agg(F.sum("n").alias("_n"))
     filtered = lookup_side(counts.filter(F.col("_n") >= min_kept).select(group))
