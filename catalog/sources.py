@@ -12,6 +12,7 @@ from phylomart.schemas import TABLES
 from phylomart.sources.fragments import fragment_rejects, parse_fragments
 from phylomart.sources.newick import newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
 from phylomart.sources.tables import register_tables, write_tables
+from phylomart.sources.shapes import read_shapes, write_shapes
 from phylomart.sources.tabular import read_csv_quoted, read_ranges, read_tsv, write_species_csv, write_tsv
 from catalog.traits import KINDS, labelled_states
 
@@ -118,6 +119,24 @@ def _(spark, sf):
     )
 
 
+# written as shape files and read back in slices far smaller than a file
+@query(
+    "a7_read_shapes",
+    """select binomial, legend, case when hx0 is null then 1 else 2 end as n_rings, x0, y0, x1, y1, hx0, hy1 from fx_ranges""",
+)
+def _(spark, sf):
+    path = scratch(spark)
+    write_shapes(with_rings(view(spark, sf, "fx_ranges")), path)
+    corner = {"x0": (0, 0, "x"), "y0": (0, 0, "y"), "x1": (0, 2, "x"), "y1": (0, 2, "y"), "hx0": (1, 0, "x"), "hy1": (1, 2, "y")}
+    ranges = read_shapes(spark, path, slice_bytes=16 * 1024)
+    return ranges.select(
+        "binomial",
+        "legend",
+        F.size("rings").alias("n_rings"),
+        *[F.get(F.get("rings", F.lit(ring)), F.lit(at))[axis].alias(name) for name, (ring, at, axis) in corner.items()],
+    )
+
+
 @query("a8_write_tsv", "select state_id, label, character_id, character_value, taxonvariant_id from fx_states")
 def _(spark, sf):
     path = scratch(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from phylomart.schemas import RANGE_SCHEMA
+from phylomart.sources.shapes import read_shapes
 
 # The columns of a per-species occurrence file.
 SPECIES_CSV_COLUMNS = ("gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude")
@@ -88,7 +89,12 @@ def written_species(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """Range records (binomial, legend, rings) from parquet or JSON lines; several per species."""
+    """Range records (binomial, legend, rings) from a shape file, parquet or JSON lines; several per species.
+
+    For a folder of shape files see :func:`phylomart.sources.shapes.read_shapes`.
+    """
+    if re.search(r"\.shp$", path, re.IGNORECASE):
+        return read_shapes(spark, path)
     if re.search(r"\.jsonl?(\.gz)?$", path):
         return spark.read.schema(RANGE_SCHEMA).json(path)
     return spark.read.schema(RANGE_SCHEMA).parquet(path)
