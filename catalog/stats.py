@@ -72,7 +72,7 @@ def _(spark, sf):
     return complete_cases(gower_distance(view(spark, sf, "fx_gower"), "item", ["t1", "t2", "t3"])).select("item")
 
 
-PERMUTATIONS = 19
+PERMUTATIONS = 99
 
 
 @query("f4_mantel_test", f"""with {TIPS}, spans as (select max(t1) - min(t1) as s1, max(t2) - min(t2) as s2 from fx_tip_traits),
