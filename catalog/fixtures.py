@@ -91,6 +91,14 @@ select gbif_id as occurrence_id, gbif_id, occurrence_type, basis_of_record, even
 from fx_occ_raw r left join fx_taxonvariants v on v.taxonvariant_name = case when r.label like 'Old %' then substring(r.label, 5) else r.label end
 where decimal_latitude not in ('', '0') and decimal_longitude not in ('', '0') and event_date <> '' and has_geospatial_issues = 'false'
   and basis_of_record <> 'UNKNOWN'""",
+    # the records of a whole market segment as those of its first customer: species with more records than a sample holds
+    "fx_lumped_occurrences": """
+select o.occurrence_id, o.gbif_id, o.occurrence_type, o.basis_of_record, o.event_date, o.decimal_latitude, o.decimal_longitude, o.latitude_text, o.longitude_text,
+  o.dataset_key, o.has_geospatial_issues, o.label, w.taxonvariant_id
+from fx_occurrences o join fx_taxonvariants v on v.taxonvariant_id = o.taxonvariant_id join fx_taxa x on x.taxon_id = v.taxon_id
+join customer c on c.c_name = x.taxon_name
+join (select c_mktsegment, min(c_name) as first_name from customer group by c_mktsegment) m on m.c_mktsegment = c.c_mktsegment
+join fx_taxonvariants w on w.taxonvariant_name = m.first_name""",
     # every part with a customer, by the remainder of its number
     "fx_part": """
 select p.*, c.c_custkey, c.c_name, c.c_mktsegment from part p join (select max(c_custkey) as top, min(c_custkey) as low from customer) n on true

@@ -139,21 +139,26 @@ def _(spark, sf):
     return built.select("occurrence_id", "gbif_id", "decimal_latitude", "decimal_longitude", "latitude_text", "label", "taxonvariant_id")
 
 
-FLAGSHIP = f"""with names as (select distinct x.taxon_name, w.taxonvariant_id, w.taxonvariant_name as name from ({WITH_SUBSPECIES}) w join fx_taxa x on x.taxon_id = w.taxon_id),
-fetched as (select n.taxon_name, o.* from fx_occurrences o join names n on o.taxonvariant_id = n.taxonvariant_id),
-sampled as (select * from (select *, row_number() over (partition by taxon_name order by md5(concat('0:', cast(occurrence_id as string))), occurrence_id) as rn from fetched) s where rn <= 12),
+def flagship_sql(occurrences: str, sample: int, least: int) -> str:
+    """The extraction over ``occurrences``, with the size of the sample and the records a species needs."""
+    return f"""with names as (select distinct x.taxon_name, w.taxonvariant_id, w.taxonvariant_name as name from ({WITH_SUBSPECIES}) w join fx_taxa x on x.taxon_id = w.taxon_id),
+fetched as (select n.taxon_name, o.* from {occurrences} o join names n on o.taxonvariant_id = n.taxonvariant_id),
+sampled as (select * from (select *, row_number() over (partition by taxon_name order by md5(concat('0:', cast(occurrence_id as string))), occurrence_id) as rn from fetched) s where rn <= {sample}),
 kept as (select * from sampled where basis_of_record in ('PRESERVED_SPECIMEN', 'HUMAN_OBSERVATION', 'FOSSIL_SPECIMEN', 'OBSERVATION')
   and length(replace(substring(event_date, 1, 10), '-', '')) = 8 and try_cast(replace(substring(event_date, 1, 10), '-', '') as integer) >= 19960101
   and length(split_part(latitude_text, '.', 2)) >= 2 and length(split_part(longitude_text, '.', 2)) >= 2),
 places as (select * from (select *, row_number() over (partition by taxon_name, decimal_latitude, decimal_longitude order by occurrence_id) as nth from kept) k where nth = 1),
-gated as (select * from places where taxon_name in (select taxon_name from places group by taxon_name having count(*) >= 3)),
-{by_range('gated', 'ranged', 3)},
-gated2 as (select * from ranged where taxon_name in (select taxon_name from ranged group by taxon_name having count(*) >= 3)),
+gated as (select * from places where taxon_name in (select taxon_name from places group by taxon_name having count(*) >= {least})),
+{by_range('gated', 'ranged', least)},
+gated2 as (select * from ranged where taxon_name in (select taxon_name from ranged group by taxon_name having count(*) >= {least})),
 means as (select a.taxon_name, a.occurrence_id, avg({dist('a', 'b')}) as mean_km from gated2 a join gated2 b on a.taxon_name = b.taxon_name and a.occurrence_id <> b.occurrence_id group by a.taxon_name, a.occurrence_id),
 spread as (select taxon_name, avg(mean_km) as centre, stddev_samp(mean_km) as sd from means group by taxon_name),
 near as (select m.occurrence_id from means m join spread s on m.taxon_name = s.taxon_name where abs(m.mean_km - s.centre) <= s.sd * 1.5 + 1e-9),
 final as (select * from gated2 where occurrence_id in (select occurrence_id from near))
-select gbif_id, taxon_name, decimal_latitude, decimal_longitude from final where taxon_name in (select taxon_name from final group by taxon_name having count(*) >= 3)"""
+select gbif_id, taxon_name, decimal_latitude, decimal_longitude from final where taxon_name in (select taxon_name from final group by taxon_name having count(*) >= {least})"""
+
+
+FLAGSHIP = flagship_sql("fx_occurrences", 12, 3)
 
 
 @query("g7_extract_occurrences", FLAGSHIP)
@@ -166,6 +171,15 @@ def flagship(spark, sf):
     return kept.select("gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude")
 
 
+# at the default sample and gates; only the outlier rule, which is off by default, is set
+@query("g7_extract_full_sample", flagship_sql("fx_lumped_occurrences", 1000, 10))
+def _(spark, sf):
+    tables = {**mart(spark, sf), "occurrences": view(spark, sf, "fx_lumped_occurrences")}
+    roots = tables["taxa"].filter("taxon_level = 'ORDER'").select(F.col("taxon_name").alias("label"))
+    kept = extract_occurrences(tables, roots, with_rings(view(spark, sf, "fx_ranges")), mindate="1996-01-01", thresh=1.5)
+    return kept.select("gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude")
+
+
 # a first run wrote the species of debtors; the second leaves out those that have files
 @query("g7_resume", f"select * from ({FLAGSHIP}) f where taxon_name not in (select c_name from customer where c_acctbal < 0)")
 def _(spark, sf):
