@@ -31,6 +31,9 @@ SOFT = (
 )
 WEIGHTS = {**dict.fromkeys(SOFT, 1), **dict.fromkeys(STRICT, LIMIT)}
 
+# Terms that a vocabulary table may have: it goes to every task.
+MOST_TERMS = 200_000
+
 SCHEMA = "rule string, verdict string, weight long, n_strict long, n_soft long, terms array<string>"
 
 
@@ -71,6 +74,21 @@ def find_rule(by_host: Mapping[str, list[tuple[str, str, str]]], host: str, path
         at = dot + 1
 
 
+def read_vocabulary(table: DataFrame, languages: Sequence[str] | None = None, most: int = MOST_TERMS) -> dict[str, int]:
+    """Weights for :func:`judge_urls` from a table (term, weight, lang), of some ``languages`` or of all rows.
+
+    Terms are stripped of blanks and A-Z is lower-cased, as in urls; of a term given more than once the greatest weight counts. Null and empty terms,
+    and weights that are null or not above 0, are left out. A table of over ``most`` terms is refused, not cut.
+    """
+    rows = table if languages is None else table.where(F.col("lang").isin(list(languages)))
+    terms = rows.select(ascii_lower(F.trim("term")).alias("term"), F.col("weight").cast("long").alias("weight"))
+    kept = terms.where("term <> '' and weight > 0").groupBy("term").agg(F.max("weight").alias("weight"))
+    found = kept.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a vocabulary may have {most} terms")
+    return {r.term: r.weight for r in found}
+
+
 def _word(char: str) -> bool:
     return char.isascii() and char.isalnum()
 

@@ -2,6 +2,9 @@
 
 import gzip
 import io
+import math
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -118,6 +121,28 @@ def test_mix(make, kind):
     assert whole.columns == ["doc_id", "text", "source", "copy"]
 
 
+def test_vocabulary_from_a_table(make):
+    table = [("Casino", 1, "en"), ("casino", 2, "en"), (" Wette ", 1, "de"), ("pari-x", 1, "fr"), (None, 1, "en"), ("", 1, "en"), ("null", None, "en"), ("less", 0, "en")]
+    table = make(table, "term string, weight int, lang string")
+    assert op1_url_filter.read_vocabulary(table) == {"casino": 2, "wette": 1, "pari-x": 1}
+    assert op1_url_filter.read_vocabulary(table, ["de", "fr"]) == {"wette": 1, "pari-x": 1}
+    assert op1_url_filter.read_vocabulary(table, []) == {} == op1_url_filter.read_vocabulary(table.limit(0))
+    with pytest.raises(ValueError):
+        op1_url_filter.read_vocabulary(table, most=2)
+
+
+def test_large_vocabulary_equals_a_search_for_every_term(make):
+    # terms within terms, and strict ones among them
+    weights = op1_url_filter.read_vocabulary(make([(f"w{i}", 1 + (i % 50 == 0), "x") for i in range(20_000)], "term string, weight int, lang string"))
+    assert len(weights) == 20_000
+    urls = [f"http://h{i}.net/W{i * 37}-w{i * 91 % 30_000}x/w{i}?q=w{i}w{i + 1}&w{i % 7}" for i in range(60)]
+    judged = op1_url_filter.judge_urls(make(list(enumerate(urls)), "page_id long, url string"), rules=(), weights=weights).collect()
+    for row in judged:
+        tokens = set(re.findall("[a-z0-9]+", row.url.lower())) & weights.keys()
+        assert row.judged.terms == sorted(tokens)
+        assert row.judged.verdict == ("block" if sum(weights[t] for t in tokens) >= 2 else "allow")
+
+
 # 3
 
 
@@ -128,6 +153,52 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in told)
 
 
+def told_by_plain_bayes(docs):
+    """doc_id to (language, probability) by dictionaries of exact counts, a gram at a time."""
+    size, alpha = 1 << 16, 0.5
+
+    def buckets(text):
+        codes = [ord(c) for c in text.lower()] + [0, 0]
+        for i in range(len(codes) - 2):
+            rolled = 0
+            for k in range(3):
+                rolled = ((rolled ^ (codes[i + k] + k)) * 0x01000193) % 2**32
+                yield (rolled * 0x9E3779B1) % 2**32 >> 16
+
+    seen, counts = Counter(), defaultdict(Counter)
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            seen[r.lang] += 1
+            counts[r.lang].update(buckets(r.text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    told = {}
+    for r in docs:
+        if not any(c.isalpha() for c in r.text or ""):
+            told[r.doc_id] = ("und", 0.0)
+            continue
+        own = Counter(buckets(r.text))
+        logs = {
+            lang: math.log(seen[lang] / sum(seen.values())) + sum(n * math.log((counts[lang][b] + alpha) / (total[lang] + alpha * size)) for b, n in own.items())
+            for lang in sorted(seen)
+        }
+        best = max(logs, key=logs.get)
+        told[r.doc_id] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    return told
+
+
+def test_predictions_and_scores_equal_plain_bayes(spark, make):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    # short mixed texts have scores well between 0 and 1
+    short = [(10_000 + i, t, None) for i, t in enumerate(["der the", "la casa is", "12", "", "et a", "Ünd", "x", None, "de la", "no die"])]
+    docs = docs.unionByName(make(short, "doc_id long, text string, lang string"))
+    want = told_by_plain_bayes(docs.collect())
+    got = {r.doc_id: r for r in op3_language.identify(docs).collect()}
+    assert got.keys() == want.keys()
+    assert {i: r.lang_pred for i, r in got.items()} == {i: lang for i, (lang, _) in want.items()}
+    assert all(r.score == pytest.approx(want[i][1], abs=2e-3) for i, r in got.items())
+    assert any(0.3 < r.score < 0.95 for r in got.values())
+
+
 def test_language_cases(make):
     text = {"en": "the cat sat on the mat and then the dog ran", "de": "der hund und die katze sind auf der matte"}
     rows = [(i, text["en" if i % 2 else "de"] + f" {i}", "en" if i % 2 else "de", "s") for i in range(40)]
@@ -139,8 +210,6 @@ def test_language_cases(make):
     by = {r.doc_id: r for r in got}
     assert [by[i].lang_pred for i in (100, 101, 102, 103, 104)] == ["und", "und", "und", "en", "en"]
     assert by[None].lang_pred == "de" and not by[None].held_out and by[105].lang_pred in ("de", "en")
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
     nothing = op3_language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
