@@ -324,34 +324,34 @@ def _moments_in_one_pass(scaled, tips, labels, item, traits, permutations, tile_
 
 
 def shared_path_table(end: Sequence[float], shared: Sequence[int], depth: Sequence[float]) -> tuple[np.ndarray, ...]:
-    """A range-minimum table over tips in path order.
+    """A range-minimum table over tips in path order, for :func:`path_lengths`.
 
-    ``end`` has the depth of each tip; ``shared`` and ``depth`` how many nodes it shares with the next one and the depth of the last of them. Row k of
-    the table has for each tip the place of the least ``shared`` among the 2**k from it on.
+    ``end`` has the depth of each tip; ``shared`` and ``depth`` how many nodes it shares with the next one and the depth of the last of them. Tips are ranked
+    by ``shared``, and row k of the table has for each the least rank among the 2**k from it on. Equal ``shared`` within such a range mean
+    the same node, so any order of them does.
     """
-    shared, depth = np.asarray(shared, dtype=float), np.asarray(depth, dtype=float)
-    rows = [np.arange(len(shared), dtype=np.int32)]
-    while 2 ** len(rows) <= len(shared):
-        last, step = rows[-1], 2 ** (len(rows) - 1)
-        left, right = last[:-step], last[step:]
-        best = np.where(shared[left] <= shared[right], left, right)
-        rows.append(best.astype(np.int32))
-    table = np.zeros((len(rows), max(1, len(shared))), dtype=np.int32)
-    for k, row in enumerate(rows):
-        table[k, : len(row)] = row
-    if not len(shared):
-        shared = depth = np.array([np.nan])
-    return np.asarray(end, dtype=float), shared, depth, table
-
-
-def path_lengths(a: np.ndarray, b: np.ndarray, end: np.ndarray, shared: np.ndarray, depth: np.ndarray, table: np.ndarray) -> np.ndarray:
+    order = np.argsort(np.asarray(shared, dtype=float), kind="stable")
+    last = np.empty(len(order), dtype=np.int32)
+    last[order] = np.arange(len(order), dtype=np.int32)
+    table = np.zeros((max(1, len(order).bit_length()), max(1, len(order))), dtype=np.int32)
+    for k, row in enumerate(table):
+        row[: len(last)] = last
+        last = np.minimum(last[: -(1 << k)], last[1 << k :])
+    by_rank = np.asarray(depth, dtype=float)[order] if len(order) else np.array([np.nan])
+    return np.asarray(end, dtype=float), by_rank, table
+
+
+def path_lengths(a: np.ndarray, b: np.ndarray, end: np.ndarray, by_rank: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Path lengths between the tips at places ``a`` and ``b`` of the table; NaN across trees, and 0 from a tip to itself."""
-    low, high = np.minimum(a[:, None], b[None, :]), np.maximum(a[:, None], b[None, :])
-    gap = high - low
-    k = np.frexp(np.maximum(gap, 1))[1] - 1
-    left, right = table[k, low.clip(max=table.shape[1] - 1)], table[k, np.maximum(high - (1 << k), 0)]
-    common = depth[np.where(shared[left] <= shared[right], left, right)]
-    return np.where(gap == 0, 0.0, end[a][:, None] + end[b][None, :] - 2 * common)
+    width = table.shape[1]
+    a, b = np.asarray(a, dtype=np.int64)[:, None], np.asarray(b, dtype=np.int64)[None, :]
+    low, gap = np.minimum(a, b), np.abs(a - b)
+    # the highest power of two in each distance
+    power = (np.frexp(np.maximum(np.arange(width + 1), 1))[1] - 1).astype(np.int64)[gap]
+    row = power * width
+    flat = table.ravel()
+    rank = np.minimum(flat[row + np.minimum(low, width - 1)], flat[row + np.maximum(low + gap - (1 << power), 0)])
+    return np.where(gap == 0, 0.0, end[a] + end[b] - 2 * by_rank[rank])
 
 
 def matrix_correlation(d1: DataFrame, d2: DataFrame, keys: Sequence[str] = ("a", "b"), value: str = "distance") -> DataFrame:
