@@ -8,7 +8,7 @@ and no pair is ever emitted, shuffled or stored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,16 @@ TILE_ROWS = 1024
 # Distance tiles are dealt larger and cut into blocks of TILE_ROWS in the kernel: as a tile travels once to each other
 # one, 16 times larger tiles move 16 times less.
 DISTANCE_ROWS = 16 * TILE_ROWS
+# Tiles of many features are dealt smaller, to this many cells.
+TILE_CELLS = 640 * TILE_ROWS
+# Tiles into which few rows are dealt, so that their pairs keep all tasks busy.
+FEW_TILES = 24
+
+
+def tile_rows_for(rows: int, features: int) -> int:
+    """Rows a tile for ``rows`` rows of ``features`` numbers: large, as a tile travels once to each other one, but of bounded cells."""
+    most = max(1, min(DISTANCE_ROWS, TILE_CELLS // max(1, features)))
+    return min(most, max(min(TILE_ROWS, most), -(-rows // FEW_TILES)))
 
 
 def tile_pairs(
@@ -68,9 +78,11 @@ def tile_pairs(
         F.col("_tile").alias("j"),
         F.col("_pack").alias("b"),
     )
+    # a tile is small, its copies for all other tiles are not: judged by the tiles' size the copies would be broadcast
     return (
-        left.alias("l")
-        .join(right.alias("m"), null_safe("l", "m", [*group, "i", "j"]))
+        left.hint("merge")
+        .alias("l")
+        .join(right.hint("merge").alias("m"), null_safe("l", "m", [*group, "i", "j"]))
         .select(*[F.col(f"l.{c}").alias(c) for c in [*group, "i", "j"]], "a", "b")
     )
 
@@ -93,13 +105,16 @@ def great_circle_tile(lat1, lon1, lat2, lon2) -> np.ndarray:
 def gower_tile(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> np.ndarray:
     """Gower distances between rows of range-scaled traits; NaN where no trait is shared."""
     left, right = _matrix(a), _matrix(b)
+    has_left, has_right = ~np.isnan(left), ~np.isnan(right)
     total = np.zeros((left.shape[0], right.shape[0]))
-    shared = np.zeros_like(total)
+    shared = has_left.astype(np.float32) @ has_right.astype(np.float32).T
     for t in range(left.shape[1]):
-        gap = np.abs(left[:, t][:, None] - right[:, t][None, :])
-        known = ~np.isnan(gap)
-        total += np.where(known, gap, 0.0)
-        shared += known
+        i, j = np.flatnonzero(has_left[:, t]), np.flatnonzero(has_right[:, t])
+        gap = np.abs(left[i, t][:, None] - right[j, t][None, :])
+        if gap.size == total.size:
+            total += gap
+        elif gap.size:
+            total[np.ix_(i, j)] += gap
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(shared > 0, total / shared, np.nan)
 
@@ -146,19 +161,19 @@ def row_sums(distance: np.ndarray, weight_a, weight_b, itself: bool) -> tuple:
 @F.pandas_udf(PAIR_SUMS)
 def _great_circle_sums(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
     sides = zip(zip(a["lat"], a["lon"], a["weight"]), zip(b["lat"], b["lon"], b["weight"]), itself)
-    out = [_block_sums(p, q, bool(same)) for p, q, same in sides]
+    out = [block_sums(lambda p, q: great_circle_tile(*p, *q), p[:2], q[:2], p[2], q[2], bool(same)) for p, q, same in sides]
     return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
 
 
-def _block_sums(p: tuple, q: tuple, itself: bool) -> tuple:
-    """:func:`row_sums` of the distances of two tiles, a block of each at a time."""
-    total_a, n_a = np.zeros(len(p[0])), np.zeros(len(p[0]))
-    total_b, n_b = (np.zeros(0 if itself else len(q[0])) for _ in range(2))
-    for i in range(0, len(p[0]), TILE_ROWS):
-        for j in range(0, len(q[0]), TILE_ROWS):
+def block_sums(distances: Callable, p: Sequence[np.ndarray], q: Sequence[np.ndarray], weight_a, weight_b, itself: bool) -> tuple:
+    """:func:`row_sums` of the ``distances`` of two tiles, a block of each at a time."""
+    total_a, n_a = np.zeros(len(weight_a)), np.zeros(len(weight_a))
+    total_b, n_b = (np.zeros(0 if itself else len(weight_b)) for _ in range(2))
+    for i in range(0, len(weight_a), TILE_ROWS):
+        for j in range(0, len(weight_b), TILE_ROWS):
             at, to = slice(i, i + TILE_ROWS), slice(j, j + TILE_ROWS)
-            distance = great_circle_tile(p[0][at], p[1][at], q[0][to], q[1][to])
-            sums = row_sums(distance, p[2][at], q[2][to], itself)
+            distance = distances([c[at] for c in p], [c[to] for c in q])
+            sums = row_sums(distance, weight_a[at], weight_b[to], itself)
             total_a[at] += sums[0]
             n_a[at] += sums[1]
             if not itself:

@@ -14,11 +14,12 @@ from phylomart.functions.student import two_sided_p
 from phylomart.operators.pairwise import (
     PAIR_SUMS,
     TILE_ROWS,
+    block_sums,
     gather_sums,
     gower_tile,
     patristic_tile,
-    row_sums,
     tile_pairs,
+    tile_rows_for,
 )
 from phylomart.runtime import BROADCAST_BYTES, cut_lineage, lookup_side, measured, null_safe, with_position
 
@@ -100,10 +101,10 @@ def _gower_by_tiles(scaled: DataFrame, item: str, traits: Sequence[str]) -> Data
     def reduce_tile(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.DataFrame:
         out = []
         for p, q, same in zip(zip(*[a[c] for c in traits]), zip(*[b[c] for c in traits]), itself):
-            out.append(row_sums(gower_tile(p, q), np.ones(len(p[0])), np.ones(len(q[0])), bool(same)))
+            out.append(block_sums(gower_tile, p, q, np.ones(len(p[0])), np.ones(len(q[0])), bool(same)))
         return pd.DataFrame(out, columns=["total_a", "n_a", "total_b", "n_b"])
 
-    pairs = tile_pairs(scaled, [], item, traits)
+    pairs = tile_pairs(scaled, [], item, traits, tile_rows_for(scaled.count(), len(traits)))
     sums = gather_sums(pairs, [], item, reduce_tile("a", "b", F.col("i") == F.col("j")))
     # an item with a trait has met itself
     own = F.when(F.exists("_has", lambda m: m != 0), 1).otherwise(0)
