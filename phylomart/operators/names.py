@@ -157,8 +157,8 @@ def fuzzy_match(labels: DataFrame, taxa: DataFrame, max_edit: int = 1, min_score
     Two names are one edit apart exactly when one equals the other without a character, or both are
     equal without the character at the same place. Each case is an equality on a derived key, and
     the taxa side keeps only its lowest id per key before the join, so no candidate pair is ever
-    produced however alike the names are. The score is 1 - distance / longer length; ties go to the
-    lowest taxon id.
+    produced however alike the names are. Only taxa whose names are within one character of the length of some
+    label get keys. The score is 1 - distance / longer length; ties go to the lowest taxon id.
     """
     if max_edit not in (0, 1):
         raise ValueError("max_edit must be 0 or 1")
@@ -170,7 +170,11 @@ def fuzzy_match(labels: DataFrame, taxa: DataFrame, max_edit: int = 1, min_score
     )
     if max_edit == 0:
         return exact
-    rest = wanted.join(exact_of.select("label"), "label", "left_anti")
+    rest = cut_lineage(wanted.join(exact_of.select("label"), "label", "left_anti"))
+    # one row per length, at most three for each different length of labels
+    length = F.length("label")
+    lengths = rest.select(F.explode(F.array(length - 1, length, length + 1)).alias("_length")).distinct()
+    near = named.join(F.broadcast(lengths), F.length("taxon_name") == F.col("_length"), "left_semi")
 
     def keyed(df: DataFrame, name: Column, keep: str, whole: str, cut: str) -> DataFrame:
         swaps = F.transform(
@@ -184,7 +188,7 @@ def fuzzy_match(labels: DataFrame, taxa: DataFrame, max_edit: int = 1, min_score
         return df.select(keep, F.explode(all_keys).alias("_k")).select(keep, F.col("_k.key").alias("key"))
 
     # F: the taxon's whole name (label lost by one cut), D: the taxon's name less one character
-    targets = keyed(named, F.col("taxon_name"), "taxon_id", "F", "D").groupBy("key").agg(F.min("taxon_id").alias("taxon_id"))
+    targets = keyed(near, F.col("taxon_name"), "taxon_id", "F", "D").groupBy("key").agg(F.min("taxon_id").alias("taxon_id"))
     # very many names may share a key: the side with one row per key is written before the join
     targets = lookup_side(targets)
     asked = keyed(rest, F.col("label"), "label", "D", "F")

@@ -35,10 +35,20 @@ ADAPTIVE = {
 }
 
 
+# Before a join has run only file sizes tell of it, and rows may take thirty times their files. Larger sides are left to AQE,
+# which broadcasts by the measured size of the rows.
+FILE_BROADCAST_BYTES = 1024 * 1024
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Turn on the adaptive settings the plans rely on, in a session made elsewhere too."""
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if limit > FILE_BROADCAST_BYTES:
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", f"{limit}b")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", f"{FILE_BROADCAST_BYTES}b")
     return spark
 
 
