@@ -32,6 +32,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # folders of very many species are listed by some hundred tasks, not by ten thousand that see a few each
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
 }
 
 

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from phylomart.runtime import cut_lineage
 from phylomart.schemas import RANGE_SCHEMA
 from phylomart.sources.shapes import read_shapes
 
@@ -59,7 +66,9 @@ def write_species_csv(df: DataFrame, path: str, overwrite: bool = False) -> None
     """One folder of CSV per species, named by the species with ``_`` for spaces.
 
     Species already present are skipped, or replaced with ``overwrite``. The rebalance hint groups a
-    species' rows into few files and lets AQE split a species too large for one task.
+    species' rows into few files and lets AQE split a species too large for one task. New species are written by the tasks
+    themselves, a file under a hidden name that is then moved, so no driver moves a file per species and a lost attempt
+    leaves nothing that is read. Replaced ones, and stores that Arrow cannot open, go through Spark's writer.
     """
     rows = df.select(F.translate("taxon_name", " ", "_").alias("species"), *SPECIES_CSV_COLUMNS)
     mode = "overwrite"
@@ -68,6 +77,8 @@ def write_species_csv(df: DataFrame, path: str, overwrite: bool = False) -> None
         if written is not None:
             rows = rows.join(written, "species", "left_anti")
         mode = "append"
+        if _opened(path) is not None:
+            return _write_new_species(rows, path)
     (
         rows.hint("rebalance", "species")
         .write.mode(mode)
@@ -78,6 +89,47 @@ def write_species_csv(df: DataFrame, path: str, overwrite: bool = False) -> None
     )
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str] | None:
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def _write_new_species(rows: DataFrame, path: str) -> None:
+    run = uuid.uuid4().hex
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path)
+        task = TaskContext.get()
+        name, made = f"part-{task.partitionId():05d}-{run}.csv", 0
+        lines = ((s, t) for batch in batches for s, t in zip(batch.column("species").to_pylist(), batch.column("line").to_pylist()))
+        # null and empty names come one after the other and share a folder
+        for name_of, own in groupby(lines, lambda row: species_folder(row[0])):
+            folder = f"{base}/{name_of}"
+            files.create_dir(folder)
+            hidden = f"{folder}/_{task.taskAttemptId()}-{name}"
+            with files.open_output_stream(hidden) as out:
+                out.write(",".join(SPECIES_CSV_COLUMNS).encode() + b"\n")
+                for _, line in own:
+                    out.write(line.encode() + b"\n")
+            files.move(hidden, f"{folder}/{name}")
+            made += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
+
+    lines = rows.select("species", F.to_csv(F.struct(*SPECIES_CSV_COLUMNS)).alias("line"))
+    # written first: attempts of one task then see the same rows; sorted, so that a task has one file open
+    stored = cut_lineage(lines)
+    stored.hint("rebalance", "species").sortWithinPartitions("species").mapInArrow(save, "files long").agg(F.sum("files")).collect()
+
+
+def species_folder(species: str | None) -> str:
+    """The folder of a species, escaped as Spark escapes partition values."""
+    if not species:
+        return "species=__HIVE_DEFAULT_PARTITION__"
+    return "species=" + re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", species)
+
+
 def written_species(spark: SparkSession, path: str) -> DataFrame | None:
     """Species with a written file, read from the folder names without opening the files."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -98,3 +98,23 @@ def test_read_ranges(spark, tmp_path, kind):
     path = f"{tmp_path}/r.{kind}"
     getattr(df.write, kind)(path)
     assert read_ranges(spark, path).first().rings[0][1].x == 1.0
+
+
+def test_new_species_are_written_by_tasks_as_sparks_writer_would(spark, tmp_path):
+    """No job moves a folder per species on the driver, and names, quotes and numbers come out as from Spark's writer."""
+    schema = "gbif_id long, taxon_name string, decimal_latitude double, decimal_longitude double"
+    names = ["Aa bb", 'q"u,o', "a/b=c:d%[x]", "ümlaut", "", None, "it's #1"]
+    rows = [(i, n, 1e-7 * i, None if i % 3 else -1e9 - i) for i in range(40) for n in [names[i % len(names)]]]
+    df = spark.createDataFrame(rows, schema)
+    write_species_csv(df, f"{tmp_path}/ours")
+    columns = ["gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude"]
+    df.select(F.translate("taxon_name", " ", "_").alias("species"), *columns).write.option("header", True).partitionBy("species").csv(f"{tmp_path}/sparks")
+    folders = [sorted(p.name for p in (tmp_path / d).iterdir() if p.is_dir()) for d in ("ours", "sparks")]
+    assert folders[0] == folders[1]
+    # a task commits by one move a file under the folder itself; Spark's writer leaves its job marker
+    assert not (tmp_path / "ours" / "_SUCCESS").exists()
+    for folder in folders[0]:
+        texts = [sorted(line for f in (tmp_path / d / folder).glob("part-*.csv") for line in f.read_text().splitlines()[1:]) for d in ("ours", "sparks")]
+        assert texts[0] == texts[1]
+    back = spark.read.option("header", True).csv(f"{tmp_path}/ours", schema=schema + ", species string")
+    assert back.count() == 40 and back.select("species").distinct().count() == 6
