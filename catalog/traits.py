@@ -67,8 +67,11 @@ from fx_states s union all select row_number() over (order by binomial) * 10 + 9
 )
 def _(spark, sf):
     states = view(spark, sf, "fx_states").select("state_id", "character_value")
-    wide = view(spark, sf, "fx_traits_wide")
-    prices = with_position(wide, ["binomial"], "n").select((F.col("n") * 10 + 9).alias("state_id"), F.col("t2_price").alias("character_value"))
+    # numbered by name, and parts of one name by their key, so that the numbers do not hang on the order of rows in a file
+    cents = F.round(F.col("p_retailprice") * 100).cast("long").cast("string")
+    price = F.when(F.col("p_partkey") % 10 == 0, "").when(F.col("p_partkey") % 11 == 0, "n/a").otherwise(cents)
+    wide = view(spark, sf, "fx_part").select(F.col("c_name").alias("binomial"), "p_partkey", price.alias("t2_price"))
+    prices = with_position(wide, ["binomial", "p_partkey"], "n").select((F.col("n") * 10 + 9).alias("state_id"), F.col("t2_price").alias("character_value"))
     both = states.unionByName(prices).select("state_id", F.col("character_value").alias("as_double"), F.col("character_value").alias("as_integer"))
     return to_numeric(to_numeric(both, ["as_double"]), ["as_integer"], integer=True)
 
