@@ -27,6 +27,8 @@ from phylomart.runtime import BROADCAST_BYTES, cut_lineage, lookup_side, measure
 PATTERNS = 64
 PATTERNS_A_PASS = 8
 MASK_BITS = 60
+# Tiles of items beyond which permutations are reduced by sums over the nodes of the tree; below, pairs cost less than its rounds.
+NODE_TILES = 8
 
 
 def regress_origin(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -247,6 +249,8 @@ def permutation_correlations(
     places that items take in the tree are looked up by number. The places and a range-minimum table of the tree, some
     12 bytes for each item and permutation, are broadcast where the counted items prove them within ``broadcast_bytes`` (52,000 items
     at 99 permutations). Beyond that each permutation deals its own tiles with the paths in them.
+
+    More than ``NODE_TILES`` tiles of items in one tree with few patterns of present traits need no pairs for a permutation, see :func:`_moments_by_nodes`.
     """
     traits = list(traits)
     both = cut_lineage(items.select(item, *traits).join(paths.select(item), item, "left_semi"))
@@ -256,6 +260,11 @@ def permutation_correlations(
     n = both.count()
     fits = 0 < n * (12 * (permutations + 1) + 4 * n.bit_length() + 24) <= broadcast_bytes
     moments = _moments_in_one_pass if fits else _moments_by_tiles
+    if n > NODE_TILES * tile_rows and len(traits) <= MASK_BITS and tips.select(F.element_at("path", 1)).distinct().limit(2).count() == 1:
+        bits = F.array(*[F.when(F.isnan(t), 0).otherwise(1 << k).cast("long") for k, t in enumerate(traits)])
+        scaled = cut_lineage(scaled.withColumn("_has", F.aggregate(bits, F.lit(0).cast("long"), lambda x, b: x + b)))
+        if scaled.select("_has").distinct().limit(PATTERNS_A_PASS + 1).count() <= PATTERNS_A_PASS:
+            moments = _moments_by_nodes
     total = moments(scaled, tips, labels, item, traits, permutations, tile_rows).groupBy("perm").agg(*[F.sum(m).alias(m) for m in MOMENTS])
     c = {m: F.col(m) for m in MOMENTS}
     top = c["n"] * c["xy"] - c["x"] * c["y"]
@@ -324,6 +333,100 @@ def _moments_in_one_pass(scaled, tips, labels, item, traits, permutations, tile_
     return sums.select(F.posexplode(zipped).alias("perm", "m")).select("perm", *[F.col(f"m.{m}").alias(m) for m in MOMENTS])
 
 
+def _moments_by_nodes(scaled, tips, labels, item, traits, permutations, tile_rows) -> DataFrame:
+    """Moments of tips of one tree from sums over the tips below each node.
+
+    The depth that two tips share is the sum of the branch lengths above both, so a moment with it is a sum over nodes of sums over the pairs below them.
+    Those of trait gaps are running sums in the order of a trait, by range partitions, for each pattern of present traits. Only
+    the squares of trait distances, which no permutation changes, are reduced tile by tile, once.
+    """
+    known = [r["_has"] for r in scaled.select("_has").distinct().collect() if r["_has"]]
+    weight = [[1 / (p & q).bit_count() if p & q else 0.0 for q in known] for p in known]
+    at = F.posexplode(F.arrays_zip("path", "depths"))
+    steps = tips.select(item, F.col("depths").alias("_all"), at.alias("pos", "v"))
+    above = F.when(F.col("pos") > 0, F.get("_all", F.col("pos") - 1)).otherwise(0.0)
+    steps = cut_lineage(steps.select(F.col(item).alias("other"), F.element_at("_all", -1).alias("e"), F.col("v.path").alias("node"), F.col("v.depths").alias("deep"), above.alias("above")))
+    nodes = steps.groupBy("node").agg(F.count("*").alias("tips"), F.min("other").alias("low"), F.max("deep").alias("deep"), F.max("above").alias("above")).filter("tips > 1")
+    # nodes with the same tips below them, a chain, count as one
+    name = Window.partitionBy("low", "tips")
+    nodes = cut_lineage(nodes.withColumn("set", F.min("node").over(name)))
+    sets = nodes.groupBy("set").agg(F.max("tips").alias("tips"), F.sum(F.col("deep") - F.col("above")).alias("d"), F.sum(F.col("deep") * F.col("deep") - F.col("above") * F.col("above")).alias("dd"))
+    members = cut_lineage(steps.join(nodes.select("node", "set"), "node").select("other", "e", "set").distinct())
+    own = F.array_position(F.array(*[F.lit(m).cast("long") for m in known]), F.col("_has")).cast("int").alias("p")
+    rows = labels.join(scaled.filter("_has > 0"), item).join(members, "other").select("perm", "set", item, "e", own, *traits)
+    rows = cut_lineage(rows)
+
+    # counts and sums of depths by pattern give the moments without traits
+    mine = [F.col("p") == k + 1 for k in range(len(known))]
+    e = F.col("e")
+    sums = [F.sum(F.when(m, value).otherwise(0.0)).alias(f"{c}{k}") for k, m in enumerate(mine) for c, value in (("c", F.lit(1.0)), ("e", e), ("q", e * e))]
+    ends = rows.groupBy("perm", "set").agg(*sums)
+    n, one, two = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for i, p in enumerate(known):
+        c, s, q = (F.col(f"{x}{i}") for x in "ceq")
+        n, one, two = n + c * (c - 1) / 2, one + (c - 1) * s, two + (c - 2) * q + s * s
+        for j in range(i):
+            if p & known[j]:
+                c2, s2, q2 = (F.col(f"{x}{j}") for x in "ceq")
+                n, one, two = n + c * c2, one + c2 * s + c * s2, two + c2 * q + c * q2 + 2 * s * s2
+    ends = ends.select("perm", "set", n.alias("n"), one.alias("e1"), two.alias("e2"))
+
+    group = ["perm", "set", "trait"]
+    values = rows.select("perm", "set", item, "e", "p", F.posexplode(F.array(*traits)).alias("trait", "x")).filter(~F.isnan("x"))
+    order = [*group, "x", item]
+    slots = cut_lineage(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id()).drop(item))
+    slots = slots.withColumn("_part", F.shiftright("_slot", 33))
+    parts = {f"{c}{k}": F.sum(F.when(m, value).otherwise(0.0)) for k, m in enumerate(mine) for c, value in (("c", F.lit(1.0)), ("a", F.col("x")), ("s", e), ("as", e * F.col("x")))}
+    upto = Window.partitionBy("_part", *group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = slots.groupBy("_part", *group).agg(*[v.alias(k) for k, v in parts.items()])
+    # only the first group of a partition began before it
+    offsets = by_part.select("_part", *group, *[F.sum(k).over(before).alias(f"_{k}") for k in parts]).filter("_c0 is not null")
+    offsets = cut_lineage(offsets)
+    running = slots.select("_part", *group, "x", "e", "p", *[v.over(upto).alias(k) for k, v in parts.items()])
+    joined = running.join(F.broadcast(offsets), ["_part", *group], "left")
+    gap, with_e = F.lit(0.0), F.lit(0.0)
+    for k in range(len(known)):
+        c, a, s, both = (F.col(f"{x}{k}") + F.coalesce(f"_{x}{k}", F.lit(0.0)) for x in ("c", "a", "s", "as"))
+        w = F.element_at(F.array(*[F.lit(weight[p][k]) for p in range(len(known))]), F.col("p"))
+        below = F.col("x") * c - a
+        gap, with_e = gap + w * below, with_e + w * (below * e + F.col("x") * s - both)
+    gaps = joined.groupBy("perm", "set").agg(F.sum(gap).alias("x"), F.sum(with_e).alias("xe"))
+
+    squares = _square_sum(scaled.filter("_has > 0").drop("_has"), item, traits)
+    top = F.when(F.col("tips") == sets.agg(F.max("tips")).first()[0], 1.0).otherwise(0.0)
+    d, dd = F.col("d"), F.col("dd")
+    placed = ends.join(gaps, ["perm", "set"], "left").join(sets, "set").withColumn("x", F.coalesce("x", F.lit(0.0))).withColumn("xe", F.coalesce("xe", F.lit(0.0)))
+    return placed.groupBy("perm").agg(
+        F.sum(top * F.col("n")).alias("n"),
+        F.sum(top * F.col("x")).alias("x"),
+        F.sum(top * F.col("e1") - 2 * d * F.col("n")).alias("y"),
+        F.lit(squares).alias("xx"),
+        F.sum(top * F.col("e2") - 4 * d * F.col("e1") + 4 * dd * F.col("n")).alias("yy"),
+        F.sum(top * F.col("xe") - 2 * d * F.col("x")).alias("xy"),
+    )
+
+
+def _square_sum(scaled: DataFrame, item: str, traits: Sequence[str]) -> float:
+    """The sum of the squared Gower distances over all pairs."""
+
+    @F.pandas_udf(DoubleType())
+    def reduce_tile(a: pd.DataFrame, b: pd.DataFrame, itself: pd.Series) -> pd.Series:
+        out = []
+        for p, q, same in zip(zip(*[a[t] for t in traits]), zip(*[b[t] for t in traits]), itself):
+            total = 0.0
+            for i in range(0, len(p[0]), TILE_ROWS):
+                for j in range(0, len(q[0]), TILE_ROWS):
+                    found = np.nan_to_num(gower_tile([c[i : i + TILE_ROWS] for c in p], [c[j : j + TILE_ROWS] for c in q])).ravel()
+                    total += float(found @ found)
+            out.append(total / 2 if same else total)
+        return pd.Series(out)
+
+    rows = cut_lineage(scaled)
+    pairs = tile_pairs(rows, [], item, traits, tile_rows_for(rows.count(), len(traits)))
+    return pairs.select(reduce_tile("a", "b", F.col("i") == F.col("j")).alias("s")).agg(F.sum("s")).first()[0] or 0.0
+
+
 def shared_path_table(end: Sequence[float], shared: Sequence[int], depth: Sequence[float]) -> tuple[np.ndarray, ...]:
     """A range-minimum table over tips in path order, for :func:`path_lengths`.
 

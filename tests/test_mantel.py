@@ -68,3 +68,21 @@ def test_few_items(make):
         paths = make([(i, [0, i + 1], [0.0, 1.0]) for i in range(n)], "item long, path array<long>, depths array<double>")
         rows = permutation_correlations(items, "item", ["t"], paths, 2).collect()
         assert [(r.r, r.n_pairs) for r in rows] == ([(None, n * (n - 1) // 2)] * 3 if n else [])
+
+
+def test_sums_over_nodes_equal_tiles(make, monkeypatch):
+    """In one tree no permutation forms pairs; patterns without a shared trait, chains and tips with the root's children included."""
+    from phylomart.operators import stats
+
+    rng = random.Random(9)
+    tips = {k: ([-1, *p], [0.5, *[d + 0.5 for d in deep]]) for k, (p, deep) in forest(rng, 60).items()}
+    traits = [(k, rng.random() if k % 3 else None, float(rng.randint(0, 5)) if k % 4 else None) for k in tips]
+    items = make(traits, "item long, t1 double, t2 double")
+    paths = make([(k, *p) for k, p in tips.items()], "item long, path array<long>, depths array<double>")
+    want = {r.perm: r for r in permutation_correlations(items, "item", ["t1", "t2"], paths, 5, 3, 1024).collect()}
+    monkeypatch.setattr(stats, "_moments_in_one_pass", None)
+    monkeypatch.setattr(stats, "_moments_by_tiles", None)
+    got = {r.perm: r for r in permutation_correlations(items, "item", ["t1", "t2"], paths, 5, 3, 7, 0).collect()}
+    assert got.keys() == want.keys()
+    for perm, r in want.items():
+        assert got[perm].n_pairs == r.n_pairs and got[perm].r == pytest.approx(r.r, abs=1e-9)
