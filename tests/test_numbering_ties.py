@@ -2,6 +2,7 @@ import os
 
 import duckdb
 
+import catalog.traits  # noqa: F401
 from catalog.registry import QUERIES
 
 SMOKE = "/root/testdata/sf0.001"
