@@ -45,17 +45,19 @@ def expand_taxon(
         .join(taxa.select("taxon_id", "taxon_name", "taxon_level"), "taxon_id")
         .select("node_id", "parent_id", "taxonvariant_id", "taxon_id", "taxon_name", F.col(rank).alias("rank"))
     )
-    nodes = cut_lineage(nodes)
-    starts = roots.select(F.col("node_id").alias("root_id")).distinct()
-    # a walk changes only at nodes of the rank and at other starts: all others are skipped
+    starts = cut_lineage(roots.select(F.col("node_id").alias("root_id")).distinct())
+    # a walk changes only at nodes of the rank and at other starts: all others are skipped, and need no names
     begun = starts.select(F.col("root_id").alias("node_id"), F.lit(True).alias("_start"))
-    told = nodes.join(begun, "node_id", "left").withColumn("mark", F.col("rank").eqNullSafe(level) | F.coalesce("_start", F.lit(False)))
-    told = cut_lineage(told.withColumn("tree_id", F.lit(0).cast("long")).drop("_start"))
+    mark = F.col("rank").eqNullSafe(level) | F.coalesce("_start", F.lit(False))
+    shape = nodes.columns
+    named = [F.when(mark, F.col(c)).alias(c) for c in shape[2:]]
+    told = nodes.join(begun, "node_id", "left").select(F.lit(0).cast("long").alias("tree_id"), "node_id", "parent_id", *named, mark.alias("mark"))
+    told = cut_lineage(told)
     near = nearest_marked(cut_lineage(interior(told, "mark")), "mark").select(F.col("node_id").alias("parent_id"), "near")
     above = told.filter("mark").select(F.col("node_id").alias("parent_id"), F.col("node_id").alias("_parent"))
     marked = told.filter("mark").join(near, "parent_id", "left").join(above.distinct(), "parent_id", "left")
-    nodes = cut_lineage(marked.select(F.coalesce("_parent", "near").alias("_near"), *nodes.columns))
-    at = nodes.join(starts, F.col("node_id") == F.col("root_id")).select("root_id", *nodes.columns)
+    nodes = cut_lineage(marked.select(F.coalesce("_parent", "near").alias("_near"), *shape))
+    at = nodes.join(starts, F.col("node_id") == F.col("root_id")).select("root_id", "_near", *shape)
     done = []
     if include_start:
         at = cut_lineage(at)
@@ -105,14 +107,15 @@ def descendants(edges: DataFrame, roots: DataFrame, child: str = "child_page", p
     return hung.join(reached, "under").select("root", F.col("node").alias("descendant")).distinct()
 
 
-def with_subspecies(species: DataFrame, branches: DataFrame, variants: DataFrame, tree_id: int = 11) -> DataFrame:
+def with_subspecies(species: DataFrame, branches: DataFrame, variants: DataFrame, tree_id: int = 11, *columns: str) -> DataFrame:
     """Variants of each species plus all variants of its direct child nodes' taxa.
 
-    Returns distinct (taxon_id, taxonvariant_id, taxonvariant_name) with the species' taxon_id.
+    Returns distinct (taxon_id, columns, taxonvariant_id, taxonvariant_name) with the species' taxon_id and further ``columns`` of ``species``.
     """
     wanted = species.select("taxon_id").distinct()
     named = variants.select("taxonvariant_id", "taxon_id", "taxonvariant_name")
-    own = named.join(wanted, "taxon_id", "left_semi")
+    # read twice, and small beside all variants
+    own = cut_lineage(named.join(wanted, "taxon_id", "left_semi"))
     tree = branches.filter(F.col("tree_id") == tree_id).select("node_id", "parent_id", "taxonvariant_id")
     parents = tree.join(own.select("taxonvariant_id", "taxon_id"), "taxonvariant_id").select(
         F.col("node_id").alias("parent_id"), F.col("taxon_id").alias("species_id")
@@ -122,12 +125,18 @@ def with_subspecies(species: DataFrame, branches: DataFrame, variants: DataFrame
         .join(parents, "parent_id")
         .join(named.select("taxonvariant_id", "taxon_id"), "taxonvariant_id")
         .select("species_id", "taxon_id")
+        # partitioned as the join below needs it, so that rows move once
+        .repartition("taxon_id")
         .distinct()
     )
     below = named.join(child_taxa, "taxon_id").select(
         F.col("species_id").alias("taxon_id"), "taxonvariant_id", "taxonvariant_name"
     )
-    return own.select("taxon_id", "taxonvariant_id", "taxonvariant_name").unionByName(below).distinct()
+    found = own.select("taxon_id", "taxonvariant_id", "taxonvariant_name").unionByName(below)
+    if columns:
+        # first the join: its partitions serve to make the rows distinct
+        found = found.join(species.select("taxon_id", *columns).distinct(), "taxon_id")
+    return found.select("taxon_id", *columns, "taxonvariant_id", "taxonvariant_name").distinct()
 
 
 # --- upward -------------------------------------------------------------------------------------

@@ -31,8 +31,14 @@ def distinct_coordinates(
     return first.select(*[c if c in keys else F.col(f"_first.{c}").alias(c) for c in occ.columns])
 
 
-def min_records_gate(df: DataFrame, group: str = "taxon_name", n: int = 10) -> DataFrame:
-    """Keep groups of at least ``n`` rows: pre-aggregated counts, then a semi-join."""
+def min_records_gate(df: DataFrame, group: str = "taxon_name", n: int = 10, bounded: bool = False) -> DataFrame:
+    """Keep groups of at least ``n`` rows: pre-aggregated counts, then a semi-join.
+
+    Where no group is larger than a sample (``bounded``) the rows are counted by a window, so ``df`` is evaluated once only.
+    """
+    if bounded:
+        counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+        return counted.filter((F.col("_n") >= n) & F.col(group).isNotNull()).drop("_n")
     enough = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") >= n)
     return df.join(lookup_side(enough.select(group)), group, "left_semi")
 
@@ -150,6 +156,7 @@ def filter_by_range(
     lat: str = "decimal_latitude",
     lon: str = "decimal_longitude",
     max_edges: int = MAX_EDGES,
+    stored: bool = False,
 ) -> DataFrame:
     """Keep occurrences inside any range polygon of their species.
 
@@ -158,8 +165,9 @@ def filter_by_range(
 
     ``ranges`` (binomial, legend, rings), ``names`` (``group``, name) lists the names each species
     goes by. Reintroduced ranges do not count. A species without a polygon, or left with fewer than
-    ``min_kept`` records, keeps all its records.
+    ``min_kept`` records, keeps all its records. ``occ`` is read three times, so it is written first unless it is already ``stored``.
     """
+    occ = occ if stored else cut_lineage(occ)
     shapes = (
         ranges.filter(~F.col("legend").eqNullSafe("Reintroduced"))
         .join(names.select(group, F.col("name").alias("binomial")).distinct(), "binomial")

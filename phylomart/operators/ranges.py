@@ -117,15 +117,10 @@ def _split(blocks: DataFrame, keys: Sequence[str], max_edges: int) -> tuple[Data
         F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (value % 2).cast("int").alias("parity")) for i, j, value in found
     ]
     cells = corners.select(*keys, "shape", "level", F.explode(F.array(*four)).alias("c")).select(*keys, "shape", "level", "c.*")
-    near = [
-        F.when(
-            _touches(e, (F.col("cx") + i) * side, (F.col("cy") + j) * side, side),
-            F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")),
-        )
-        for i in (0, 1)
-        for j in (0, 1)
-    ]
-    edges = cut_lineage(blocks.select("shape", "level", F.explode(F.array_compact(F.array(*near))).alias("c"), *EDGE).select("shape", "level", "c.*", *EDGE))
+    # one row a cell before the test: four tests in one expression were too long for compiled code
+    near = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+    spread = blocks.select("shape", "level", F.explode(near).alias("c"), *EDGE).select("shape", "level", "c.*", *EDGE)
+    edges = cut_lineage(spread.filter(_touches(e, F.col("cx") * side, F.col("cy") * side, side)))
     counted = cells.join(edges.groupBy(*CELL).agg(F.count("*").alias("edges")), CELL, "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
     dense = (F.col("edges") > max_edges) & (F.col("level") < DEEPEST)
     return cut_lineage(counted.withColumn("dense", dense)), edges

@@ -122,11 +122,11 @@ def species_occurrences(species: DataFrame, tables: Mapping[str, DataFrame], tre
     variants = tables["taxonvariants"]
     wanted = species.select("taxon_id", "taxon_name").distinct()
     if subspecies:
-        own = with_subspecies(wanted, tables["branches"], variants, tree_id)
+        own = with_subspecies(wanted, tables["branches"], variants, tree_id, "taxon_name")
     else:
-        own = variants.join(wanted.select("taxon_id"), "taxon_id", "left_semi").select("taxon_id", "taxonvariant_id", "taxonvariant_name")
+        own = variants.select("taxon_id", "taxonvariant_id", "taxonvariant_name").join(wanted, "taxon_id")
     # small beside the records, and used for counting, sampling and range names
-    owned = cut_lineage(own.join(wanted, "taxon_id").select("taxon_name", "taxonvariant_id", "taxonvariant_name"))
+    owned = cut_lineage(own.select("taxon_name", "taxonvariant_id", "taxonvariant_name"))
     records = tables["occurrences"].join(owned.select("taxon_name", "taxonvariant_id"), "taxonvariant_id")
     return records, owned.select("taxon_name", F.col("taxonvariant_name").alias("name"))
 
@@ -165,17 +165,22 @@ def extract_occurrences(
     species = cut_lineage(species)
     records, names = species_occurrences(species, tables, tree_id, subspecies)
     records = records.select(*EXTRACTED_COLUMNS)
+    # after sampling no species is large, and gates need not evaluate the records twice
+    bounded = bool(sample)
     if sample:
-        records = sample_n(records, "taxon_name", sample, seed)
+        # counted and sampled from one table, so the joins that make the records run once
+        records = sample_n(cut_lineage(records), "taxon_name", sample, seed)
     records = filter_basis(records, basis)
     records = filter_dates(records, mindate, maxdate)
     records = filter_precision(records, precision)
     records = distinct_coordinates(records, "taxon_name")
+    if not bounded:
+        records = cut_lineage(records)
     # every later rule reads the records more than once
-    records = cut_lineage(min_records_gate(records, "taxon_name", min_records))
+    records = cut_lineage(min_records_gate(records, "taxon_name", min_records, bounded))
     if ranges is not None:
-        records = filter_by_range(records, ranges, names, min_in_range)
-        records = min_records_gate(records, "taxon_name", min_records)
+        records = filter_by_range(records, ranges, names, min_in_range, stored=True)
+        records = min_records_gate(records, "taxon_name", min_records, bounded)
     if not math.isinf(thresh):
-        records = min_records_gate(filter_outliers(cut_lineage(records), "taxon_name", thresh), "taxon_name", min_records)
+        records = min_records_gate(filter_outliers(cut_lineage(records), "taxon_name", thresh), "taxon_name", min_records, bounded)
     return records
