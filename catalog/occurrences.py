@@ -109,7 +109,8 @@ def _(spark, sf):
     species = tables["taxa"].filter("taxon_level = 'SPECIES'").select("taxon_id", "taxon_name")
     names = tables["taxonvariants"].join(species, "taxon_id").select("taxon_name", F.col("taxonvariant_name").alias("name"))
     ranges = with_rings(view(spark, sf, "fx_ranges"))
-    return o.filter_by_range(records(spark, sf), ranges, names, 3).select("taxon_name", "occurrence_id")
+    placed = records(spark, sf).select("taxon_name", "occurrence_id", "decimal_latitude", "decimal_longitude")
+    return o.filter_by_range(placed, ranges, names, 3).select("taxon_name", "occurrence_id")
 
 
 WITH_SUBSPECIES = """select s.node_id as taxon_id, v.taxonvariant_id, v.taxonvariant_name from fx_taxonomy s join fx_taxonvariants v on v.taxon_id = s.node_id where s.lvl = 'SPECIES'

@@ -157,17 +157,21 @@ def places_inside(places: DataFrame, cover: DataFrame, group: str) -> DataFrame:
     places are looked up there too. The place is the streamed side, so AQE splits a cell with very many places.
     """
     side = _side(F.col("level"))
+    # a place needs to look only at levels whose cells reach about it, so most pairs of place and level are never shuffled
+    bounds = [F.min("cx").alias("left"), F.max("cx").alias("right"), F.min("cy").alias("low"), F.max("cy").alias("high")]
     levels = lookup_side(
-        cover.groupBy(group).agg(
-            F.collect_set("level").alias("_levels"),
-            (F.max((F.col("cx") + 1) * side) > 180).alias("_east"),
-            (F.min(F.col("cx") * side) < -180).alias("_west"),
+        cover.groupBy(group, "level").agg(*bounds).groupBy(group).agg(
+            F.collect_list(F.struct("level", "left", "right", "low", "high")).alias("_levels"),
+            (F.max((F.col("right") + 1) * side) > 180).alias("_east"),
+            (F.min(F.col("left") * side) < -180).alias("_west"),
         )
     )
     known = places.join(levels, group)
     around = F.array_compact(F.array(F.col("lon"), F.when(F.col("_east"), F.col("lon") + 360), F.when(F.col("_west"), F.col("lon") - 360)))
-    spread = known.select(*places.columns, F.explode(around).alias("_x"), "_levels").select("*", F.explode("_levels").alias("level"))
-    at = spread.withColumn("cx", F.floor(F.col("_x") / side)).withColumn("cy", F.floor(F.col("lat") / side)).alias("p")
+    spread = known.select(*places.columns, F.explode(around).alias("_x"), "_levels").select(*places.columns, "_x", F.explode("_levels").alias("_l"))
+    at = spread.select(*places.columns, "_x", F.col("_l.level").alias("level"), "_l")
+    at = at.withColumn("cx", F.floor(F.col("_x") / side)).withColumn("cy", F.floor(F.col("lat") / side))
+    at = at.filter(F.col("cx").between(F.col("_l.left"), F.col("_l.right")) & F.col("cy").between(F.col("_l.low"), F.col("_l.high"))).drop("_l").alias("p")
     x, y = F.col("p._x"), F.col("p.lat")
     right = (F.col("p.cx") + 1) * _side(F.col("p.level"))
     foot = F.col("p.cy") * _side(F.col("p.level"))
