@@ -41,6 +41,15 @@ ADAPTIVE = {
 # which broadcasts by the measured size of the rows.
 FILE_BROADCAST_BYTES = 1024 * 1024
 
+# Rows of keys and numbers take thirty times their shuffled or stored bytes when they are sorted or aggregated, so a task gets few of these: 64 and
+# 128 MB of them, the defaults, come to gigabytes. The sizes only say how many small partitions or files one task takes together.
+TASK_BYTES = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 * 1024 * 1024, "spark.sql.files.maxPartitionBytes": 16 * 1024 * 1024}
+
+
+def _size(spark: SparkSession, key: str) -> int:
+    """A setting of the session in bytes."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Turn on the adaptive settings the plans rely on, in a session made elsewhere too."""
@@ -51,6 +60,9 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", f"{limit}b")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", f"{FILE_BROADCAST_BYTES}b")
+    for key, most in TASK_BYTES.items():
+        if _size(spark, key) > most:
+            spark.conf.set(key, f"{most}b")
     return spark
 
 

@@ -21,3 +21,18 @@ def test_fuzzy_names_at_the_edges_of_length(make):
     taxa = make([(1, "abcd"), (2, "abcdef"), (3, "abcdx"), (4, "b"), (5, "abc"), (6, "abcdefghij"), (7, None), (8, "xbcdef")], "taxon_id long, taxon_name string")
     got = {(r.label, r.taxon_id, r.edit_distance) for r in fuzzy_match(labels, taxa, 1, 0.0).collect()}
     assert got == {("abcde", 1, 1), ("xbcde", 8, 1), ("a", 4, 1), ("", 4, 1)}
+
+
+def test_a_task_takes_few_bytes_of_narrow_rows(spark):
+    """Rows of keys take thirty times their shuffled bytes, and AQE gave a task up to 64 MB of them."""
+    other = spark.newSession()
+    defaults = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB", "spark.sql.files.maxPartitionBytes": "128MB"}
+    for key, value in defaults.items():
+        other.conf.set(key, value)
+    configure(configure(other))
+    assert [other.conf.get(key) for key in defaults] == [f"{8 << 20}b", f"{16 << 20}b"]
+    # a session that asks for less keeps its sizes
+    for key in defaults:
+        other.conf.set(key, "1m")
+    configure(other)
+    assert [other.conf.get(key) for key in defaults] == ["1m", "1m"]
