@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,15 +159,34 @@ def running_sums(df: DataFrame, order_by: Sequence[str], sums: Sequence[str], st
     """
     source = df if stored else cut_lineage(df)
     slotted = source.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_slot", F.monotonically_increasing_id())
-    frozen = cut_lineage(slotted.withColumn("_part", F.shiftright("_slot", 33)))
-    totals = frozen.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    # a task adds up its sorted rows before they are written, so no row moves again for the sums
+    summed = slotted.mapInArrow(_added_up(tuple(sums)), slotted.schema)
+    frozen = cut_lineage(summed.withColumn("_part", F.shiftright("_slot", 33)))
+    totals = frozen.groupBy("_part").agg(*[F.max_by(c, "_slot").alias(f"_{c}") for c in sums])
     # one row per partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
-    upto = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = frozen.select(*[F.sum(c).over(upto).alias(c) if c in sums else F.col(c) for c in frozen.columns])
     kept = [(F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else F.col(c) for c in df.columns]
-    return summed.join(F.broadcast(offsets), "_part").select(*kept)
+    return frozen.join(F.broadcast(offsets), "_part").select(*kept)
+
+
+def _added_up(sums: tuple[str, ...]):
+    """Record batches of one task with each long column of ``sums`` replaced by its sum up to the row; a null adds nothing."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = dict.fromkeys(sums, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = []
+            for name, column in zip(batch.schema.names, batch.columns):
+                if name in held:
+                    column = pc.add(pc.cumulative_sum(pc.fill_null(column, 0)), held[name])
+                    held[name] = column[-1].as_py()
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return add
 
 
 def ordinal_within(
