@@ -1,7 +1,8 @@
 """Polygon shape files (.shp with .shx and .dbf) in and out, by the published format.
 
-A file is read in slices of its bytes: the driver looks at file sizes only, and a task takes the records that begin in its slice
-from the index, so one large file spreads over many tasks and none is held whole. Files are opened through ``pyarrow.fs``, so
+A file is read in slices of its bytes: the driver looks at file sizes only, and a task takes the records that begin in its slices
+from the index, so one large file spreads over many tasks and none is held whole. Small slices share a task, which opens the files and
+reads the index once for all of them. Files are opened through ``pyarrow.fs``, so
 a path may be local or a URI of a file system that Arrow knows.
 """
 
@@ -28,8 +29,10 @@ NULL_SHAPE, POLYGON, POLYGON_Z, POLYGON_M = 0, 5, 15, 25
 HEADER, INDEX_ROW = 100, 8
 TEXT_BYTES = 254
 
-# Bytes of a file that a task takes, points that a batch holds before it goes to the JVM, and size at which a written set ends.
+# Bytes of a slice, bytes that a task takes where slices are smaller, points that a batch holds before it goes to the JVM, and size at
+# which a written set ends.
 SLICE_BYTES = 32 * 1024 * 1024
+TASK_BYTES = 4 * 1024 * 1024
 BATCH_POINTS = 500_000
 FILE_BYTES = 64 * 1024 * 1024
 
@@ -41,13 +44,16 @@ class BadShapes(ValueError):
     """A file that does not keep to the format."""
 
 
-class Slice(InputPartition):
+class Slices(InputPartition):
+    """Neighbouring slices of one file: its bytes from ``first`` up to ``last``."""
+
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
 
 
 class ShapeSource(DataSource):
-    """Spark format ``polygon_shapes``; options ``path``, ``attributes`` (comma-separated), ``slice_bytes`` and ``encoding``."""
+    """Spark format ``polygon_shapes``; options ``path``, ``attributes`` (comma-separated), ``slice_bytes``, ``task_bytes`` (a slice's by default) and
+    ``encoding``."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,6 +76,7 @@ class ShapeReader(DataSourceReader):
         self.path = options["path"]
         self.names = _names(options)
         self.slice_bytes = int(options.get("slice_bytes", SLICE_BYTES))
+        self.task_bytes = int(options.get("task_bytes", self.slice_bytes))
         self.encoding = options.get("encoding", "utf-8")
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -82,10 +89,10 @@ class ShapeReader(DataSourceReader):
             shapes = [found]
         else:
             raise FileNotFoundError(self.path)
-        step = self.slice_bytes
-        return [Slice(f.path, at, at + step) for f in sorted(shapes, key=lambda f: f.path) for at in range(0, f.size, step)]
+        step = max(self.task_bytes // self.slice_bytes, 1) * self.slice_bytes
+        return [Slices(f.path, at, at + step) for f in sorted(shapes, key=lambda f: f.path) for at in range(0, f.size, step)]
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(self.path)
         stem, letters = partition.path[:-4], partition.path[-4:]
         # the three files of a set carry the letter case of the first
@@ -99,24 +106,29 @@ class ShapeReader(DataSourceReader):
         mine = np.flatnonzero((offsets >= partition.first) & (offsets < partition.last))
         if not mine.size:
             return
+        # records by the slice in which they begin, in the order of the index
+        place = (offsets[mine] - partition.first) // self.slice_bytes
+        order = np.argsort(place, kind="stable")
+        slices = np.split(mine[order], np.flatnonzero(np.diff(place[order])) + 1)
         with files.open_input_file(partition.path) as shapes, files.open_input_file(stem + table_end) as table:
             text = _Attributes(table, self.names, self.encoding, f"{stem}{table_end}")
-            held: list[list[np.ndarray] | None] = []
-            rows: list[list] = []
-            points = 0
-            for i in mine:
-                shapes.seek(int(offsets[i]) + 8)
-                content = shapes.read(int(lengths[i]))
-                if len(content) < lengths[i]:
-                    raise BadShapes(f"{partition.path}: record {i + 1} ends early")
-                held.append(_rings(content, f"{partition.path}: record {i + 1}"))
-                rows.append(text.row(int(i)))
-                points += len(content) // 16
-                if points >= BATCH_POINTS:
+            for records in slices:
+                held: list[list[np.ndarray] | None] = []
+                rows: list[list] = []
+                points = 0
+                for i in records:
+                    shapes.seek(int(offsets[i]) + 8)
+                    content = shapes.read(int(lengths[i]))
+                    if len(content) < lengths[i]:
+                        raise BadShapes(f"{partition.path}: record {i + 1} ends early")
+                    held.append(_rings(content, f"{partition.path}: record {i + 1}"))
+                    rows.append(text.row(int(i)))
+                    points += len(content) // 16
+                    if points >= BATCH_POINTS:
+                        yield _batch(self.names, rows, held)
+                        held, rows, points = [], [], 0
+                if rows:
                     yield _batch(self.names, rows, held)
-                    held, rows, points = [], [], 0
-            if rows:
-                yield _batch(self.names, rows, held)
 
 
 class _Attributes:
@@ -190,9 +202,10 @@ def read_shapes(
 
     Null shapes have null rings, blank attributes are null, numbers come as their text. Records marked deleted count, as they keep
     their shape. Files with other shapes, or shorter than they say, end the job with their name and the record's number.
+    A task takes as many slices of ``slice_bytes`` as 4 MB hold, one at least.
     """
     spark.dataSource.register(ShapeSource)
-    options = {"attributes": ",".join(attributes), "encoding": encoding, "slice_bytes": str(slice_bytes)}
+    options = {"attributes": ",".join(attributes), "encoding": encoding, "slice_bytes": str(slice_bytes), "task_bytes": str(TASK_BYTES)}
     return spark.read.format(ShapeSource.name()).options(**options).load(path)
 
 

@@ -86,6 +86,18 @@ def test_slices_hold_each_record_once(tmp_path):
     assert max(map(len, names)) < 12
 
 
+def test_small_slices_share_a_task(spark, tmp_path):
+    path = by_hand(str(tmp_path), [(i, f"s{i}", "x", [box(float(i), 0.0)] * (1 + i % 5)) for i in range(200)])
+    assert read_shapes(spark, path, slice_bytes=1000).rdd.getNumPartitions() == 1
+    reader = ShapeReader({"path": path, "slice_bytes": "1000", "task_bytes": "20500"})
+    tasks = reader.partitions()
+    assert [t.last - t.first for t in tasks] == [20_000] * len(tasks) and len(tasks) < 5
+    names = [b.column(0).to_pylist() for t in tasks for b in reader.read(t)]
+    assert sum(names, []) == [f"s{i}" for i in range(200)]
+    # a batch is still what one slice holds
+    assert len(names) > 20 and max(map(len, names)) < 12
+
+
 def test_bad_files_name_the_record(spark, tmp_path):
     rows = [(i, f"s{i}", "x", [box(float(i), 0.0)]) for i in range(3)]
     with pytest.raises(PySparkException, match="record 1 is of type 3, not a polygon"):
