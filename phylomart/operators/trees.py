@@ -123,58 +123,65 @@ def independent_contrasts(branches: DataFrame, traits: DataFrame) -> DataFrame:
     asked = lookup_side(values.select("tree_id", "trait").distinct())
     key = ["tree_id", "trait", "node_id"]
     shape = [*key, "parent_id", "length"]
-    leaves = lengths.join(inside.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti").join(asked, "tree_id")
-    tips = leaves.join(values, key, "left").select(*key, "parent_id", "x", F.when(F.col("x").isNotNull(), F.col("length")).alias("v"))
-    wide = lengths.join(inside, ["tree_id", "node_id"]).join(asked, "tree_id").select(*shape, "c1", "c2")
+    # (x, v) of a node; ``two`` tells whether both its children have values, null where a chain ended and only one was met
+    found = [*key, "parent_id", "x", "v", "two", "contrast"]
+    own = values.select(*[F.col(c).alias(f"_{c}") for c in key], "x")
+    leaf = F.col("c1").isNull()
+    at_tip = leaf & (F.col("tree_id") == F.col("_tree_id")) & (F.col("trait") == F.col("_trait")) & (F.col("node_id") == F.col("_node_id"))
+    nodes = lengths.join(inside, ["tree_id", "node_id"], "left").join(asked, "tree_id").join(own, at_tip, "left")
+    # a round is one table: done rows with (x, v), chain rows with (dep, m), wide rows with both children open
+    now = cut_lineage(
+        nodes.select(
+            *shape, "c1", "c2", "x", F.when(F.col("x").isNotNull(), F.col("length")).alias("v"), F.lit(False).alias("two"),
+            F.lit(None).cast("double").alias("contrast"), F.when(leaf, "done").otherwise("wide").alias("kind"),
+        )
+    )
+    wide_shape = [*shape, "c1", "c2"]
+    new, wide, chain = now.filter("kind = 'done'").select(*found), now.filter("kind = 'wide'").select(*wide_shape), None
+    known = [new]
 
-    def rows(df: DataFrame, kind: str) -> DataFrame:
-        """A round is one table: done rows with (x, v), chain rows with (dep, m), wide rows with both children open."""
-        return df.withColumn("kind", F.lit(kind))
+    # the children met, the lower id first, as scalars: structs would be aggregated by sorting
+    met_by = [F.count("*").alias("_n"), F.min("node_id").alias("_id")]
+    met_by += [by(c, "node_id").alias(f"_{c}{i}") for i, by in ((1, F.min_by), (2, F.max_by)) for c in "xv"]
+    x1, v1, x2, v2 = map(F.col, ("_x1", "_v1", "_x2", "_v2"))
+    contrast = F.when(v1 + v2 > 0, x1 - x2)
+    x, grown = _joined(x1, v1, x2, v2)
+    full, half = F.col("_n") == 2, F.col("_n") == 1
+    both = full & x1.isNotNull() & x2.isNotNull()
+    other = F.when(F.col("_id") == F.col("c1"), F.col("c2")).otherwise(F.col("c1"))
+    turned = [
+        *wide_shape, F.when(full, x).alias("x"), F.when(full & x.isNotNull(), F.col("length") + grown).alias("v"),
+        F.when(full, both).alias("two"), F.when(both, contrast).alias("contrast"),
+        F.when(half, other).alias("dep"), F.when(half, _beside(x1, v1, F.col("length"))).alias("m"),
+        F.when(full, "done").when(half, "chain").otherwise("wide").alias("kind"),
+    ]
+    reach = F.when(F.col("_m").isNull(), F.col("m")).otherwise(_after(F.col("m"), F.col("_m")))
+    hopped = [*key, "parent_id", F.coalesce("_dep", "dep").alias("dep"), reach.alias("m")]
+    out_x, out_v = _applied(F.col("m"), F.col("x"), F.col("v"))
+    # a chain over a node without values has what its sisters give by themselves, if any has a value
+    alone = F.col("x").isNull() & (F.col("m.ba") > 0)
+    out_x = F.when(alone, F.col("m.ca") / F.col("m.ba")).otherwise(out_x)
+    out_v = F.when(alone, F.col("m.aa") / F.col("m.ba")).otherwise(out_v)
+    moved = [*key, "parent_id", out_x.alias("x"), out_v.alias("v"), "dep", "m", F.when(F.col("_told"), "done").otherwise("chain").alias("kind")]
 
-    now = cut_lineage(rows(tips, "done").unionByName(rows(wide, "wide"), allowMissingColumns=True))
-    new, wide, chain = now.filter("kind = 'done'").select(*tips.columns), now.filter("kind = 'wide'").select(*wide.columns), None
-    known = [new]
     while not new.isEmpty():
-        met = new.filter("parent_id is not null").groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(
-            F.count("*").alias("_n"), F.min_by(F.struct("node_id", "x", "v"), "node_id").alias("_1"), F.max_by(F.struct("node_id", "x", "v"), "node_id").alias("_2")
-        )
-        seen = wide.join(met, key, "left")
-        one, two = F.col("_1"), F.col("_2")
-        x, grown = _joined(one["x"], one["v"], two["x"], two["v"])
-        other = F.when(one["node_id"] == F.col("c1"), F.col("c2")).otherwise(F.col("c1"))
-        kind = F.when(F.col("_n") == 2, "done").when(F.col("_n") == 1, "chain").otherwise("wide")
-        full, half = F.col("_n") == 2, F.col("_n") == 1
-        out = seen.select(
-            *shape, "c1", "c2", F.when(full, x).alias("x"), F.when(full & x.isNotNull(), F.col("length") + grown).alias("v"),
-            F.when(half, other).alias("dep"), F.when(half, _beside(one["x"], one["v"], F.col("length"))).alias("m"), kind.alias("kind"),
-        )
+        met = new.filter("parent_id is not null").groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(*met_by)
+        out = wide.join(met, key, "left").select(*turned)
         if chain is not None:
             ahead = chain.select("tree_id", "trait", F.col("node_id").alias("dep"), F.col("dep").alias("_dep"), F.col("m").alias("_m"))
-            reach = F.when(F.col("_m").isNull(), F.col("m")).otherwise(_after(F.col("m"), F.col("_m")))
-            hop = chain.join(ahead, ["tree_id", "trait", "dep"], "left").select(*key, "parent_id", F.coalesce("_dep", "dep").alias("dep"), reach.alias("m"))
+            hop = chain.join(ahead, ["tree_id", "trait", "dep"], "left").select(*hopped)
             told = new.select("tree_id", "trait", F.col("node_id").alias("dep"), "x", "v", F.lit(True).alias("_told"))
-            out_x, out_v = _applied(F.col("m"), F.col("x"), F.col("v"))
-            # a chain over a node without values has what its sisters give by themselves, if any has a value
-            alone = F.col("x").isNull() & (F.col("m.ba") > 0)
-            out_x = F.when(alone, F.col("m.ca") / F.col("m.ba")).otherwise(out_x)
-            out_v = F.when(alone, F.col("m.aa") / F.col("m.ba")).otherwise(out_v)
-            moved = hop.join(told, ["tree_id", "trait", "dep"], "left")
-            kind = F.when(F.col("_told"), "done").otherwise("chain")
-            out = out.unionByName(
-                moved.select(*key, "parent_id", out_x.alias("x"), out_v.alias("v"), "dep", "m", kind.alias("kind")), allowMissingColumns=True
-            )
+            out = out.unionByName(hop.join(told, ["tree_id", "trait", "dep"], "left").select(*moved), allowMissingColumns=True)
         now = cut_lineage(out)
-        new, wide = now.filter("kind = 'done'").select(*tips.columns), now.filter("kind = 'wide'").select(*wide.columns)
+        new, wide = now.filter("kind = 'done'").select(*found), now.filter("kind = 'wide'").select(*wide_shape)
         chain = now.filter("kind = 'chain'").select(*key, "parent_id", "dep", "m")
         known.append(new)
-    valued = reduce(DataFrame.unionByName, known).filter("x is not null and parent_id is not null")
-    sisters = valued.groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(
-        F.count("*").alias("_n"), F.min_by(F.struct("x", "v"), "node_id").alias("_1"), F.max_by(F.struct("x", "v"), "node_id").alias("_2")
-    )
-    one, two = F.col("_1"), F.col("_2")
-    contrast = F.when(one["v"] + two["v"] > 0, one["x"] - two["x"])
-    ancestor = _joined(one["x"], one["v"], two["x"], two["v"])[0]
-    return sisters.filter("_n = 2").select("tree_id", "node_id", "trait", contrast.alias("contrast"), ancestor.alias("ancestor"))
+    done = reduce(DataFrame.unionByName, known)
+    # only where a chain ended are the children looked up again
+    ended = lookup_side(done.filter("two is null").select("tree_id", "trait", F.col("node_id").alias("parent_id")))
+    sisters = done.filter("x is not null").join(ended, ["tree_id", "trait", "parent_id"]).groupBy("tree_id", "trait", F.col("parent_id").alias("node_id")).agg(*met_by)
+    late = sisters.filter("_n = 2").select("tree_id", "node_id", "trait", contrast.alias("contrast"), x.alias("ancestor"))
+    return done.filter("two").select("tree_id", "node_id", "trait", "contrast", F.col("x").alias("ancestor")).unionByName(late)
 
 
 def patristic_distance(branches: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -74,6 +74,21 @@ def test_contrasts_of_a_long_chain(make, rounds):
     assert len(rounds) < 40
 
 
+def test_contrasts_sort_nothing_to_aggregate(make, monkeypatch):
+    plans, cut = [], t.cut_lineage
+
+    def look(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(t, "cut_lineage", look)
+    rows = caterpillar(6)
+    found = t.independent_contrasts(make(rows, TREE), make([(1, 6 + i, "x", float(i)) for i in range(7)], VALUES))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 6
+    assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+
+
 @pytest.mark.parametrize("seed", [1, 3])
 def test_contrasts_with_zero_lengths_and_gaps(make, seed):
     """Binary trees whose lengths are mostly 0 and whose tips mostly lack a value: every case of the maps."""
