@@ -8,12 +8,13 @@ from catalog.fixtures import base, mart, view
 from catalog.registry import query, scratch
 from phylomart.operators.joins import backfill_fk, insert_if_absent
 from phylomart.operators.traits import character_lines, character_matrix, matrix_lines
+from phylomart.runtime import cut_lineage
 from phylomart.schemas import TABLES
 from phylomart.sources.fragments import fragment_rejects, parse_fragments
 from phylomart.sources.newick import newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
 from phylomart.sources.tables import register_tables, write_tables
 from phylomart.sources.shapes import read_shapes, write_shapes
-from phylomart.sources.tabular import read_csv_quoted, read_ranges, read_tsv, write_species_csv, write_tsv
+from phylomart.sources.tabular import read_csv_quoted, read_ranges, read_species_csv, read_tsv, write_species_csv, write_tsv
 from catalog.traits import KINDS, labelled_states
 
 ROWS_SCHEMA = (
@@ -153,7 +154,7 @@ where x.taxon_level = 'SPECIES'"""
 def _(spark, sf):
     path = scratch(spark)
     tables = mart(spark, sf)
-    records = (
+    records = cut_lineage(
         tables["occurrences"]
         .join(tables["taxonvariants"], "taxonvariant_id")
         .join(tables["taxa"].filter("taxon_level = 'SPECIES'"), "taxon_id")
@@ -164,8 +165,7 @@ def _(spark, sf):
     names = tables["taxa"].join(aliased, "taxon_id", "left_semi").select("taxon_name")
     write_species_csv(records.join(names, "taxon_name", "left_semi"), path)
     write_species_csv(records, path)
-    schema = "gbif_id long, taxon_name string, decimal_latitude double, decimal_longitude double, species string"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_species_csv(spark, path, "gbif_id long, taxon_name string, decimal_latitude double, decimal_longitude double")
 
 
 @query(

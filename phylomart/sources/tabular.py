@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,6 +22,11 @@ from phylomart.sources.shapes import read_shapes
 
 # The columns of a per-species occurrence file.
 SPECIES_CSV_COLUMNS = ("gbif_id", "taxon_name", "decimal_latitude", "decimal_longitude")
+# Folders that a task lists and files that it reads; a larger file is read in slices.
+FILES_A_TASK = 4096
+SLICE_BYTES = 16 * 1024 * 1024
+# What Spark's reader trims before it drops a blank line.
+BLANK = bytes(range(33))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -130,16 +137,107 @@ def species_folder(species: str | None) -> str:
     return "species=" + re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", species)
 
 
+def unescaped(name: str) -> str:
+    """A folder's value without Spark's escapes, see :func:`species_folder`."""
+    return re.sub(r"%([0-9A-Fa-f]{2})", lambda c: chr(int(c[1], 16)), name)
+
+
+def _entries(files: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, whether a folder, and bytes of what lies in ``folder``, one at a time where the store allows."""
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                within = entry.is_dir()
+                yield entry.name, within, 0 if within else entry.stat().st_size
+    else:
+        for info in files.get_file_info(fs.FileSelector(folder)):
+            yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
+
+
+def _batches(rows: Iterator[tuple], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 8192)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], list(names))
+
+
+def _species_files(spark: SparkSession, path: str) -> DataFrame:
+    """(species, file, bytes) of the files in the species folders under ``path``, listed by tasks of some thousand folders."""
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            files, base = fs.FileSystem.from_uri(path)
+            found = ((name,) for name, within, _ in _entries(files, base) if within and name.startswith("species="))
+            yield from _batches(found, ("folder",), (pa.string(),))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path)
+        found = (
+            (unescaped(folder.removeprefix("species=")), f"{folder}/{name}", size)
+            for batch in batches
+            for folder in batch.column("folder").to_pylist()
+            for name, within, size in _entries(files, f"{base}/{folder}")
+            if not within and name.endswith(".csv") and name[0] not in "._"
+        )
+        yield from _batches(found, ("species", "file", "bytes"), (pa.string(), pa.string(), pa.int64()))
+
+    # one folder is listed by one task, so the names alone come from there
+    names = cut_lineage(spark.range(1, numPartitions=1).mapInArrow(folders, "folder string"))
+    return cut_lineage(names.repartition(-(-names.count() // FILES_A_TASK) or 1).mapInArrow(listed, "species string, file string, bytes long"))
+
+
 def written_species(spark: SparkSession, path: str) -> DataFrame | None:
     """Species with a written file, read from the folder names without opening the files."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    if _opened(path) is not None:
+        return _species_files(spark, path).select("species").distinct()
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
     name = F.regexp_extract("path", r"/species=([^/]+)/", 1)
     return listing.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("species")).distinct()
 
 
+def read_species_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of :func:`write_species_csv` with their ``species``, as Spark's reader gives them.
+
+    That reader keeps each file on the driver and takes four small ones a task. Here tasks list the folders and a task reads thousands of files, a
+    large one in slices. Stores that Arrow cannot open go through Spark's reader.
+    """
+    if _opened(path) is None:
+        return spark.read.schema(f"{schema}, species string").option("header", True).csv(path)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path)
+        found = (
+            (None if species == "__HIVE_DEFAULT_PARTITION__" else species, line)
+            for batch in batches
+            for species, file, at in zip(*[batch.column(c).to_pylist() for c in ("species", "file", "at")])
+            for line in _lines_from(files, f"{base}/{file}", at)
+        )
+        yield from _batches(found, ("species", "line"), (pa.string(), pa.string()))
+
+    found = _species_files(spark, path)
+    sizes = found.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    tasks = max(1, -(-sizes["n"] // FILES_A_TASK), -(-(sizes["b"] or 0) // SLICE_BYTES))
+    slices = found.filter("bytes > 0").select("species", "file", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(SLICE_BYTES))).alias("at"))
+    texts = slices.repartition(tasks).mapInArrow(lines, "species string, line string")
+    # a generator, so that a line is parsed once and not for each column
+    return texts.select("species", F.inline(F.array(F.from_csv("line", schema)))).select(*StructType.fromDDL(schema).names, "species")
+
+
+def _lines_from(files: fs.FileSystem, file: str, at: int) -> Iterator[str]:
+    """The lines of a file that begin in the slice from ``at`` on, without the header and blank ones."""
+    with files.open_input_file(file) as source:
+        source.seek(max(0, at - 1))
+        text = io.BufferedReader(source)
+        # the line that begins in the slice before, or the header
+        begun = max(0, at - 1) + len(text.readline())
+        while begun < at + SLICE_BYTES and (row := text.readline()):
+            begun += len(row)
+            for line in row.splitlines():
+                if line.strip(BLANK):
+                    yield line.decode("utf-8", "replace")
+
+
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Range records (binomial, legend, rings) from a shape file, parquet or JSON lines; several per species.
 

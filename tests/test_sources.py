@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from phylomart.sources.newick import _nodes, newick_fragments, newick_rejects, nexus_trees, parse_newick, write_newick
-from phylomart.sources.tabular import read_ranges, read_tsv, write_species_csv
+from phylomart.sources import tabular
+from phylomart.sources.tabular import read_ranges, read_species_csv, read_tsv, write_species_csv, written_species
 
 
 def tree_rows(spark, text):
@@ -118,3 +119,25 @@ def test_new_species_are_written_by_tasks_as_sparks_writer_would(spark, tmp_path
         assert texts[0] == texts[1]
     back = spark.read.option("header", True).csv(f"{tmp_path}/ours", schema=schema + ", species string")
     assert back.count() == 40 and back.select("species").distinct().count() == 6
+
+
+def test_species_files_are_listed_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Thousands of files a task, where Spark's reader takes four; the rows are those of Spark's reader."""
+    schema = "gbif_id long, taxon_name string, decimal_latitude double, decimal_longitude double"
+    names = ["Aa bb", 'q"u,o', "a/b=c:d%[x]", "a+b%20", "ümlaut", "", None, "it's #1", *[f"sp {i}" for i in range(60)]]
+    df = spark.createDataFrame([(i, names[i % len(names)], 1e-7 * i, None if i % 3 else -1e9 - i) for i in range(140)], schema)
+    path = f"{tmp_path}/out"
+    write_species_csv(df, path)
+    (tmp_path / "out" / "species=Aa_bb" / "_hidden.csv").write_text("none\n1,x,1,1\n")
+    (tmp_path / "out" / "species=Cc").mkdir()
+    (tmp_path / "out" / "species=sp_1" / "more.csv").write_text("header\r\n7,sp 1,,2.5\r\n \n\r\n8,\"\",bad,-0.0\n9,short\n10,last,1,1")
+    want = spark.read.schema(schema + ", species string").option("header", True).csv(path)
+    rows = lambda found: sorted(map(repr, found.collect()))
+    expected = rows(want)
+    for size in (1 << 24, 90):
+        monkeypatch.setattr(tabular, "SLICE_BYTES", size)
+        back = read_species_csv(spark, path, schema)
+        assert back.columns == want.columns and rows(back) == expected
+    monkeypatch.undo()
+    assert read_species_csv(spark, path, schema).rdd.getNumPartitions() == 1
+    assert {r.species for r in written_species(spark, path).collect()} == {(n or "__HIVE_DEFAULT_PARTITION__").replace(" ", "_") for n in names}
