@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -21,6 +22,7 @@ from phylomart.operators.pairwise import (
     tile_pairs,
     tile_rows_for,
 )
+from phylomart.operators.permuted import Level, Permuted, Tips, drawn_order, joined, level
 from phylomart.runtime import BROADCAST_BYTES, cut_lineage, lookup_side, measured, null_safe, with_position
 
 # Patterns of present traits up to which distances come from prefix sums, and those that one pass sums up.
@@ -250,22 +252,27 @@ def permutation_correlations(
     12 bytes for each item and permutation, are broadcast where the counted items prove them within ``broadcast_bytes`` (52,000 items
     at 99 permutations). Beyond that each permutation deals its own tiles with the paths in them.
 
-    More than ``NODE_TILES`` tiles of items in one tree with few patterns of present traits need no pairs for a permutation, see :func:`_moments_by_nodes`.
+    More than ``NODE_TILES`` tiles of items in one tree with few patterns of present traits need no pairs for a permutation: where the counted items and nodes prove
+    an array of all tips within ``broadcast_bytes``, a permutation is a unit of work over it, see :func:`_moments_by_permutation`, otherwise see :func:`_moments_by_nodes`.
     """
     traits = list(traits)
     both = cut_lineage(items.select(item, *traits).join(paths.select(item), item, "left_semi"))
     tips = paths.select(item, "path", "depths").join(both.select(item), item, "left_semi")
-    labels = permuted_labels(both, item, permutations, seed)
     scaled = scaled_traits(both, item, traits)
     n = both.count()
     fits = 0 < n * (12 * (permutations + 1) + 4 * n.bit_length() + 24) <= broadcast_bytes
-    moments = _moments_in_one_pass if fits else _moments_by_tiles
+    moments, held = _moments_in_one_pass if fits else _moments_by_tiles, None
     if n > NODE_TILES * tile_rows and len(traits) <= MASK_BITS and tips.select(F.element_at("path", 1)).distinct().limit(2).count() == 1:
         bits = F.array(*[F.when(F.isnan(t), 0).otherwise(1 << k).cast("long") for k, t in enumerate(traits)])
         scaled = cut_lineage(scaled.withColumn("_has", F.aggregate(bits, F.lit(0).cast("long"), lambda x, b: x + b)))
         if scaled.select("_has").distinct().limit(PATTERNS_A_PASS + 1).count() <= PATTERNS_A_PASS:
-            moments = _moments_by_nodes
-    total = moments(scaled, tips, labels, item, traits, permutations, tile_rows).groupBy("perm").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+            moments, tips = _moments_by_nodes, cut_lineage(tips)
+            held = _numbered_tips(scaled, tips, item, traits, n, broadcast_bytes)
+    if held is None:
+        rows = moments(scaled, tips, permuted_labels(both, item, permutations, seed), item, traits, permutations, tile_rows)
+    else:
+        rows = _moments_by_permutation(both.sparkSession, held, permutations, seed)
+    total = rows.groupBy("perm").agg(*[F.sum(m).alias(m) for m in MOMENTS])
     c = {m: F.col(m) for m in MOMENTS}
     top = c["n"] * c["xy"] - c["x"] * c["y"]
     bottom = F.sqrt((c["n"] * c["xx"] - c["x"] * c["x"]) * (c["n"] * c["yy"] - c["y"] * c["y"]))
@@ -333,6 +340,66 @@ def _moments_in_one_pass(scaled, tips, labels, item, traits, permutations, tile_
     return sums.select(F.posexplode(zipped).alias("perm", "m")).select("perm", *[F.col(f"m.{m}").alias(m) for m in MOMENTS])
 
 
+def _numbered_tips(scaled, tips, item, traits, n, broadcast_bytes) -> Tips | None:
+    """All tips of one tree as arrays, or None where the counted tips and nodes do not prove them within ``broadcast_bytes``."""
+    steps = tips.select(F.col("depths").alias("_all"), F.posexplode(F.arrays_zip("path", "depths")).alias("pos", "v"))
+    above = F.when(F.col("pos") > 0, F.get("_all", F.col("pos") - 1)).otherwise(0.0)
+    steps = steps.select("pos", F.col("v.path").alias("node"), F.col("v.depths").alias("deep"), above.alias("above"))
+    nodes = steps.groupBy("pos", "node").agg(F.count("*").alias("tips"), F.max("deep").alias("deep"), F.max("above").alias("above"))
+    nodes = cut_lineage(nodes.filter("tips > 1"))
+    parting = nodes.filter(F.col("tips") < n)
+    # one row, whatever the depth of the tree
+    size = parting.agg(F.count_distinct("pos").alias("levels"), F.count("*").alias("nodes")).first()
+    if n * (24 + 8 * len(traits) + 8 * size["levels"]) + 28 * size["nodes"] > broadcast_bytes:
+        return None
+    at = sorted(r["pos"] for r in parting.select("pos").distinct().collect())
+    values = tips.select(item, F.element_at("depths", -1).alias("_end"), *[F.get("path", F.lit(k)).alias(f"_at{k}") for k in at])
+    text = F.col(item).cast("string").cast("binary").alias("_text")
+    rows = scaled.join(values, item).sort(item).select(text, "_end", *[F.col(t).alias(f"_x{k}") for k, t in enumerate(traits)], *[f"_at{k}" for k in at]).toArrow()
+    found = parting.select("pos", "node", "deep", "above").toArrow()
+    own = {c: found[c].to_numpy() for c in found.column_names}
+    levels = []
+    for k in at:
+        here, node = own["pos"] == k, rows[f"_at{k}"]
+        levels.append(level(node.fill_null(0).to_numpy(), node.is_null().to_numpy(), *[own[c][here] for c in ("node", "deep", "above")]))
+    d, deep, up = F.col("deep") - F.col("above"), F.col("deep"), F.col("above")
+    top = nodes.filter(F.col("tips") == n).agg(F.sum(d).alias("d"), F.sum(deep * deep - up * up).alias("dd")).first()
+    return Tips(
+        rows["_text"].combine_chunks(),
+        [rows[f"_x{k}"].to_numpy() for k in range(len(traits))],
+        rows["_end"].to_numpy(),
+        joined(levels),
+        (top["d"] or 0.0, top["dd"] or 0.0),
+    )
+
+
+def _moments_by_permutation(spark, tips: Tips, permutations, seed) -> DataFrame:
+    """Moments of tips of one tree, a permutation a unit of work; a unit with two traits gives their part of the squared trait distances to all permutations."""
+    # plain arrays: workers that lack the package load a broadcast before the function that brings it
+    held = spark.sparkContext.broadcast((tips.text, tips.traits, tips.end, [(one.node, one.d, one.dd) for one in tips.levels], tips.top))
+    pairs = [(t, u) for t in range(len(tips.traits)) for u in range(t + 1)]
+    units = permutations + 1 + len(pairs)
+
+    def reduce_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, x, end, levels, top = held.value
+        some = Permuted(Tips(text, x, end, [Level(*one) for one in levels], top))
+        gaps = some.gap_totals()
+        for batch in batches:
+            for unit in batch.column("id").to_pylist():
+                if unit > permutations:
+                    row = [None, 0.0, 0.0, 0.0, some.squares(*pairs[unit - permutations - 1]), 0.0, 0.0]
+                else:
+                    n, sx, sy, yy, xy = some.moments(drawn_order(text, seed, unit), gaps)
+                    row = [unit, n, sx, sy, 0.0, yy, xy]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), *[pa.float64()] * len(MOMENTS)])], ["perm", *MOMENTS])
+
+    schema = ", ".join(["perm int", *[f"{m} double" for m in MOMENTS]])
+    tasks = min(units, 3 * spark.sparkContext.defaultParallelism)
+    found = cut_lineage(spark.range(0, units, 1, 1).repartition(tasks).mapInArrow(reduce_units, schema))
+    squares = found.filter("perm is null").agg(F.sum("xx")).first()[0] or 0.0
+    return found.filter("perm is not null").withColumn("xx", F.lit(squares))
+
+
 def _moments_by_nodes(scaled, tips, labels, item, traits, permutations, tile_rows) -> DataFrame:
     """Moments of tips of one tree from sums over the tips below each node.
 

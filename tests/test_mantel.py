@@ -86,3 +86,33 @@ def test_sums_over_nodes_equal_tiles(make, monkeypatch):
     assert got.keys() == want.keys()
     for perm, r in want.items():
         assert got[perm].n_pairs == r.n_pairs and got[perm].r == pytest.approx(r.r, abs=1e-9)
+
+
+def test_permutations_over_numbered_tips_equal_tiles(make, monkeypatch):
+    """In one tree whose tips fit a broadcast, no label of a permutation is a row, and no pair is formed."""
+    from phylomart.operators import stats
+
+    rng = random.Random(12)
+    tips = {k: ([-1, *p], [0.5, *[d + 0.5 for d in deep]]) for k, (p, deep) in forest(rng, 60).items()}
+    # patterns without a shared trait, items without any, equal values
+    traits = [(f"i{k}", rng.random() if k % 3 else None, float(rng.randint(0, 5)) if k % 4 else None, rng.random() if k % 5 == 0 else None) for k in tips]
+    items = make(traits, "item string, t1 double, t2 double, t3 double")
+    paths = make([(f"i{k}", *p) for k, p in tips.items()], "item string, path array<long>, depths array<double>")
+    want = {r.perm: r for r in permutation_correlations(items, "item", ["t1", "t2", "t3"], paths, 6, 3, 1024).collect()}
+    for other in ("_moments_in_one_pass", "_moments_by_tiles", "_moments_by_nodes", "_square_sum", "permuted_labels"):
+        monkeypatch.setattr(stats, other, None)
+    got = {r.perm: r for r in permutation_correlations(items, "item", ["t1", "t2", "t3"], paths, 6, 3, 7).collect()}
+    assert got.keys() == want.keys()
+    for perm, r in want.items():
+        assert got[perm].n_pairs == r.n_pairs and got[perm].r == pytest.approx(r.r, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9, 130])
+def test_concordant_products(n):
+    from phylomart.operators.permuted import concordant
+
+    rng = np.random.default_rng(n)
+    x, y = rng.integers(0, 9, n).astype(float), rng.random(n)
+    p, weight = rng.integers(0, 2, n), np.array([[1.0, 0.25], [0.25, 0.0]])
+    products = [(x[i] - x[j]) * (y[i] - y[j]) * weight[p[i], p[j]] for i in range(n) for j in range(i)]
+    assert concordant(x, y, p, weight) == pytest.approx(sum(v for v in products if v > 0), abs=1e-9)
