@@ -23,12 +23,16 @@ from phylomart.operators.pairwise import (
     tile_rows_for,
 )
 from phylomart.operators.permuted import Level, Permuted, Tips, drawn_order, joined, level
+from phylomart.operators.subsets import subset_sums
 from phylomart.runtime import BROADCAST_BYTES, cut_lineage, lookup_side, measured, null_safe, with_position
 
 # Patterns of present traits up to which distances come from prefix sums, and those that one pass sums up.
 PATTERNS = 64
 PATTERNS_A_PASS = 8
 MASK_BITS = 60
+# Pairs in tiles that cost as much as an item's row for a subset of its traits, and items with one trait that one task takes.
+ROW_PAIRS = 2
+TRAIT_ITEMS = 1 << 21
 # Tiles of items beyond which permutations are reduced by sums over the nodes of the tree; below, pairs cost less than its rounds.
 NODE_TILES = 8
 
@@ -76,18 +80,25 @@ def gower_distance(wide: DataFrame, item: str, traits: Sequence[str]) -> DataFra
     is the mean over shared traits of the range-scaled gap, undefined when no trait is shared.
 
     Any number of traits may be given. Items with the same traits present share a pattern, and the divisor of a pair depends on
-    the two patterns alone. With few patterns no pair is formed, see :func:`_gower_by_patterns`; with more than
-    ``PATTERNS``, where that costs as much as the pairs, they are reduced tile by tile. Items must be distinct.
+    the two patterns alone. With few patterns no pair is formed, see :func:`_gower_by_patterns`. With more than
+    ``PATTERNS``, no pair is formed either where items have few traits each, so that their subsets of traits are counted to be fewer than the
+    pairs, see :func:`_gower_by_subsets`; otherwise pairs are reduced tile by tile. Items must be distinct.
     """
     traits = list(traits)
-    scaled = scaled_traits(wide, item, traits)
+    # read for the ranges and for the rows
+    scaled = scaled_traits(cut_lineage(wide.select(item, *traits)), item, traits)
     words = [traits[i : i + MASK_BITS] for i in range(0, len(traits), MASK_BITS)]
     bits = [[F.when(F.isnan(t), 0).otherwise(1 << i).cast("long") for i, t in enumerate(word)] for word in words]
     masks = [F.aggregate(F.array(*word), F.lit(0).cast("long"), lambda x, b: x + b) for word in bits]
     scaled = cut_lineage(scaled.withColumn("_has", F.array(*masks) if masks else F.array().cast("array<bigint>")))
     patterns = lookup_side(scaled.groupBy("_has").agg(F.count("*").alias("n")))
-    sums = _gower_by_patterns(scaled, item, traits, patterns) if patterns.count() <= PATTERNS else _gower_by_tiles(scaled, item, traits)
     items = scaled.agg(F.count("*").alias("n")).first()["n"]
+    if patterns.count() <= PATTERNS:
+        sums = _gower_by_patterns(scaled, item, traits, patterns)
+    elif _few_subsets(scaled, traits, items):
+        sums = _gower_by_subsets(scaled, item, traits)
+    else:
+        sums = _gower_by_tiles(scaled, item, traits)
     total = F.when(F.col("n") > 0, F.greatest("total", F.lit(0.0))).otherwise(0.0)
     return sums.select(
         item,
@@ -98,6 +109,46 @@ def gower_distance(wide: DataFrame, item: str, traits: Sequence[str]) -> DataFra
     )
 
 
+def _few_subsets(scaled: DataFrame, traits: Sequence[str], items: int) -> bool:
+    """Whether the subsets of traits that items have cost less than the pairs, and the items with one trait fit a task."""
+    if len(traits) > MASK_BITS:
+        return False
+    size = F.bit_count(F.col("_has")[0]).cast("double")
+    with_trait = [F.count_if(~F.isnan(t)) for t in traits]
+    found = scaled.agg(F.sum(size * F.pow(F.lit(2.0), size - 1)).alias("rows"), F.greatest(*with_trait, F.lit(0)).alias("most")).first()
+    return found["rows"] * ROW_PAIRS <= items * items / 2 and found["most"] <= TRAIT_ITEMS
+
+
+def _gower_by_subsets(scaled: DataFrame, item: str, traits: Sequence[str]) -> DataFrame:
+    """(item, n, total) over all other items, from running sums over the items that have a subset of the traits, see :mod:`phylomart.operators.subsets`.
+
+    A unit of work is a trait with a part of the subsets of the others.
+    """
+    parts = max(1, min(16, -(-10 * scaled.sparkSession.sparkContext.defaultParallelism // len(traits))))
+    values = scaled.select(F.col(item).alias("_item"), F.col("_has")[0].alias("_mask"), F.posexplode(F.array(*traits)).alias("_trait", "_x")).filter(~F.isnan("_x"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
+    # each unit has a task of its own
+    units = values.select("*", each).repartitionById(len(traits) * parts, F.col("_trait") * parts + F.col("_part"))
+
+    def reduce_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(some) if (some := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        trait, part = rows["_trait"][0].as_py(), rows["_part"][0].as_py()
+        x = rows["_x"].to_numpy()
+        order = np.argsort(x, kind="stable")
+        total, met = subset_sums(x[order], rows["_mask"].to_numpy()[order] & ~(1 << trait), part, parts)
+        at = np.empty_like(order)
+        at[order] = np.arange(len(order))
+        sums = pa.table({"_item": rows["_item"], "_total": total[at], "_met": met[at]})
+        yield from sums.to_batches(max_chunksize=65_536)
+
+    schema = StructType([StructField("_item", scaled.schema[item].dataType), StructField("_total", DoubleType()), StructField("_met", DoubleType())])
+    sums = units.mapInArrow(reduce_unit, schema).groupBy("_item").agg(F.sum("_total").alias("total"), F.round(F.sum("_met")).cast("long").alias("n"))
+    # an item without a trait meets nobody
+    return scaled.select(item).join(sums, F.col(item) == F.col("_item"), "left").select(item, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
 def _gower_by_tiles(scaled: DataFrame, item: str, traits: Sequence[str]) -> DataFrame:
     """(item, n, total) over all other items, each pair of tiles a unit of work."""
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,38 @@ def test_both_gower_forms_agree(make, monkeypatch):
 
 def test_gower_of_nothing(make):
     assert stats.gower_distance(make([], "item long, a double"), "item", ["a"]).count() == 0
+
+
+def test_gower_by_subsets_forms_no_pairs(make, monkeypatch):
+    """Items with few of many traits meet in the subsets of traits that they share; equal values, a trait without a range and items with no trait included."""
+    rng = random.Random(21)
+    names = [f"t{i}" for i in range(40)]
+    rows = [(f"i{k}", *[rng.choice([float(rng.randint(0, 6)), rng.random()]) if rng.random() < 0.12 else None for _ in names[:-1]], 3.0 if k % 2 else None) for k in range(400)]
+    rows += [("none", *[None] * 40), ("i0 again", *rows[0][1:])]
+    df = make(rows, "item string, " + ", ".join(f"{n} double" for n in names))
+    monkeypatch.setattr(stats, "ROW_PAIRS", 1 << 40)
+    want = {r.item: r for r in stats.gower_distance(df, "item", names).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(stats, "ROW_PAIRS", 0)
+    monkeypatch.setattr(stats, "_gower_by_tiles", None)
+    got = {r.item: r for r in stats.gower_distance(df, "item", names).collect()}
+    assert got.keys() == want.keys() and got["none"].defined_pairs == 0 and got["none"].mean_distance is None
+    for item, r in want.items():
+        assert (got[item].defined_pairs, got[item].undefined_pairs) == (r.defined_pairs, r.undefined_pairs)
+        assert got[item].total_distance == pytest.approx(r.total_distance, abs=1e-9)
+
+
+@pytest.mark.parametrize("n, traits, share", [(1, 5, 0.5), (2, 5, 0.9), (300, 39, 0.22), (200, 9, 0.8)])
+@pytest.mark.parametrize("rows, pairs", [(1 << 19, 2048), (64, 2048), (256, 0), (1 << 30, 0)])
+def test_subset_sums_equal_pairs(monkeypatch, n, traits, share, rows, pairs):
+    from phylomart.operators import subsets
+
+    monkeypatch.setattr(subsets, "SUBSET_ROWS", rows)
+    monkeypatch.setattr(subsets, "PAIR_LIST", pairs)
+    rng = np.random.default_rng(n + traits)
+    x, rest = np.sort(rng.integers(0, 40, n) / 40.0), (rng.random((n, traits)) < share) @ (1 << np.arange(traits))
+    weight = 1 / (np.bitwise_count(rest[:, None] & rest[None, :]) + 1.0)
+    np.fill_diagonal(weight, 0.0)
+    found = [subsets.subset_sums(x, rest, part, 3) for part in range(3)]
+    np.testing.assert_allclose(sum(f[0] for f in found), (weight * np.abs(x[:, None] - x[None, :])).sum(1), atol=1e-9)
+    np.testing.assert_allclose(sum(f[1] for f in found), weight.sum(1), atol=1e-9)
